@@ -1,0 +1,15 @@
+"""Size checks at planning time."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def is_small(df: DataFrame) -> bool:
+    """Whether Spark would broadcast ``df``: its own size estimate, made from
+    file sizes without running a job, against its own threshold. Data of
+    unknown size counts as large."""
+    jvm_spark = df.sparkSession._jsparkSession
+    threshold = jvm_spark.sessionState().conf().autoBroadcastJoinThreshold()
+    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(estimate)) <= threshold
