@@ -17,7 +17,7 @@ from daybook.session import scratch
 from daybook.sinks.files import write_csv
 from daybook.sources import sample
 from daybook.sources.delimited import REASON
-from daybook.sources.stored import read_table
+from daybook.sources.stored import read_sales, read_table
 
 
 def _written_csv(df: DataFrame) -> str:
@@ -137,7 +137,7 @@ def type_widening(spark: SparkSession, folder: str) -> DataFrame:
 def _stored_fact(orders: DataFrame) -> DataFrame:
     path = scratch(orders.sparkSession, "fact")
     book.write_fact(orders, path)
-    return read_table(orders.sparkSession, path)
+    return read_sales(orders.sparkSession, path)
 
 
 def summary_stored_fact(spark: SparkSession, folder: str) -> DataFrame:
@@ -149,7 +149,7 @@ def summary_stored_rollup(spark: SparkSession, folder: str) -> DataFrame:
     """As of the latest day, over a stored rollup."""
     path = scratch(spark, "rollup")
     book.write_rollup(sample.lines(spark, folder), path)
-    return Dashboard(read_table(spark, path)).summary()
+    return Dashboard(read_sales(spark, path)).summary()
 
 
 def leaderboard_blocks(spark: SparkSession, folder: str) -> DataFrame:

@@ -3,12 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from daybook.operators.sales import MONTH
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def read_sales(spark: SparkSession, path: str) -> DataFrame:
+    """A stored fact or rollup. The month is a date even where no folder name
+    says so, as when no order has a date."""
+    sales = spark.read.parquet(path)
+    return sales.withColumn(MONTH, F.col(MONTH).cast("date"))
+
+
 def read_jdbc(spark: SparkSession, url: str, name: str, key: str, low: int, high: int,
               tasks: int, **options: str) -> DataFrame:
     """A database table, read by ``tasks`` connections over ranges of an integer
