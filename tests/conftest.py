@@ -10,6 +10,6 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 @pytest.fixture(scope="session")
 def spark():
     from daybook.session import local_session
-    session = local_session(8, "daybook-tests")
+    session = local_session(8, "daybook-tests", **{"spark.sql.maxMetadataStringLength": "2000"})
     yield session
     session.stop()

@@ -1,0 +1,276 @@
+"""CSV loads: headers, bad rows, keys, failure."""
+
+from decimal import Decimal
+
+import pytest
+from pyspark.errors import PySparkException
+
+from daybook.plans import book, loads
+from daybook.plans.checks import key_check, load_check
+from daybook.plans.dashboard import Dashboard
+from daybook.plans.loads import LoadReport
+from daybook.schemas import DESTINATIONS, INT, LONG, ORDERS, PRODUCTS, TEXT, USERS, snake_case
+from daybook.sinks.files import replace_table
+from daybook.sources.delimited import REASON, accept_all, read_csv
+from daybook.sources.stored import read_sales
+from frames import date, rows
+
+
+@pytest.fixture
+def files(tmp_path):
+    """Writes a text file and returns its path."""
+    def write(text, name="some file (1).csv", encoding="utf-8"):
+        path = tmp_path / name
+        path.parent.mkdir(exist_ok=True)
+        path.write_bytes(text.encode(encoding))
+        return str(path)
+    return write
+
+
+def stored(spark, path, *columns):
+    df = spark.read.parquet(str(path))
+    return sorted(tuple(r) for r in df.select(*columns or df.columns).collect())
+
+
+PLACES = 'destination_id,destination_type,destination_name,flag_path,included_destinations,is_active\n'
+
+
+def test_quoted_line_break_is_one_record(spark, files, tmp_path):
+    path = files(PLACES + 'EUR,2,Europe,/e.png,"ALB , UZB\n",1\nSGP,1,"Singapore ""city""",,,0\n')
+    loads.load_table(spark, path, DESTINATIONS, f"{tmp_path}/t")
+    assert stored(spark, tmp_path / "t") == [
+        ("EUR", 2, "Europe", "/e.png", "ALB , UZB\n", 1),
+        ("SGP", 1, 'Singapore "city"', None, None, 0)]
+
+
+@pytest.mark.parametrize("multi_line", [True, False])
+def test_byte_order_mark(spark, files, multi_line):
+    path = files("user_id,name\n1,Ann\n", encoding="utf-8-sig")
+    assert [r.user_id for r in read_csv(spark, path, USERS, multi_line=multi_line).collect()] == [1]
+
+
+def test_columns_are_found_by_name(spark, files):
+    path = files('coverageDestinations,amount,prodId,addOnId,fup_limit\n"SGP,MYS", 12.345,7,x,\n')
+    [row] = rows(read_csv(spark, path, PRODUCTS))
+    assert (row["prod_id"], row["amount"], row["coverage_destinations"], row["add_on_id"]) == (
+        7, Decimal("12.35"), "SGP,MYS", "x")
+    assert row["fup_limit"] is None and row["validity"] is None and row[REASON] is None
+
+
+def test_columns_by_position(spark, files):
+    path = files("a,b,c,d,e,f\nSGP,1,Singapore,,,1\n")
+    [row] = rows(read_csv(spark, path, DESTINATIONS, header_names=False))
+    assert (row["destination_id"], row["destination_name"], row["is_active"]) == ("SGP", "Singapore", 1)
+    with pytest.raises(ValueError, match="unknown columns"):
+        read_csv(spark, path, DESTINATIONS)
+
+
+@pytest.mark.parametrize("header, complaint", [
+    ("prod_id,colour", "unknown columns"), ("prod_id,prodId", "repeated columns"), ("amount", "lacks the key")])
+def test_header_is_checked(spark, files, header, complaint):
+    with pytest.raises(ValueError, match=complaint):
+        read_csv(spark, files(f"{header}\n1,2\n"), PRODUCTS)
+
+
+def test_files_of_one_load_share_their_header(spark, files, tmp_path):
+    files("prod_id,validity\n1,30\n", "in/a.csv")
+    files("validity,prod_id\n30,2\n", "in/b.csv")
+    with pytest.raises(Exception, match="header does not conform"):
+        read_csv(spark, f"{tmp_path}/in", PRODUCTS).collect()
+
+
+BAD_PRODUCTS = (
+    "prod_id,validity,add_on_id,amount\n"
+    "1,30,a,1.00\n"
+    "x,30,b,1.00\n"          # no integer
+    "2,30,c,1.00,extra\n"    # a field too many
+    "3,30\n"                 # fields missing
+    ",30,d,1.00\n"           # no key
+    "4,30," + "e" * 101 + ",1.00\n"
+    "5,30," + "f" * 100 + "   ,1.00\n"
+    "6,30.5,g,1.00\n"
+    "7,30,h,123456789.00\n"  # too large for numeric(10,2)
+    "8, 30 ,i,\n")
+
+
+def test_good_rows_are_added_and_bad_ones_kept_apart(spark, files, tmp_path):
+    report = loads.insert_good_rows(
+        spark, files(BAD_PRODUCTS), PRODUCTS, f"{tmp_path}/t", f"{tmp_path}/bad")
+    assert report == LoadReport(read=10, inserted=3, duplicates=0, rejected=7)
+    assert stored(spark, tmp_path / "t", "prod_id", "validity", "add_on_id") == [
+        (1, 30, "a"), (5, 30, "f" * 100), (8, 30, "i")]
+    reasons = [r[0] for r in stored(spark, tmp_path / "bad", REASON)]
+    assert reasons == sorted([
+        "prod_id is no int: x", "malformed record", "malformed record", "no prod_id",
+        "add_on_id is longer than 100", "validity is no int: 30.5",
+        "amount is no decimal(10,2): 123456789.00"])
+
+
+def test_one_bad_row_stops_an_all_or_nothing_load(spark, files, tmp_path):
+    good = files("prod_id,validity\n1,30\n", "good.csv")
+    assert loads.insert_all_or_nothing(spark, good, PRODUCTS, f"{tmp_path}/t").inserted == 1
+    with pytest.raises(PySparkException, match="bad row: .*"):
+        loads.insert_all_or_nothing(
+            spark, files("prod_id,validity\n2,30\n3,x\n", "bad.csv"), PRODUCTS, f"{tmp_path}/t")
+    assert stored(spark, tmp_path / "t", "prod_id") == [(1,)]
+
+
+def test_every_field_is_checked_even_if_unused(spark, files):
+    rows_ = accept_all(read_csv(spark, files("prod_id,validity\n2,30\n3,x\n"), PRODUCTS))
+    with pytest.raises(PySparkException):
+        rows_.select("prod_id").collect()
+    with pytest.raises(PySparkException):
+        rows_.count()
+
+
+def test_first_row_of_a_key_wins_and_stored_rows_stay(spark, files, tmp_path):
+    path = f"{tmp_path}/t"
+    first = files("prod_id,validity\n1,10\n2,20\n1,11\n2,21\n", "first.csv")
+    assert loads.insert_all_or_nothing(spark, first, PRODUCTS, path) == LoadReport(4, 2, 2, 0)
+    second = files("prod_id,validity\n2,99\n3,30\n3,31\n", "second.csv")
+    assert loads.insert_all_or_nothing(spark, second, PRODUCTS, path) == LoadReport(3, 1, 2, 0)
+    assert stored(spark, path, "prod_id", "validity") == [(1, 10), (2, 20), (3, 30)]
+    for again in (first, second):
+        assert loads.insert_all_or_nothing(spark, again, PRODUCTS, path).inserted == 0
+    assert stored(spark, path, "prod_id", "validity") == [(1, 10), (2, 20), (3, 30)]
+
+
+def test_a_bad_row_does_not_take_a_key(spark, files, tmp_path):
+    path = files("prod_id,validity\n1,x\n1,10\n")
+    report = loads.insert_good_rows(spark, path, PRODUCTS, f"{tmp_path}/t", f"{tmp_path}/bad")
+    assert report == LoadReport(2, 1, 0, 1)
+    assert stored(spark, tmp_path / "t", "validity") == [(10,)]
+
+
+@pytest.mark.parametrize("multi_line", [True, False])
+def test_first_row_in_a_file_of_many_splits(spark, files, tmp_path, multi_line):
+    text = "prod_id,validity\n" + "".join(f"{i % 500},{i}\n" for i in range(20000))
+    size = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "16384")
+    try:
+        path = files(text)
+        assert (read_csv(spark, path, PRODUCTS, multi_line=multi_line).rdd.getNumPartitions() > 1) != multi_line
+        loads.insert_all_or_nothing(spark, path, PRODUCTS, f"{tmp_path}/t", multi_line=multi_line)
+    finally:
+        spark.conf.set(size, before)
+    assert stored(spark, tmp_path / "t", "prod_id", "validity") == [(i, i) for i in range(500)]
+
+
+def test_first_file_by_name_wins(spark, files, tmp_path):
+    files("prod_id,validity\n1,20\n", "in/b.csv")
+    files("prod_id,validity\n1,10\n", "in/a.csv")
+    loads.insert_all_or_nothing(spark, f"{tmp_path}/in", PRODUCTS, f"{tmp_path}/t")
+    assert stored(spark, tmp_path / "t", "validity") == [(10,)]
+
+
+@pytest.mark.parametrize("text, error", [
+    ("user_id,name\n1,Ann\nx,Bo\n", PySparkException),
+    ("user_id,name\n1,Ann\n1,Bo\n", ValueError),
+    ("user_id,name\n1," + "n" * 101 + "\n", PySparkException),
+])
+def test_a_failed_load_leaves_the_old_table(spark, files, tmp_path, text, error):
+    path = f"{tmp_path}/t"
+    loads.load_table(spark, files("user_id,name\n7,Old\n", "old.csv"), USERS, path)
+    with pytest.raises(error):
+        loads.load_table(spark, files(text), USERS, path)
+    assert stored(spark, path, "user_id", "name") == [(7, "Old")]
+    loads.load_table(spark, files("user_id,name\n8,New\n", "new.csv"), USERS, path)
+    assert stored(spark, path, "user_id", "name") == [(8, "New")]
+    assert {p.name for p in tmp_path.iterdir() if p.is_dir()} == {"t"}
+
+
+def test_replace_survives_a_failing_write(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    replace_table(spark.range(3), path)
+    with pytest.raises(PySparkException):
+        replace_table(spark.range(3).selectExpr("id / (id - 2) AS id"), path)
+    assert stored(spark, path) == [(0,), (1,), (2,)]
+
+
+def test_orders_with_a_line_break_are_refused(spark, files):
+    """The large table is read without multi-line records; nothing is garbled silently."""
+    path = files('order_no,order_date_time\n1,"01-01-2026\n"\n')
+    with pytest.raises(PySparkException, match="malformed record"):
+        accept_all(read_csv(spark, path, ORDERS)).collect()
+
+
+ORDER_FILE = (
+    "order_no,order_date_time,user_id,product_id,amount,discount_amount,created_by\n"
+    "1,01-05-2026,1,1,10.00,0.00,1\n"
+    "2,01/06/2026 10:00:00,1,1,20.00,,1\n"
+    "3,2026-01-07,1,1,40.00,,1\n"
+    "4,,1,1,80.00,,1\n"
+    "5,02-01-2026,1,1,160.00,,1\n")
+
+
+def test_orders_to_fact_to_report(spark, files, tmp_path):
+    loads.load_table(spark, files(ORDER_FILE), ORDERS, f"{tmp_path}/orders")
+    orders = spark.read.parquet(f"{tmp_path}/orders")
+    clean = book.clean_orders(orders)
+    book.write_fact(clean, f"{tmp_path}/fact")
+    book.write_rollup(clean, f"{tmp_path}/rollup")
+    assert sorted(p.name for p in (tmp_path / "fact").glob("order_month=*")) == [
+        "order_month=2026-01-01", "order_month=2026-02-01", "order_month=__HIVE_DEFAULT_PARTITION__"]
+    for name in ("fact", "rollup"):
+        [row] = rows(Dashboard(read_sales(spark, f"{tmp_path}/{name}")).summary())
+        assert (row["data_date"], row["mtd_orders"], row["prev_full_orders"], row["prev_full_revenue"]) == (
+            date("2026-02-01"), 1, 2, Decimal("30.00"))
+    assert {r["table_name"]: r["rows"] for r in rows(load_check({"orders": orders}, clean))} == {
+        "orders": 5, "orders_parsed (valid dates)": 3}
+
+
+def test_fact_without_any_date(spark, files, tmp_path):
+    text = "order_no,order_date_time\n1,\n2,soon\n"
+    book.write_fact(book.clean_orders(accept_all(read_csv(spark, files(text), ORDERS))), f"{tmp_path}/fact")
+    [row] = rows(Dashboard(read_sales(spark, f"{tmp_path}/fact")).summary())
+    assert (row["data_date"], row["today_orders"]) == (None, 0)
+
+
+def test_refresh_replaces_only_the_months_named(spark, files, tmp_path):
+    clean = book.clean_orders(accept_all(read_csv(spark, files(ORDER_FILE), ORDERS)))
+    fact, path = f"{tmp_path}/fact", f"{tmp_path}/rollup"
+    book.write_fact(clean, fact)
+    book.write_rollup(clean, path)
+    february = next((tmp_path / "rollup" / "order_month=2026-02-01").glob("*.parquet")).name
+    late = book.clean_orders(accept_all(read_csv(
+        spark, files("order_no,order_date_time,amount\n9,01-05-2026,1.00\n", "late.csv"), ORDERS)))
+    book.by_month(late).write.mode("append").partitionBy("order_month").parquet(fact)
+    book.refresh_rollup(spark, read_sales(spark, fact), path, ["2026-01"])
+    assert next((tmp_path / "rollup" / "order_month=2026-02-01").glob("*.parquet")).name == february
+    for store in (fact, path):
+        [row] = rows(Dashboard(read_sales(spark, store)).summary("2026-01-31"))
+        assert (row["mtd_orders"], row["mtd_revenue"]) == (3, Decimal("31.00"))
+
+
+def test_key_check(spark):
+    good = spark.createDataFrame([(1,), (2,)], "k int")
+    bad = spark.createDataFrame([(1,), (1,), (1,), (None,), (None,)], "k int")
+    assert rows(key_check({"good": (good, "k"), "bad": (bad, "k")})) == [
+        {"table_name": "good", "bad_keys": 0, "surplus_rows": 0},
+        {"table_name": "bad", "bad_keys": 2, "surplus_rows": 4}]
+
+
+def test_widening(spark, files, tmp_path):
+    path = f"{tmp_path}/t"
+    long_text = "x" * 200
+    text = f"prod_id,add_on_id,data_limit\n1,{long_text},5\n"
+    with pytest.raises(PySparkException, match="longer than 100"):
+        loads.load_table(spark, files(text), PRODUCTS, path)
+    wide = PRODUCTS.widen(add_on_id=255, prod_id=LONG)
+    loads.load_table(spark, files(text), wide, path)
+    loads.rewrite_types(spark, path, wide.widen(data_limit=TEXT))
+    assert stored(spark, path, "prod_id", "add_on_id", "data_limit") == [(1, long_text, "5")]
+
+
+def test_narrowing_is_refused():
+    for table, change in [(PRODUCTS, {"add_on_id": 50}), (PRODUCTS, {"additional_note": 50}),
+                          (PRODUCTS, {"prod_id": 50}), (ORDERS, {"order_no": INT}), (PRODUCTS, {"amount": INT})]:
+        with pytest.raises(ValueError):
+            table.widen(**change)
+    assert PRODUCTS.widen(add_on_id=None).field("add_on_id").length is None
+
+
+def test_snake_case():
+    assert [snake_case(h) for h in ("addOnId", "fupLimit", " productName ", "order_no", "prodId")] == [
+        "add_on_id", "fup_limit", "product_name", "order_no", "prod_id"]
