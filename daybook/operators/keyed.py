@@ -22,9 +22,9 @@ def first_per_key(rows: DataFrame, key: str, position: Sequence[str]) -> DataFra
 def insert_if_absent(new: DataFrame, existing: DataFrame, key: str) -> DataFrame:
     """The rows of ``new`` whose key ``existing`` lacks.
 
-    The stored keys are first narrowed to those that occur in ``new``. For a
-    small batch Spark broadcasts its keys, sized at run time, and the stored
-    table is neither shuffled nor sent anywhere; a large batch is merged.
+    The stored keys are first narrowed to those that occur in ``new``. Keys of
+    a batch below Spark's broadcast threshold are broadcast for that, and the
+    stored table is not shuffled; those of a larger batch are merge-joined.
     """
     taken = existing.select(key).join(new.select(key), key, "left_semi")
     return new.join(taken, key, "left_anti")

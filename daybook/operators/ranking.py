@@ -33,14 +33,14 @@ def number_by_blocks(df: DataFrame, score: str, unique_id: str, alias: str = "ra
     its score in lower id blocks, plus its place in its own block:
 
     * a block holds at most 65,536 rows, as ids are unique;
-    * a score has at most 65,536 blocks, as ids are 32-bit integers;
+    * a score has at most 65,536 blocks, as user ids are 32-bit integers;
     * only one row per distinct score meets in one task. Scores are order
       counts, so N orders give at most sqrt(2 N) distinct ones.
 
     A score shared by a third of all rows is thereby spread over its blocks.
     """
     block = "_block"
-    blocked = df.withColumn(block, F.shiftright(F.col(unique_id).cast("int"), BLOCK_BITS))
+    blocked = df.withColumn(block, F.shiftright(F.col(unique_id), BLOCK_BITS))
     sizes = blocked.groupBy(score, block).agg(F.count(F.lit(1)).alias("_n"))
 
     def rows_before(window):

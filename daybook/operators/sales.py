@@ -24,9 +24,8 @@ def is_rollup(sales: DataFrame) -> bool:
 def order_count(sales: DataFrame, when: Column | None = None) -> Column:
     """Number of orders (for which ``when`` holds); 0 where there are none."""
     if is_rollup(sales):
-        n = F.col("orders") if when is None else F.when(when, F.col("orders"))
-        return F.coalesce(F.sum(n), F.lit(0)).cast("bigint")
-    return F.count(F.lit(1) if when is None else F.when(when, F.lit(1)))
+        return F.coalesce(F.sum(_if(when, F.col("orders"))), F.lit(0)).cast("bigint")
+    return F.count(_if(when, F.lit(1)))
 
 
 def revenue(sales: DataFrame, when: Column | None = None) -> Column:
@@ -35,8 +34,32 @@ def revenue(sales: DataFrame, when: Column | None = None) -> Column:
     The sum is exact decimal arithmetic, so it needs no rounding to cents and
     is the same for any order of tasks.
     """
-    value = F.col("revenue") if is_rollup(sales) else F.col("amount").cast(AMOUNT)
-    return F.sum(value if when is None else F.when(when, value)).cast(TOTAL)
+    value = F.col("revenue") if is_rollup(sales) else _amount()
+    return F.sum(_if(when, value)).cast(TOTAL)
+
+
+def revenue_per_group(sales: DataFrame, when: Column | None = None) -> Column:
+    """:func:`revenue` for use below ``groupBy``: same result, half the time.
+
+    A decimal sum wider than 18 digits is kept as a byte array in each group's
+    buffer and decoded for every row. So whole units and hundredths are summed
+    apart, both as 64-bit integers, and put together once per group. That holds
+    for 10^16 orders and 9 * 10^18 units per group.
+    """
+    if is_rollup(sales):
+        return revenue(sales, when)
+    units = _amount().cast("bigint")
+    # Sums of up to 8 digits are integer sums in Spark.
+    hundredths = (_amount() - units.cast(AMOUNT)).cast("decimal(8,2)")
+    return (F.sum(_if(when, units)).cast(TOTAL) + F.sum(_if(when, hundredths))).cast(TOTAL)
+
+
+def _amount() -> Column:
+    return F.col("amount").cast(AMOUNT)
+
+
+def _if(condition: Column | None, value: Column) -> Column:
+    return value if condition is None else F.when(condition, value)
 
 
 def between(sales: DataFrame, first: Column, last: Column) -> DataFrame:
@@ -62,4 +85,4 @@ def daily_cells(sales: DataFrame) -> DataFrame:
     NULL keys are kept, the reports treat them like NULLs of the orders.
     """
     return sales.groupBy("order_date", "created_by", "product_id").agg(
-        order_count(sales).alias("orders"), revenue(sales).alias("revenue"))
+        order_count(sales).alias("orders"), revenue_per_group(sales).alias("revenue"))

@@ -21,6 +21,15 @@ def clean_orders(orders: DataFrame, strict: bool = False) -> DataFrame:
         "order_no", day, "user_id", "product_id", "amount", "discount_amount", "created_by")
 
 
+def register_views(orders: DataFrame, **tables: DataFrame) -> None:
+    """Names ``orders``, its cleaned form ``orders_parsed`` and any other tables
+    for use in SQL text. Prefer a stored fact where it is queried often: the
+    view reads the date texts anew each time."""
+    views = {"orders": orders, "orders_parsed": clean_orders(orders), **tables}
+    for name, df in views.items():
+        df.createOrReplaceTempView(name)
+
+
 def date_quality(orders: DataFrame) -> DataFrame:
     """Orders whose date was read, names no day, is spelled in no known way, or is missing."""
     text = F.col("order_date_time")

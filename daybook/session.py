@@ -22,6 +22,8 @@ def local_session(cores: int = 8, app: str = "daybook", **conf: str) -> SparkSes
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.shuffle.partitions", str(cores))
+        # Sample files are small and local; split them so that all cores read.
+        .config("spark.sql.files.openCostInBytes", "512k")
         .config("spark.driver.memory", os.environ.get("DAYBOOK_DRIVER_MEMORY", "8g"))
     )
     for key, value in conf.items():

@@ -29,10 +29,9 @@ def charts_object(daily: DataFrame, monthly: DataFrame) -> DataFrame:
     Only for trends: their rows are days and months of a fixed span, at most
     61 and 12, so that each list is bounded whatever the data.
     """
-    return (
-        _series(daily, "date", "daily").crossJoin(_series(monthly, "month_start", "monthly"))
-        .select(F.to_json(F.struct("daily", "monthly"), KEEP_NULLS).alias("json"))
-    )
+    months = _series(monthly, "month_start", "monthly").scalar()
+    both = F.struct("daily", months.alias("monthly"))
+    return _series(daily, "date", "daily").select(F.to_json(both, KEEP_NULLS).alias("json"))
 
 
 def _series(df: DataFrame, key: str, alias: str) -> DataFrame:

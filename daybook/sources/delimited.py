@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,7 +11,7 @@ from daybook.schemas import TEXT, Field, Table
 
 #: Why a row cannot be stored; NULL for a good row.
 REASON = "_reason"
-#: The record as it was read.
+#: The record of a bad row, as it was read.
 RECORD = "_record"
 #: Input order: file, place of the split in the file, place of the row in the split.
 POSITION = ["_file", "_split", "_line"]
@@ -56,11 +54,14 @@ def read_csv(spark: SparkSession, path: str, table: Table, *, header_names: bool
         F.col("_metadata.file_block_start").alias(POSITION[1]),
         F.monotonically_increasing_id().alias(POSITION[2]),
     )
-    return texts.select(
-        *[_typed(f).alias(f.name) for f in table.fields],
-        _reason(table).alias(REASON),
-        F.coalesce(_MALFORMED, F.to_json(F.struct(*table.names), {"ignoreNullFields": "false"}))
-         .alias(RECORD),
+    # Each field is converted once; the verdict looks at the outcome.
+    converted = texts.select("*", *[_converted(f).alias(_value(f)) for f in table.fields])
+    judged = converted.select("*", _reason(table).alias(REASON))
+    record = F.coalesce(_MALFORMED, F.to_json(F.struct(*table.names), {"ignoreNullFields": "false"}))
+    return judged.select(
+        *[F.col(_value(f)).alias(f.name) for f in table.fields],
+        REASON,
+        F.when(F.col(REASON).isNotNull(), record).alias(RECORD),
         *POSITION,
     )
 
@@ -71,7 +72,11 @@ def accept_all(rows: DataFrame) -> DataFrame:
     return rows.filter(F.when(F.col(REASON).isNull(), True).otherwise(complaint.cast("boolean")))
 
 
-def _typed(field: Field) -> Column:
+def _value(field: Field) -> str:
+    return f"_{field.name}"
+
+
+def _converted(field: Field) -> Column:
     text = F.col(field.name)
     if field.type != TEXT:
         return text.try_cast(field.type)
@@ -82,20 +87,18 @@ def _typed(field: Field) -> Column:
 def _reason(table: Table) -> Column:
     malformed = F.when(F.col(_MALFORMED).isNotNull(), F.lit("malformed record"))
     missing = F.when(F.col(table.key).isNull(), F.lit(f"no {table.key}"))
-    reasons = [malformed, missing, *filter(lambda c: c is not None, map(_complaint, table.fields))]
-    return reduce(lambda a, b: F.coalesce(a, b), reasons)
+    checked = [f for f in table.fields if f.type != TEXT or f.length is not None]
+    return F.coalesce(malformed, missing, *map(_complaint, checked))
 
 
-def _complaint(field: Field) -> Column | None:
+def _complaint(field: Field) -> Column:
     text = F.col(field.name)
     if field.type != TEXT:
-        failed = text.isNotNull() & text.try_cast(field.type).isNull()
+        failed = text.isNotNull() & F.col(_value(field)).isNull()
         return F.when(failed, F.concat(
             F.lit(f"{field.name} is no {field.type.simpleString()}: "), text))
-    if field.length is not None:
-        return F.when(F.length(F.rtrim(text)) > field.length,
-                      F.lit(f"{field.name} is longer than {field.length}"))
-    return None
+    return F.when(F.length(F.rtrim(text)) > field.length,
+                  F.lit(f"{field.name} is longer than {field.length}"))
 
 
 def _quoted(name: str) -> str:

@@ -7,7 +7,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from daybook.functions.dates import as_date, as_month, month_start, month_tick, month_title, day_tick
-from daybook.plans.book import clean_orders, date_quality, unreadable_dates
+from daybook.plans.book import clean_orders, date_quality, register_views, unreadable_dates
 
 READ = {
     "01-01-2026": "2026-01-01",
@@ -58,6 +58,15 @@ def test_quality_counts(spark):
     assert unreadable_dates(df).count() == len(NO_SUCH_DAY) + len(UNKNOWN) + len(MISSING)
 
 
+def test_views_for_sql_text(spark):
+    register_views(orders(spark, [*READ, *UNKNOWN]), users=spark.createDataFrame([(1, "Ann")], "user_id int, name string"))
+    counts = spark.sql("""
+        SELECT count(*) AS orders, count(order_date) AS dated, max(order_date) AS latest,
+               (SELECT count(*) FROM users) AS users
+        FROM orders_parsed WHERE order_no >= :low""", args={"low": 0}).first()
+    assert tuple(counts) == (len(READ) + len(UNKNOWN), len(READ), dt.date(2026, 1, 13), 1)
+
+
 def test_month_arithmetic_and_labels(spark):
     day = F.lit(dt.date(2026, 3, 31))
     row = spark.range(1).select(

@@ -4,9 +4,11 @@ and over their rollup."""
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from daybook import Dashboard
 from daybook.operators.anchor import as_of, last_day, last_day_in
+from daybook.operators.sales import revenue, revenue_per_group
 from daybook.plans import reports
 from daybook.plans.book import rollup
 from frames import dashboard, date, rows, sales
@@ -190,6 +192,16 @@ def test_monthly_trend_has_twelve_months(spark, over):
          "monthly_orders": 1, "monthly_revenue": Decimal("4.00")}]
 
 
+def test_both_ways_to_sum_amounts_agree(spark):
+    amounts = ["0.01", "-0.01", "-1.99", "99999999.99", "-99999999.99", "12345678.90", None, "0.99"] * 50
+    s = sales(spark, *[(f"2026-03-{1 + i % 7:02}", a) for i, a in enumerate(amounts)], ("2026-03-30", None))
+    late = F.dayofmonth("order_date") > 3
+    for when in (None, late):
+        assert [r for r in rows(s.groupBy("order_date").agg(
+            revenue(s, when).alias("a"), revenue_per_group(s, when).alias("b"))) if r["a"] != r["b"]] == []
+    assert s.agg(revenue(s).alias("r")).dtypes == s.agg(revenue_per_group(s).alias("r")).dtypes
+
+
 def test_revenue_of_a_day_without_amounts_is_null(spark, over):
     s = over(sales(spark, ("2026-03-15", None)))
     assert rows(Dashboard(s).daily("2026-03-15"))[0]["daily_revenue"] is None
