@@ -21,35 +21,45 @@ TREND_MONTHS = 11
 TOP_DESTINATIONS = 10
 
 
-def _day() -> Column:
-    return F.col("order_date")
+#: The day a report is as of, carried by each row it reads. Naming a column many
+#: times is free; naming a scalar subquery makes Spark optimize it each time.
+TODAY = "_today"
 
 
-def _is_today(today: Column) -> Column:
-    return _day() == today
+def _rows(sales: DataFrame, first: Column, last: Column, today: Column) -> DataFrame:
+    return between(sales, first, last).withColumn(TODAY, today)
 
 
-def _month_to_date(today: Column) -> Column:
-    """Within sales that end at ``today``."""
-    return _day() >= month_start(today)
+def _two_months(sales: DataFrame, today: Column) -> DataFrame:
+    return _rows(sales, month_start(today, -1), today, today)
 
 
-def _previous_month(today: Column) -> Column:
-    return (_day() >= month_start(today, -1)) & (_day() < month_start(today))
+def _last_month(sales: DataFrame, today: Column) -> DataFrame:
+    return _rows(sales, month_start(today, -1), F.date_sub(month_start(today), 1), today)
 
 
-def _previous_to_same_day(today: Column) -> Column:
-    """Previous month up to today's day of the month. The 31st takes a shorter
-    month whole; the 28th of February takes only 28 days of January."""
-    return _previous_month(today) & (F.dayofmonth(_day()) <= F.dayofmonth(today))
+# Conditions on rows that reach from the previous month to today.
 
+def _day() -> Column:
+    return F.col("order_date")
 
-def _two_months(sales: DataFrame, today: Column) -> DataFrame:
-    return between(sales, month_start(today, -1), today)
 
+def _is_today() -> Column:
+    return _day() == F.col(TODAY)
 
-def _last_month(sales: DataFrame, today: Column) -> DataFrame:
-    return between(sales, month_start(today, -1), F.date_sub(month_start(today), 1))
+
+def _this_month() -> Column:
+    return _day() >= month_start(F.col(TODAY))
+
+
+def _previous_month() -> Column:
+    return _day() < month_start(F.col(TODAY))
+
+
+def _to_same_day() -> Column:
+    """Up to today's day of the month. The 31st takes a shorter month whole; the
+    28th of February takes only 28 days of January."""
+    return F.dayofmonth(_day()) <= F.dayofmonth(TODAY)
 
 
 def summary(sales: DataFrame, today: Column) -> DataFrame:
@@ -58,30 +68,30 @@ def summary(sales: DataFrame, today: Column) -> DataFrame:
     The today and same-day cards count 0 where there is nothing; the month
     cards are NULL then, labels included.
     """
-    this_month, last_month = _month_to_date(today), _previous_month(today)
-    same_day = _previous_to_same_day(today)
+    this_month, last_month = _this_month(), _previous_month()
+    same_day = last_month & _to_same_day()
     return _two_months(sales, today).agg(
-        order_count(sales, _is_today(today)).alias("today_orders"),
-        revenue(sales, _is_today(today)).alias("today_revenue"),
+        order_count(sales, _is_today()).alias("today_orders"),
+        revenue(sales, _is_today()).alias("today_revenue"),
         F.nullif(order_count(sales, this_month), F.lit(0)).alias("mtd_orders"),
         revenue(sales, this_month).alias("mtd_revenue"),
         order_count(sales, same_day).alias("prev_same_orders"),
         revenue(sales, same_day).alias("prev_same_revenue"),
         F.nullif(order_count(sales, last_month), F.lit(0)).alias("prev_full_orders"),
         revenue(sales, last_month).alias("prev_full_revenue"),
-    ).select(
-        today.alias("data_date"),
+    ).withColumn("data_date", today).select(
+        "data_date",
         "today_orders", "today_revenue",
-        _label("mtd_orders", month_title(today)).alias("mtd_label"),
+        _label("mtd_orders", F.col("data_date")).alias("mtd_label"),
         "mtd_orders", "mtd_revenue",
         "prev_same_orders", "prev_same_revenue",
-        _label("prev_full_orders", month_title(F.add_months(today, -1))).alias("prev_full_label"),
+        _label("prev_full_orders", F.add_months("data_date", -1)).alias("prev_full_label"),
         "prev_full_orders", "prev_full_revenue",
     )
 
 
-def _label(count: str, title: Column) -> Column:
-    return F.when(F.col(count).isNotNull(), title)
+def _label(count: str, day: Column) -> Column:
+    return F.when(F.col(count).isNotNull(), month_title(day))
 
 
 def today_card(sales: DataFrame, today: Column) -> DataFrame:
@@ -98,7 +108,7 @@ def month_to_date_card(sales: DataFrame, today: Column) -> DataFrame:
 
 def previous_same_day_card(sales: DataFrame, today: Column) -> DataFrame:
     """Orders and revenue of the previous month up to the same day; always one row."""
-    rows = _last_month(sales, today).filter(F.dayofmonth(_day()) <= F.dayofmonth(today))
+    rows = _last_month(sales, today).filter(_to_same_day())
     return rows.agg(order_count(sales).alias("prev_same_day_orders"),
                     revenue(sales).alias("prev_same_day_revenue"))
 
@@ -122,15 +132,14 @@ def leaderboard(sales: DataFrame, users: DataFrame, today: Column,
     and representatives are joined to its one row per creator. Those without
     an order this month are not listed. Ties are ranked by user id.
     """
-    this_month = _month_to_date(today)
     per_creator = (
         _two_months(sales, today).filter(F.col("created_by").isNotNull())
         .groupBy("created_by").agg(
-            order_count(sales, _is_today(today)).alias("day_orders"),
-            revenue_per_group(sales, _is_today(today)).alias("day_revenue"),
-            order_count(sales, this_month).alias("mtd_orders"),
-            revenue_per_group(sales, this_month).alias("mtd_revenue"),
-            order_count(sales, _previous_month(today)).alias("prev_month_orders"))
+            order_count(sales, _is_today()).alias("day_orders"),
+            revenue_per_group(sales, _is_today()).alias("day_revenue"),
+            order_count(sales, _this_month()).alias("mtd_orders"),
+            revenue_per_group(sales, _this_month()).alias("mtd_revenue"),
+            order_count(sales, _previous_month()).alias("prev_month_orders"))
         .filter(F.col("mtd_orders") > 0)
     )
     reps = users.filter(F.col("user_role") == SALES_REP).select(

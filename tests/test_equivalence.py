@@ -1,4 +1,5 @@
-"""One-pass reports against SQL at arbitrary days, over orders, fact and rollup."""
+"""One-pass reports against SQL, and against the plain form of the same reports,
+at arbitrary days, over orders and their rollup."""
 
 import datetime as dt
 
@@ -6,7 +7,9 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+import naive
 from daybook import Dashboard
+from daybook.operators.anchor import as_of
 from daybook.plans.book import rollup
 from daybook.registry import oracles
 from daybook.sources import sample
@@ -53,3 +56,12 @@ def test_lines(spark, con, lines, day, rolled):
     assert_same(board.top_destinations(day), con, oracles.destinations(anchor))
     assert_same(board.daily(day), con, oracles.daily(name, anchor))
     assert_same(board.monthly(day), con, oracles.monthly(name, anchor))
+
+
+@RUNS
+@given(day=st.one_of(st.none(), DAYS))
+def test_plain_form(lines, day):
+    today = as_of(lines.sales, day)
+    assert lines.summary(day).collect() == naive.summary(lines.sales, today).collect()
+    assert lines.leaderboard(day).collect() == sorted(
+        naive.leaderboard(lines.sales, lines.users, today).collect())
