@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from daybook.operators.keyed import first_per_key, insert_if_absent, key_violations
@@ -52,22 +52,21 @@ def insert_good_rows(spark: SparkSession, csv_path: str, table: Table, path: str
 
 def _insert(spark: SparkSession, rows: DataFrame, table: Table, path: str,
             quarantine: str | None = None) -> LoadReport:
-    # The text is parsed once, into a staged table that all later steps and
-    # counts read. It also fixes the row positions, which a lost task would
-    # otherwise number anew.
+    # The text is parsed once, into a staged table that all later steps read. It
+    # also fixes the row positions, which a lost task would otherwise number anew.
+    # Rows are counted as they are written, so no table is read for its size.
     staging = scratch(spark, f"load-{table.name}")
     try:
-        rows.write.parquet(staging)
+        parsed, added = Observation(), Observation()
+        rows.observe(parsed, F.count(F.lit(1)).alias("rows"), F.count(REASON).alias("bad")).write.parquet(staging)
         staged = spark.read.parquet(staging)
         good = staged.filter(F.col(REASON).isNull()).drop(REASON, RECORD)
-        bad = staged.filter(F.col(REASON).isNotNull())
-        read, rejected = staged.count(), bad.count()
-        before = spark.read.parquet(path).count() if exists(spark, path) else 0
 
         fresh = merge_batch(spark, good, table, path).select(*table.names)
-        fresh.write.mode("append").parquet(path)
-        inserted = spark.read.parquet(path).count() - before
+        fresh.observe(added, F.count(F.lit(1)).alias("rows")).write.mode("append").parquet(path)
+        read, rejected, inserted = parsed.get["rows"], parsed.get["bad"], added.get["rows"]
         if rejected:
+            bad = staged.filter(F.col(REASON).isNotNull())
             bad.select(REASON, RECORD, *POSITION).write.mode("append").parquet(quarantine)
     finally:
         delete(spark, staging)

@@ -135,6 +135,31 @@ def test_first_row_of_a_key_wins_and_stored_rows_stay(spark, files, tmp_path):
     assert stored(spark, path, "prod_id", "validity") == [(1, 10), (2, 20), (3, 30)]
 
 
+def test_a_file_without_rows(spark, files, tmp_path):
+    path = f"{tmp_path}/t"
+    empty = files("prod_id,validity\n", "empty.csv")
+    for _ in range(2):
+        assert loads.insert_all_or_nothing(spark, empty, PRODUCTS, path) == LoadReport(0, 0, 0, 0)
+    assert loads.insert_all_or_nothing(spark, files("prod_id\n1\n"), PRODUCTS, path).inserted == 1
+    assert loads.insert_all_or_nothing(spark, empty, PRODUCTS, path) == LoadReport(0, 0, 0, 0)
+    assert stored(spark, path, "prod_id") == [(1,)]
+
+
+def test_a_large_batch_is_merge_joined(spark, files, tmp_path):
+    """The same outcome where nothing may be broadcast."""
+    key, path = "spark.sql.autoBroadcastJoinThreshold", f"{tmp_path}/t"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        loads.insert_all_or_nothing(spark, files("prod_id,validity\n1,10\n2,20\n", "a.csv"), PRODUCTS, path)
+        report = loads.insert_all_or_nothing(
+            spark, files("prod_id,validity\n2,99\n3,30\n3,31\n", "b.csv"), PRODUCTS, path)
+    finally:
+        spark.conf.set(key, before)
+    assert report == LoadReport(3, 1, 2, 0)
+    assert stored(spark, path, "prod_id", "validity") == [(1, 10), (2, 20), (3, 30)]
+
+
 def test_a_bad_row_does_not_take_a_key(spark, files, tmp_path):
     path = files("prod_id,validity\n1,x\n1,10\n")
     report = loads.insert_good_rows(spark, path, PRODUCTS, f"{tmp_path}/t", f"{tmp_path}/bad")
