@@ -15,7 +15,7 @@ SLASHED = r"^\d{2}/\d{2}/\d{4}"
 
 
 def looks_like_date(text: Column) -> Column:
-    return F.coalesce(text.rlike(DASHED) | text.rlike(SLASHED), F.lit(False))
+    return F.coalesce(text.rlike(f"{DASHED}|{SLASHED}"), F.lit(False))
 
 
 def parse_order_date(text: Column, strict: bool = False) -> Column:
@@ -25,8 +25,10 @@ def parse_order_date(text: Column, strict: bool = False) -> Column:
     NULL as well, or stops the query when ``strict``. Of the slashed spelling
     only the ten characters of the day are read; the time of day is not checked.
     """
-    parsed = F.when(text.rlike(DASHED), F.try_to_date(text, "MM-dd-yyyy")).when(
-        text.rlike(SLASHED), F.try_to_date(F.substring(text, 1, 10), "MM/dd/yyyy"))
+    # Month, day and year stand at the same places in both spellings. Turned
+    # round they make an ISO date, which is cast faster than a pattern is parsed.
+    iso = F.concat_ws("-", F.substring(text, 7, 4), F.substring(text, 1, 2), F.substring(text, 4, 2))
+    parsed = F.when(looks_like_date(text), iso.try_cast("date"))
     if not strict:
         return parsed
     complaint = F.raise_error(F.concat(F.lit("no such order date: "), text)).cast("date")

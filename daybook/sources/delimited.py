@@ -67,9 +67,18 @@ def read_csv(spark: SparkSession, path: str, table: Table, *, header_names: bool
 
 
 def accept_all(rows: DataFrame) -> DataFrame:
-    """The rows if all are good; the first bad one stops the job that reads them."""
+    """The rows if all are good; the first bad one stops the job that reads any
+    column of it.
+
+    The check sits in the columns. As a filter Spark would move it below the
+    conversions and repeat them all.
+    """
     complaint = F.raise_error(F.concat(F.lit("bad row: "), REASON, F.lit(" in "), RECORD))
-    return rows.filter(F.when(F.col(REASON).isNull(), True).otherwise(complaint.cast("boolean")))
+    own = {REASON, RECORD, *POSITION}
+    return rows.select(*[
+        c if c in own else
+        F.when(F.col(REASON).isNull(), F.col(c)).otherwise(complaint.cast(rows.schema[c].dataType)).alias(c)
+        for c in rows.columns])
 
 
 def _value(field: Field) -> str:
