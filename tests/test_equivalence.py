@@ -6,6 +6,7 @@ import datetime as dt
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import naive
 from daybook import Dashboard
@@ -65,3 +66,24 @@ def test_plain_form(lines, day):
     assert lines.summary(day).collect() == naive.summary(lines.sales, today).collect()
     assert lines.leaderboard(day).collect() == sorted(
         naive.leaderboard(lines.sales, lines.users, today).collect())
+
+
+def test_hot_keys(spark, lines):
+    """A third of all orders by one creator, of one product, in one month."""
+    hot = F.xxhash64("order_no", "product_id") % 3 == 0
+    skewed = lines.sales.select(
+        "order_no", "amount",
+        F.when(hot, F.lit(dt.date(1998, 3, 9))).otherwise(F.col("order_date")).alias("order_date"),
+        F.when(hot, F.lit(7)).otherwise(F.col("product_id")).alias("product_id"),
+        F.when(hot, F.lit(3)).otherwise(F.col("created_by")).alias("created_by"))
+    today = as_of(skewed, "1998-03-31")
+    plain = naive.summary(skewed, today).collect()
+    ranks = sorted(naive.leaderboard(skewed, lines.users, today).collect())
+    counts = skewed.filter("order_date >= '1998-03-01' AND order_date <= '1998-03-31'").join(
+        lines.products, F.col("product_id") == F.col("prod_id")).groupBy("coverage_destinations").count()
+    for sales in (skewed, rollup(skewed)):
+        board = Dashboard(sales, lines.users, lines.products, lines.destinations)
+        assert board.summary("1998-03-31").collect() == plain
+        assert board.leaderboard("1998-03-31").collect() == ranks
+        found = board.top_destinations("1998-03-31", limit=None).agg(F.sum("order_count")).first()[0]
+        assert found == counts.agg(F.sum("count")).first()[0]

@@ -25,5 +25,23 @@ def test_query(spark, con, name):
     assert (rows == 0) == (name in EMPTY)
 
 
+def test_other_session_settings(spark):
+    """No adaptive execution, no broadcast, lenient casts, another time zone."""
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.ansi.enabled": "false", "spark.sql.session.timeZone": "America/Sao_Paulo"}
+    small = f"{TESTDATA}/sf0.001"
+    before = {key: spark.conf.get(key) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        with database(small) as con:
+            for name in contract.queries():
+                if not name.startswith("csv_"):
+                    assert_same(contract.queries()[name](spark, small), con, contract.oracle_sql()[name])
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def test_entry(spark):
     assert contract.entry(spark).count() > 0
