@@ -7,8 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daybook.llm import mixing, quality, sharding
+from daybook.llm import export, mixing, packing, quality, sharding
 from daybook.llm.words import n_words
+from daybook.session import scratch
+
+VOCABULARY = "word_bpe_49k.json"
+
+
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY)
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -36,5 +45,15 @@ def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
+def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(packing.pieces(_documents(spark, folder), _tokenizer()))
+
+
+def op10_export(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch(spark, "tokens")
+    export.write(_documents(spark, folder), path, _tokenizer())
+    return export.read(spark, path, with_ids=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op4_quality, op6_mixing)}
+    return {f.__name__: f for f in (op1_sharding, op4_quality, op6_mixing, op9_packing, op10_export)}
