@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daybook.llm import export, mixing, packing, quality, sharding
+from daybook.llm import export, mixing, packing, quality, sharding, simhash, substrings
 from daybook.llm.words import n_words
 from daybook.session import scratch
 
@@ -39,12 +39,21 @@ def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
         (~quality.passes(quality.BASE)).alias("base_failed"), quality.passes(quality.POLICY).alias("kept"), "failures")
 
 
+def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(_documents(spark, folder))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = _documents(spark, folder).select("doc_id", "source", n_words(F.col("text")).alias("size"))
     mixed = mixing.mix(docs, F.col("doc_id"), F.col("size"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
+def op8_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.remove(_documents(spark, folder).select("doc_id", "text")).drop("text")
+
+
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(packing.pieces(_documents(spark, folder), _tokenizer()))
 
@@ -56,4 +65,4 @@ def op10_export(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op4_quality, op6_mixing, op9_packing, op10_export)}
+    return {f.__name__: f for f in (op1_sharding, op4_quality, op5_simhash, op6_mixing, op8_substrings, op9_packing, op10_export)}
