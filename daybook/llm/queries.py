@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daybook.llm import export, mixing, packing, quality, sharding, simhash, substrings
+from daybook.llm import export, language, mixing, packing, quality, sharding, simhash, substrings, topk
 from daybook.llm.words import n_words
 from daybook.session import scratch
 
@@ -32,6 +32,19 @@ def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"), "home_shard")
 
 
+def op2_topk(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding")
+    return topk.search(vectors, F.col("vec_id") % 100 == 0)
+
+
+def op3_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _documents(spark, folder)
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    profiles = language.learn(docs.filter(~F.coalesce(held_out, F.lit(False))).select("doc_id", "text", "lang"))
+    named = language.predict(docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out")), profiles)
+    return named.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
     rows = quality.ledger(_documents(spark, folder).select("doc_id", "text"))
     return rows.select(
@@ -65,4 +78,4 @@ def op10_export(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op4_quality, op5_simhash, op6_mixing, op8_substrings, op9_packing, op10_export)}
+    return {f.__name__: f for f in (op1_sharding, op2_topk, op3_language, op4_quality, op5_simhash, op6_mixing, op8_substrings, op9_packing, op10_export)}
