@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daybook.llm import export, language, mixing, packing, quality, sharding, simhash, substrings, topk
+from daybook.llm import export, language, mixing, packing, quality, scoring, sharding, simhash, substrings, topk
 from daybook.llm.words import n_words
 from daybook.session import scratch
 
@@ -63,6 +63,11 @@ def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
+def op7_likelihood(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(False))
+    return scoring.likelihoods(_documents(spark, folder), held_out)
+
+
 def op8_substrings(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.remove(_documents(spark, folder).select("doc_id", "text")).drop("text")
 
@@ -78,4 +83,4 @@ def op10_export(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_topk, op3_language, op4_quality, op5_simhash, op6_mixing, op8_substrings, op9_packing, op10_export)}
+    return {f.__name__: f for f in (op1_sharding, op2_topk, op3_language, op4_quality, op5_simhash, op6_mixing, op7_likelihood, op8_substrings, op9_packing, op10_export)}
