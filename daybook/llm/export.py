@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from daybook.llm.staging import tasks
-from daybook.llm.tokens import encoder
+from daybook.llm.tokens import encoder, pack
 from daybook.llm.workers import ready
 
 # Production parameters.
@@ -54,11 +54,13 @@ def serialize(ids: bytes, width: int) -> bytes:
 def train(docs: DataFrame, tokenizer: str, end: int = END) -> bytes:
     """A dictionary from ids of a bounded sample: the documents with the smallest hashes among
     the shorter ones. Empty where there are too few to train on."""
-    rank = F.xxhash64("doc_id", "text")
-    short = docs.select("text", rank.alias("_rank")).filter(F.octet_length("text") <= SAMPLE_TEXT)
-    encode, tail = encoder(tokenizer).ids, np.array([end], "<u4").tobytes()
+    draw = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))
+    # The draw lets through about as many as are wanted, so that tasks send little to the driver.
+    drawn = docs.filter(draw * docs.count() < SAMPLE_DOCS).filter(F.octet_length("text") <= SAMPLE_TEXT)
+    encode, tail = encoder(tokenizer).ids, pack([end])
     width = _width(tokenizer, end)
-    samples = [serialize(encode(row.text) + tail, width) for row in short.orderBy("_rank").limit(SAMPLE_DOCS).collect()]
+    texts = drawn.select("text", draw.alias("draw")).orderBy("draw", "text").limit(SAMPLE_DOCS).collect()
+    samples = [serialize(encode(row.text) + tail, width) for row in texts]
     if len(samples) < 8:
         return b""
     try:
@@ -111,7 +113,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = END) -> None:
     width = _width(tokenizer, end)
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, tail = encoder(tokenizer).ids, np.array([end], "<u4").tobytes()
+        ids_of, tail = encoder(tokenizer).ids, pack([end])
         part, seq, before = TaskContext.get().partitionId(), 0, 0
         docs_of, texts, held = [], [], 0
 

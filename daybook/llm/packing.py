@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from daybook.llm.staging import stage
-from daybook.llm.tokens import encoder
+from daybook.llm.tokens import encoder, pack as pack_ids
 from daybook.llm.workers import ready
 
 # Production parameters.
@@ -41,7 +41,7 @@ _ITEM = np.dtype([("doc_id", "<i8"), ("has_id", "<i8"), ("piece", "<i8"), ("star
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """A row for each piece of each document: doc_id, piece, start, length, ids_crc32."""
     ready(docs.sparkSession)
-    tail = np.array([end], dtype="<u4").tobytes()
+    tail = pack_ids([end])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).ids

@@ -14,7 +14,7 @@ from daybook.session import scratch
 VOCABULARY = "word_bpe_49k.json"
 
 
-def _tokenizer() -> str:
+def tokenizer() -> str:
     import public_tokenizers
 
     return public_tokenizers.path(VOCABULARY)
@@ -73,12 +73,12 @@ def op8_substrings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.pack(packing.pieces(_documents(spark, folder), _tokenizer()))
+    return packing.pack(packing.pieces(_documents(spark, folder), tokenizer()))
 
 
 def op10_export(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch(spark, "tokens")
-    export.write(_documents(spark, folder), path, _tokenizer())
+    export.write(_documents(spark, folder), path, tokenizer())
     return export.read(spark, path, with_ids=False)
 
 

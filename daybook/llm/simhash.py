@@ -59,15 +59,17 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and ``fp``, a long, of every row; whole texts, A-Z in lower case."""
+    """doc_id, ``_text`` (a hash of the text) and ``fp``, a long, of every row; whole texts, A-Z in lower case."""
     ready(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(text or b"", shingle) for text in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
+            found = [fingerprint(text or b"", shingle) for text in batch.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("_text"), pa.array(found, pa.int64())], ["doc_id", "_text", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_text"), "text")
+    return texts.mapInArrow(run, "doc_id long, _text long, fp long")
 
 
 def _cells(fps: np.ndarray, segments: int, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -142,13 +144,29 @@ def links(fps: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS, cr
     return reduce(DataFrame.unionByName, found).distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, segments: int = SEGMENTS) -> DataFrame:
-    """doc_id, ``fp`` and ``component_id``, the smallest doc_id that links reach, of every row."""
+def _grouped(docs: DataFrame, shingle: int, distance: int, segments: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, _text, fp) of every row, and (fp, root, component_id) of every fingerprint."""
     prints = stage(fingerprints(docs, shingle), "prints")
     distinct = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = components(links(distinct, distance, segments))
-    linked = stage(distinct.join(roots, distinct["fp"] == roots["node"]).select("fp", "first", "root"), "linked")
-    smallest = linked.groupBy("root").agg(F.min("first").alias("smallest"))
-    moved = linked.join(smallest, "root").select("fp", "smallest")
-    named = distinct.join(moved, "fp", "left").select("fp", F.coalesce("smallest", "first").alias("component_id"))
+    roots = components(links(distinct, distance, segments)).withColumnsRenamed({"node": "fp"})
+    named = stage(distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "named")
+    smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    return prints, named.join(smallest, "root").select("fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, segments: int = SEGMENTS) -> DataFrame:
+    """doc_id, ``fp`` and ``component_id``, the smallest doc_id that links reach, of every row."""
+    prints, named = _grouped(docs, shingle, distance, segments)
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def representatives(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, segments: int = SEGMENTS) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest doc_id, and of its texts that of the smallest hash."""
+    prints, named = _grouped(docs, shingle, distance, segments)
+    smallest = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "_text")).alias("kept")
+    kept = prints.join(named, "fp").groupBy("root").agg(smallest).select(
+        F.col("kept.doc_id").alias("_doc"), F.col("kept._text").alias("_hash"))
+    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("_doc"), F.xxhash64("text").alias("_hash"))
+    same = (rows["_doc"].eqNullSafe(kept["_doc"])) & (rows["_hash"] == kept["_hash"])
+    # Equal rows of one document are one.
+    return rows.join(kept, same, "left_semi").dropDuplicates(["_doc", "_hash"]).select("doc.*")

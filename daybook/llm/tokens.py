@@ -9,10 +9,10 @@ from __future__ import annotations
 
 import functools
 import re
+import sys
+from array import array
 
-import numpy as np
-
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 LONGEST = 64
 # White space to one of the two only, or so in some versions.
 _ODD_ASCII = "\x1c\x1d\x1e\x1f"
@@ -21,6 +21,25 @@ _TAIL = ".,;:!?&%$#*"
 _PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ňŊ-ž]+")
 
 
+def pack(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    found = array("I", ids)
+    if sys.byteorder == "big":
+        found.byteswap()
+    return found.tobytes()
+
+
+class _Letters(dict):
+    """Characters as the model spells their bytes."""
+
+    def __init__(self, spell):
+        self._spell = spell
+
+    def __missing__(self, char: str) -> str:
+        found = self[char] = self._spell(char)[0][0]
+        return found
+
+
 class Encoder(dict):
     """From a chunk to its ids as little-endian unsigned 32-bit integers."""
 
@@ -30,7 +49,7 @@ class Encoder(dict):
         self._all = Tokenizer.from_file(path)
         self._model = self._all.model
         self.highest = max(self._all.get_vocab().values())
-        self._bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self._letters = _Letters(pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str)
 
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= REMEMBERED:
@@ -48,11 +67,9 @@ class Encoder(dict):
             if (low := chunk.lower()) != chunk:
                 return self[low]
             # Lower-case letters alone are one word to the model.
-            word = chunk if chunk.isascii() else self._bytes.pre_tokenize_str(chunk)[0][0]
-            ids = [token.id for token in self._model.tokenize(word)]
-        else:
-            ids = self.whole(chunk)
-        return np.array(ids, dtype="<u4").tobytes()
+            word = chunk if chunk.isascii() else "".join(map(self._letters.__getitem__, chunk))
+            return pack([token.id for token in self._model.tokenize(word)])
+        return pack(self.whole(chunk))
 
     def whole(self, text: str) -> list[int]:
         return self._all.encode(text, add_special_tokens=False).ids
@@ -63,7 +80,7 @@ class Encoder(dict):
             return b""
         odd = any(c in text for c in _ODD_ASCII) if text.isascii() else _ODD.search(text)
         if odd:
-            return np.array(self.whole(text), dtype="<u4").tobytes()
+            return pack(self.whole(text))
         return b"".join(map(self.__getitem__, text.split()))
 
 
