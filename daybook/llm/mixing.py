@@ -75,7 +75,7 @@ def mix(docs: DataFrame, key: Column, size: Column, weights: tuple[int, ...] = W
     again = open_sizes.groupBy("_key").count().filter("count > 1").select("_key", F.lit(True).alias("_again"))
     counts = open_sizes.groupBy(F.col("source").alias("_of")).agg(F.count(F.lit(1)).alias("_n"))
     rates = goals.join(counts, F.col("source").eqNullSafe(F.col("_of"))).select(
-        "_of", (F.col("target") / F.col("source_size")).alias("_rate"), F.ceil(F.col("_n") / BLOCK).cast("long").alias("blocks"))
+        "_of", _rate().alias("_rate"), F.ceil(F.col("_n") / BLOCK).cast("long").alias("blocks"))
     fraction = F.col("_rate") - F.floor("_rate")
     level = (
         open_sizes.join(rates, F.col("source").eqNullSafe(F.col("_of"))).filter(fraction > 0)
@@ -96,16 +96,21 @@ def mix(docs: DataFrame, key: Column, size: Column, weights: tuple[int, ...] = W
         depth, blocks = depth + 1, 0 if blocks == 1 else -(-blocks // BLOCK)
     # One document of each source is left with a fraction: it goes to the nearer side.
     decided.append(level.select(F.col("item.id").alias("id"), (F.col("item.p") > 0.5).cast("int").alias("taken")))
-    taken = reduce(DataFrame.unionByName, decided).withColumnRenamed("id", "_id")
+    taken = reduce(DataFrame.unionByName, decided).withColumnsRenamed({"id": "_id", "taken": "_taken"})
     goals = goals.withColumnRenamed("source", "_of")
-    whole = F.floor(F.col("target") / F.col("source_size"))
+    whole = F.floor(_rate())
     return (
         numbered.join(goals, F.col("source").eqNullSafe(F.col("_of"))).join(taken, "_id", "left")
-        .withColumn("copies", F.when(F.col("size") > 0, whole + F.coalesce("taken", F.lit(0))).otherwise(0).cast("long"))
-        .drop("_id", "_key", "_of", "taken")
+        .withColumn("copies", F.when(F.col("size") > 0, whole + F.coalesce("_taken", F.lit(0))).otherwise(0).cast("long"))
+        .drop("_id", "_key", "_of", "_taken")
     )
 
 
+def _rate() -> Column:
+    """How often a source's documents are taken on average."""
+    return F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+
+
 def _draw(seed: int, *of: Column) -> Column:
     """A number from 0 to below 1."""
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *of), 11) / F.lit(float(1 << 53))

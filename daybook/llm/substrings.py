@@ -237,9 +237,9 @@ def remove(docs: DataFrame, window: int = WINDOW, length: int = MINIMISER, crowd
     """
     docs = docs.drop(*RESULTS, *[c for c in docs.columns if c.startswith("_")])
     found = repeats(docs, window, length, crowd)
-    joined = docs.withColumn("_text", F.xxhash64("text")).join(
-        found.withColumnsRenamed({"doc_id": "_doc"}),
-        (F.col("doc_id").cast("long") == F.col("_doc")) & (F.xxhash64("text") == found["_text"]), "left").drop("_doc", found["_text"], "_text")
+    found = found.withColumnsRenamed({"doc_id": "_doc", "_text": "_hash", "whole": "_whole", "spans": "_spans"})
+    same = (F.col("doc_id").cast("long") == F.col("_doc")) & (F.xxhash64("text") == F.col("_hash"))
+    joined = docs.join(found, same, "left")
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
                            T.StructField("kept_sha256", T.StringType())])
     names, arrow = docs.columns, to_arrow_schema(schema)
@@ -247,7 +247,7 @@ def remove(docs: DataFrame, window: int = WINDOW, length: int = MINIMISER, crowd
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept_texts, results = [], []
-            for text, whole, spans in zip(*(batch.column(c).to_pylist() for c in ("text", "whole", "spans"))):
+            for text, whole, spans in zip(*(batch.column(c).to_pylist() for c in ("text", "_whole", "_spans"))):
                 words = (text or "").encode().split()
                 keep = np.ones(len(words), dtype=bool)
                 if whole:
@@ -263,4 +263,4 @@ def remove(docs: DataFrame, window: int = WINDOW, length: int = MINIMISER, crowd
             columns += [pa.array(c, arrow.field(name).type) for c, name in zip(counts, RESULTS)]
             yield pa.RecordBatch.from_arrays(columns, [*names, *RESULTS])
 
-    return joined.select(*names, "whole", "spans").mapInArrow(run, schema)
+    return joined.select(*names, "_whole", "_spans").mapInArrow(run, schema)

@@ -11,7 +11,7 @@ what the driver and every task hold of them.
 Vectors that are null, hold null or non-finite components, or have no id take no part; nor do candidates of another length
 than the query's. Of several query rows with one id the smallest vector is asked, and no row with the
 query's id is its candidate. Repeated candidates are found each. Fewer rows than k give fewer answers, an empty table none.
-Scores beyond 64 bits are compared exactly and returned as the largest or smallest long. Extra columns are not read.
+Scores beyond 64 bits count as the largest or smallest long. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -99,7 +99,8 @@ class Tree:
         """All points, in whole numbers of any size."""
         whole = [int(x) for x in query]
         for point, vec_id in zip(self.points, self.ids):
-            best.offer(sum(a * int(b) for a, b in zip(whole, point)), int(vec_id), own)
+            score = sum(a * int(b) for a, b in zip(whole, point))
+            best.offer(min(max(score, -_LONG - 1), _LONG), int(vec_id), own)
 
 
 class Best:
@@ -183,7 +184,7 @@ def _ask(shards: DataFrame, asked: list[tuple[int, np.ndarray, float]], k: int)
                         tree.search(x, q, bounds[i], best[q, dim])
                     else:
                         tree.scan(x, q, best[q, dim])
-        rows = [(q, -vec_id, min(max(score, -_LONG - 1), _LONG)) for (q, _), own in best.items() for score, vec_id in own.heap]
+        rows = [(q, -vec_id, score) for (q, _), own in best.items() for score, vec_id in own.heap]
         columns = list(zip(*rows)) or [()] * 3
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["query_id", "vec_id", "score"])
 
