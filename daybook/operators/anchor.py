@@ -16,25 +16,29 @@ from daybook.functions.dates import as_date, as_month
 from daybook.operators.sales import MONTH, between
 
 
-def as_of(sales: DataFrame, date: dt.date | str | None = None, month: str | None = None) -> Column:
+def as_of(sales: DataFrame, date: dt.date | str | None = None, month: str | None = None,
+          newest: dt.date | None = None) -> Column:
     """``date`` if given, else the last order date inside ``month`` if given,
-    else the last order date of all."""
+    else the last order date of all, which is in the month ``newest`` if that is known."""
     if date is not None and month is not None:
         raise ValueError("give a date or a month, not both")
     if date is not None:
         return F.lit(as_date(date))
     if month is not None:
         return last_day_in(sales, month).scalar()
-    return last_day(sales).scalar()
+    return last_day(sales, newest).scalar()
 
 
-def last_day(sales: DataFrame) -> DataFrame:
+def last_day(sales: DataFrame, newest: dt.date | None = None) -> DataFrame:
     """One row ``today``: the latest order date, NULL if there is none.
 
-    On a stored fact only the newest month is read; which one that is comes
-    from the partition column, for which no data column is touched.
+    On a stored fact only the newest month is read. Where the caller knows which one that is
+    (``daybook.sources.stored.newest_month`` lists the folder), no other month is opened; else
+    the partition column is read to the end, which costs no data column but passes over every row.
     """
-    if MONTH in sales.columns:
+    if newest is not None:
+        sales = sales.filter(F.col(MONTH) == F.lit(newest))
+    elif MONTH in sales.columns:
         newest = sales.agg(F.max(MONTH).alias(MONTH)).scalar()
         sales = sales.filter(F.col(MONTH) == newest)
     return sales.agg(F.max("order_date").alias("today"))

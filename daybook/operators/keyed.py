@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 def first_per_key(rows: DataFrame, key: str, position: Sequence[str]) -> DataFrame:
     """Of the rows with one key the first by ``position``; ``position`` is dropped.
 
-    An aggregate rather than a window: it folds in every task before the
-    shuffle, so a key repeated in a third of all rows sends one row per task.
+    It folds in every task before the shuffle, so a key repeated in a third of
+    all rows sends one row per task. Spark sorts rows by key for it, as it does for a
+    window limited to the first row; the two took the same time on 1.8 million
+    rows, with even keys (2.9 and 3.3 s) and a hot one (1.9 and 2.1 s).
     """
     values = [c for c in rows.columns if c != key and c not in position]
     first = F.min_by(F.struct(*values), F.struct(*position)).alias("_row")

@@ -5,31 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from daybook.operators.size import is_small
-
 #: Ids that share all but their low 16 bits form a block: at most 65,536 rows.
 BLOCK_BITS = 16
 
 
-def number_rows(df: DataFrame, score: str, unique_id: str, bounded_by: DataFrame,
-                alias: str = "rank") -> DataFrame:
+def number_rows(df: DataFrame, score: str, unique_id: str, alias: str = "rank") -> DataFrame:
     """Adds ``alias`` = position in the order (``score`` descending, ``unique_id``).
 
-    ``bounded_by`` holds every ``unique_id`` that can occur, once. If it is
-    small enough to be broadcast, so are the rows to number, and one task sorts
-    them. Otherwise they are numbered block by block.
-    """
-    number = number_in_one_task if is_small(bounded_by) else number_by_blocks
-    return number(df, score, unique_id, alias)
-
-
-def number_in_one_task(df: DataFrame, score: str, unique_id: str, alias: str = "rank") -> DataFrame:
-    number = F.row_number().over(Window.orderBy(F.desc(score), unique_id))
-    return df.withColumn(alias, number.cast("bigint"))
-
-
-def number_by_blocks(df: DataFrame, score: str, unique_id: str, alias: str = "rank") -> DataFrame:
-    """A row's number is the number of rows with a higher score, plus those of
+    A row's number is the number of rows with a higher score, plus those of
     its score in lower id blocks, plus its place in its own block:
 
     * a block holds at most 65,536 rows, as ids are unique;
@@ -41,7 +24,12 @@ def number_by_blocks(df: DataFrame, score: str, unique_id: str, alias: str = "ra
     """
     block = "_block"
     blocked = df.withColumn(block, F.shiftright(F.col(unique_id), BLOCK_BITS))
-    sizes = blocked.groupBy(score, block).agg(F.count(F.lit(1)).alias("_n"))
+    # The sizes look at all columns, so that both uses of ``df`` read the same ones and Spark
+    # makes it once: it would cut the columns of one that needs fewer, and scan its tables again.
+    sizes = (
+        blocked.groupBy(score, block).agg(F.count(F.lit(1)).alias("_n"), F.max(F.xxhash64(*df.columns)).alias("_all"))
+        .filter(F.col("_all").isNotNull()).drop("_all")
+    )
 
     def rows_before(window):
         before = F.sum("_n").over(window.rowsBetween(Window.unboundedPreceding, -1))

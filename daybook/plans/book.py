@@ -6,12 +6,18 @@ and sorted by day within files, so that row groups of other days are skipped.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import datetime as dt
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daybook.functions.dates import looks_like_date, month_start, parse_order_date
+from daybook.functions.dates import as_month, looks_like_date, month_start, parse_order_date
+from daybook.operators.keyed import first_per_key, insert_if_absent
 from daybook.operators.sales import MONTH, daily_cells
-from daybook.sinks.files import replace_table
+from daybook.session import scratch
+from daybook.sinks.files import delete, replace_partitions, replace_table
+from daybook.sources.stored import read_sales
 
 
 def clean_orders(orders: DataFrame, strict: bool = False) -> DataFrame:
@@ -47,16 +53,22 @@ def unreadable_dates(orders: DataFrame) -> DataFrame:
     return orders.filter(parse_order_date(F.col("order_date_time")).isNull())
 
 
+#: Rows of a month are spread over so many parts: by day, and rows without a date by their content.
+PARTS = 31
+
+
 def by_month(sales: DataFrame) -> DataFrame:
     """``sales`` laid out for a write partitioned by month.
 
-    ``rebalance`` gathers each month into few files and lets AQE split a month
-    that is too large for one task, however many of all rows it holds.
+    A month's days are dealt out among tasks, and so are the rows without a date, so that neither
+    depends on adaptive execution to be split. With it, ``rebalance`` also joins small parts and splits large ones.
     """
+    part = F.coalesce(F.dayofmonth("order_date"), F.pmod(F.xxhash64(*sales.columns), F.lit(PARTS)).cast("int"))
     return (
-        sales.withColumn(MONTH, month_start(F.col("order_date")))
-        .hint("rebalance", MONTH)
+        sales.withColumns({MONTH: month_start(F.col("order_date")), "_part": part})
+        .hint("rebalance", MONTH, "_part")
         .sortWithinPartitions(MONTH, "order_date")
+        .drop("_part")
     )
 
 
@@ -74,13 +86,48 @@ def write_rollup(sales: DataFrame, path: str) -> None:
     replace_table(by_month(rollup(sales)), path, partition_by=MONTH)
 
 
-def refresh_rollup(spark: SparkSession, fact: DataFrame, path: str, months: list[str]) -> None:
-    """Recomputes some months (``YYYY-MM``) of a stored rollup after a load.
+def append_orders(batch: DataFrame, path: str) -> list[str | None]:
+    """Adds the cleaned orders of ``batch`` that the stored fact lacks, and returns the months
+    (``YYYY-MM``, ``None`` for orders without a date) that got any, for :func:`refresh_rollup`.
 
-    Late orders may reach back any time; only the months they fall in are read
-    and only those partitions are replaced.
+    Only the months that the batch falls in are read and written: an order is known if its number is in the
+    month of its date. Of a number repeated in the batch the row with the smallest date is taken. The fact must exist.
+    """
+    spark = batch.sparkSession
+    staging = scratch(spark, "batch")
+    try:
+        dated = batch.withColumn("_day", F.col("order_date"))
+        firsts = first_per_key(dated, "order_no", ["_day"]).withColumn(MONTH, month_start(F.col("order_date")))
+        firsts.write.parquet(f"{staging}/firsts")
+        rows = spark.read.schema(firsts.schema).parquet(f"{staging}/firsts")
+        # One row for each month.
+        touched = [row[0] for row in rows.select(MONTH).distinct().collect()]
+        known = read_sales(spark, path).filter(_in_months(touched)).select("order_no")
+        fresh = insert_if_absent(rows, known, "order_no")
+        # Staged too: its months are named before its rows are added.
+        fresh.write.parquet(f"{staging}/fresh")
+        fresh = spark.read.schema(rows.schema).parquet(f"{staging}/fresh")
+        added = [row[0] for row in fresh.select(MONTH).distinct().collect()]
+        if added:
+            by_month(fresh.drop(MONTH)).write.mode("append").partitionBy(MONTH).parquet(path)
+    finally:
+        delete(spark, staging)
+    return sorted((None if month is None else f"{month:%Y-%m}" for month in added), key=str)
+
+
+def _in_months(firsts: Sequence[dt.date | None]) -> Column:
+    """Partition filter for months given by their first days."""
+    kept = F.col(MONTH).isin(*[F.lit(day) for day in firsts if day is not None])
+    return kept | F.col(MONTH).isNull() if None in firsts else kept
+
+
+def refresh_rollup(spark: SparkSession, fact: DataFrame, path: str, months: Sequence[str | None]) -> None:
+    """Recomputes some months (``YYYY-MM``, ``None`` for orders without a date) of a stored rollup.
+
+    Name every month that lost or gained orders; :func:`append_orders` returns them. Only these months are
+    read and replaced; one that has no orders left goes. A failure leaves the rollup as it was.
     """
-    firsts = [F.to_date(F.lit(f"{m}-01")) for m in months]
-    touched = rollup(fact.filter(F.col(MONTH).isin(*firsts)))
-    (by_month(touched).write.mode("overwrite").partitionBy(MONTH)
-     .option("partitionOverwriteMode", "dynamic").parquet(path))
+    firsts = [None if month is None else as_month(month) for month in dict.fromkeys(months)]
+    if firsts:
+        touched = rollup(fact.filter(_in_months(firsts)))
+        replace_partitions(by_month(touched), path, MONTH, [None if day is None else day.isoformat() for day in firsts])

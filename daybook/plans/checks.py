@@ -9,12 +9,18 @@ from pyspark.sql import functions as F
 
 from daybook.operators.keyed import key_violations
 
+#: Fixed value: the label of the orders whose date was read.
+VALID_DATES = "orders_parsed (valid dates)"
+
 
 def load_check(tables: dict[str, DataFrame], clean: DataFrame) -> DataFrame:
-    """``table_name, rows`` for each table, and for the orders with a valid date."""
+    """``table_name, rows`` for each table, for the orders and for those of them with a valid date.
+
+    ``clean`` are the cleaned orders, as many as there are orders: one pass counts both.
+    """
     counts = [_counted(name, df.agg(F.count(F.lit(1)).alias("rows"))) for name, df in tables.items()]
-    counts.append(_counted("orders_parsed (valid dates)",
-                           clean.agg(F.count("order_date").alias("rows"))))
+    orders = clean.agg(F.count(F.lit(1)).alias("orders"), F.count("order_date").alias(VALID_DATES))
+    counts.append(orders.unpivot([], ["orders", VALID_DATES], "table_name", "rows"))
     return reduce(DataFrame.unionByName, counts)
 
 

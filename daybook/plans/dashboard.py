@@ -5,12 +5,13 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from daybook.operators.anchor import as_of
 from daybook.plans import reports
 from daybook.schemas import MONTHLY_TARGET
 from daybook.sinks.json_rows import charts_object, first_object, json_rows
+from daybook.sources.stored import newest_month, read_sales
 
 Date = dt.date | str | None
 
@@ -26,9 +27,18 @@ class Dashboard:
     users: DataFrame | None = None
     products: DataFrame | None = None
     destinations: DataFrame | None = None
+    #: The month of the latest order, where it is known without reading sales.
+    newest: dt.date | None = None
+
+    @classmethod
+    def stored(cls, spark: SparkSession, path: str, *tables: DataFrame) -> Dashboard:
+        """Over the stored fact or rollup at ``path`` as it is now: its newest month comes
+        from the folder's listing, so the latest day is found in that month alone."""
+        users, products, destinations = (*tables, None, None, None)[:3]
+        return cls(read_sales(spark, path), users, products, destinations, newest_month(spark, path))
 
     def today(self, date: Date = None, month: str | None = None) -> Column:
-        return as_of(self.sales, date, month)
+        return as_of(self.sales, date, month, self.newest)
 
     def summary(self, date: Date = None, month: str | None = None) -> DataFrame:
         return reports.summary(self.sales, self.today(date, month))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -14,9 +15,13 @@ from daybook.sinks.files import delete, exists, replace_table
 from daybook.sources.delimited import POSITION, REASON, RECORD, accept_all, read_csv
 
 
+#: The partition column of stored bad rows.
+LOAD = "load"
+
+
 @dataclass(frozen=True)
 class LoadReport:
-    """``read = inserted + duplicates + rejected``."""
+    """Counts of records: ``read = inserted + duplicates + rejected``."""
     read: int
     inserted: int
     duplicates: int
@@ -44,44 +49,47 @@ def insert_all_or_nothing(spark: SparkSession, csv_path: str, table: Table, path
 
 
 def insert_good_rows(spark: SparkSession, csv_path: str, table: Table, path: str,
-                     quarantine: str, **options) -> LoadReport:
+                     quarantine: str, load_id: str | None = None, **options) -> LoadReport:
     """Adds the good rows whose key is new; bad rows go to ``quarantine`` with
-    the reason and the record as read."""
-    return _insert(spark, read_csv(spark, csv_path, table, **options), table, path, quarantine)
+    the reason and the record as read, under the load's id.
+
+    The bad rows are stored before the table is touched. A load that is run again, after a failure or a correction
+    of its file, replaces the bad rows of its first run; ``load_id`` names it, by default its path.
+    """
+    bad_rows = f"{quarantine.rstrip('/')}/{LOAD}={load_id or hashlib.sha256(csv_path.encode()).hexdigest()[:16]}"
+    return _insert(spark, read_csv(spark, csv_path, table, **options), table, path, bad_rows)
 
 
 def _insert(spark: SparkSession, rows: DataFrame, table: Table, path: str,
-            quarantine: str | None = None) -> LoadReport:
+            bad_rows: str | None = None) -> LoadReport:
     # The text is parsed once, into a staged table that all later steps read. It
     # also fixes the row positions, which a lost task would otherwise number anew.
     # Rows are counted as they are written, so no table is read for its size.
     staging = scratch(spark, f"load-{table.name}")
     try:
         parsed, added = Observation(), Observation()
-        rows.observe(parsed, F.count(F.lit(1)).alias("rows"), F.count(REASON).alias("bad")).write.parquet(staging)
-        staged = spark.read.parquet(staging)
+        rows.observe(parsed, F.count(F.lit(1)).alias("rows"), F.count(REASON).alias("bad")).write.parquet(f"{staging}/rows")
+        staged = spark.read.schema(rows.schema).parquet(f"{staging}/rows")
+        if bad_rows is not None:
+            if parsed.get["bad"]:
+                bad = staged.filter(F.col(REASON).isNotNull())
+                replace_table(bad.select(REASON, RECORD, *POSITION), bad_rows)
+            else:
+                delete(spark, bad_rows)
         good = staged.filter(F.col(REASON).isNull()).drop(REASON, RECORD)
-
-        fresh = merge_batch(spark, good, table, path).select(*table.names)
+        # Staged as well: known keys are looked up from these rows, and added from them.
+        firsts = first_per_key(good, table.key, POSITION).select(*table.names)
+        firsts.write.parquet(f"{staging}/firsts")
+        fresh = spark.read.schema(firsts.schema).parquet(f"{staging}/firsts")
+        if exists(spark, path):
+            fresh = insert_if_absent(fresh, spark.read.schema(table.schema).parquet(path), table.key)
         fresh.observe(added, F.count(F.lit(1)).alias("rows")).write.mode("append").parquet(path)
         read, rejected, inserted = parsed.get["rows"], parsed.get["bad"], added.get["rows"]
-        if rejected:
-            bad = staged.filter(F.col(REASON).isNotNull())
-            bad.select(REASON, RECORD, *POSITION).write.mode("append").parquet(quarantine)
     finally:
         delete(spark, staging)
     return LoadReport(read, inserted, read - rejected - inserted, rejected)
 
 
-def merge_batch(spark: SparkSession, batch: DataFrame, table: Table, path: str) -> DataFrame:
-    """The rows of ``batch`` (which carries ``POSITION``) to add to the table at ``path``."""
-    firsts = first_per_key(batch, table.key, POSITION)
-    if not exists(spark, path):
-        return firsts
-    stored = spark.read.schema(table.schema).parquet(path)
-    return insert_if_absent(firsts, stored, table.key)
-
-
 def rewrite_types(spark: SparkSession, path: str, widened: Table) -> None:
     """Rewrites a stored table with wider column types (see ``Table.widen``)."""
     stored = spark.read.parquet(path)

@@ -147,7 +147,7 @@ def leaderboard(sales: DataFrame, users: DataFrame, today: Column,
     stats = per_creator.join(reps, F.col("created_by") == F.col("user_id"))
     orders, money = F.col("mtd_orders"), F.col("mtd_revenue")
     zero = F.lit(0).cast(TOTAL)
-    return number_rows(stats, "mtd_orders", "user_id", bounded_by=reps).select(
+    return number_rows(stats, "mtd_orders", "user_id").select(
         "rank",
         "sales_rep",
         "day_orders",

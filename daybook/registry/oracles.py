@@ -242,6 +242,30 @@ SELECT '{0}' AS table_name, count(*) AS bad_keys, CAST(coalesce(sum(n - 1), 0) A
 FROM (SELECT {1}, count(*) AS n FROM {2} GROUP BY 1 HAVING count(*) > 1)"""
 
 
+# ── Changed books and rows left out ──────────────────────────────────────────
+
+MOVED_BOOK = LINE_BOOK.replace(
+    "CAST(l_shipdate AS DATE) AS d",
+    "CASE WHEN strftime(l_shipdate, '%Y-%m') = '1996-05' THEN DATE '1996-06-01' ELSE CAST(l_shipdate AS DATE) END AS d")
+
+GAPS_BOOK = LINE_BOOK.replace(
+    "CAST(l_suppkey AS INTEGER) AS rep", "CASE WHEN l_orderkey % 3 <> 0 THEN CAST(l_suppkey AS INTEGER) END AS rep").replace(
+    "CAST(l_extendedprice AS DECIMAL(18,2)) AS amt",
+    "CASE WHEN l_orderkey % 5 <> 0 AND l_suppkey % 4 <> 0 THEN CAST(l_extendedprice AS DECIMAL(18,2)) END AS amt")
+
+
+def gaps_destinations(anchor: str) -> str:
+    return f"""{anchored(GAPS_BOOK, anchor)},
+covered AS (
+    SELECT p_partkey, CASE p_partkey % 5 WHEN 2 THEN '' ELSE p_brand END AS code
+    FROM part WHERE p_partkey % 7 <> 0 AND p_partkey % 5 NOT IN (0, 1)
+)
+SELECT coalesce(n_name, code) AS destination_name, count(*) AS order_count
+FROM bounds JOIN book ON d >= m0 AND d <= today JOIN covered ON p_partkey = prod
+LEFT JOIN nation ON 'Brand#' || n_nationkey = code AND n_regionkey <> 0
+GROUP BY 1"""
+
+
 def oracle_sql() -> dict[str, str]:
     end, mid, after = day(MONTH_END), day(MID_MONTH), day(AFTER_ALL)
     march = f"(SELECT max(d) FROM book WHERE strftime(d, '%Y-%m') = '1998-03')"
@@ -367,4 +391,28 @@ def oracle_sql() -> dict[str, str]:
         "csv_export": f"SELECT CAST(date AS VARCHAR) AS date, date_label, "
                       f"CAST(daily_orders AS VARCHAR) AS daily_orders, "
                       f"CAST(daily_revenue AS VARCHAR) AS daily_revenue FROM ({daily(ORDER_BOOK, end)})",
+        "rollup_refreshed": f"""WITH {MOVED_BOOK}
+            SELECT d AS order_date, rep AS created_by, prod AS product_id, count(*) AS orders, {total()} AS revenue,
+                   CAST(date_trunc('month', d) AS DATE) AS order_month
+            FROM book GROUP BY ALL""",
+        "fact_appended": """
+            SELECT o_orderkey AS order_no, CAST(o_custkey AS INTEGER) AS user_id,
+                   CASE WHEN o_orderkey % 4 <> 3 THEN CAST(o_orderdate AS DATE) END AS order_date,
+                   CASE WHEN o_orderkey % 4 <> 3 THEN CAST(date_trunc('month', o_orderdate) AS DATE) END AS order_month,
+                   CAST(o_totalprice AS DECIMAL(18,2)) AS amount
+            FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0""",
+        "csv_load_orders_line_breaks": """
+            SELECT o_orderkey AS order_no,
+                   strftime(o_orderdate, '%Y-%m-%d') || CASE WHEN o_orderkey % 5 = 0 THEN chr(10) ELSE '' END AS order_date_time
+            FROM orders""",
+        "csv_quarantine_twice": """
+            SELECT 'data_limit is no int: unlimited' AS reason, count(*) AS rows
+            FROM part WHERE p_size > 40 HAVING count(*) > 0""",
+        "leaderboard_gaps": leaderboard(GAPS_BOOK, end),
+        "destinations_gaps": gaps_destinations(end),
+        "destinations_array": f"SELECT {json_list(DESTINATION_JSON, 'order_count DESC, destination_name', destinations(end))} AS json",
+        "sql_text_parameters": """
+            SELECT CAST(o_orderdate AS DATE) AS order_date, count(*) AS orders FROM orders
+            WHERE o_orderkey % 4 <> 3 AND CAST(o_orderdate AS DATE) BETWEEN DATE '1998-03-01' AND DATE '1998-03-31'
+            GROUP BY 1""",
     }

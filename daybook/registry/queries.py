@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from daybook.operators import anchor, keyed
 from daybook.plans import book, checks, display, reports
 from daybook.plans.dashboard import Dashboard
-from daybook.registry import stored
+from daybook.registry import changed, stored
 from daybook.sources import sample
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,7 +51,6 @@ def load_check(spark: SparkSession, folder: str) -> DataFrame:
         "users": sample.users(spark, folder),
         "products": sample.products(spark, folder),
         "destinations": sample.destinations(spark, folder),
-        "orders": orders,
     }, book.clean_orders(orders))
 
 
@@ -193,4 +192,5 @@ def queries() -> dict[str, Query]:
         "destinations_json": _lines("destinations_json", date=MONTH_END),
         "charts_json": _orders("charts_json", date=MONTH_END),
         "csv_export": stored.csv_export,
+        **changed.queries(),
     }

@@ -83,7 +83,7 @@ def csv_load_destinations(spark: SparkSession, folder: str) -> DataFrame:
 def csv_load_orders(spark: SparkSession, folder: str) -> DataFrame:
     """Orders through a CSV file, the loader, cleaning and the stored fact."""
     orders = _loaded(sample.orders_as_text(spark, folder), ORDERS)
-    return _stored_fact(book.clean_orders(orders)).select(
+    return read_sales(spark, _stored_fact(book.clean_orders(orders))).select(
         "order_no", "order_date", "user_id", "amount", MONTH)
 
 
@@ -134,29 +134,29 @@ def type_widening(spark: SparkSession, folder: str) -> DataFrame:
     return _products(read_table(spark, path))
 
 
-def _stored_fact(orders: DataFrame) -> DataFrame:
+def _stored_fact(orders: DataFrame) -> str:
     path = scratch(orders.sparkSession, "fact")
     book.write_fact(orders, path)
-    return read_sales(orders.sparkSession, path)
+    return path
 
 
 def summary_stored_fact(spark: SparkSession, folder: str) -> DataFrame:
     """As of the latest day, over a stored fact cleaned from text dates."""
-    return Dashboard(_stored_fact(book.clean_orders(sample.orders_as_text(spark, folder)))).summary()
+    return Dashboard.stored(spark, _stored_fact(book.clean_orders(sample.orders_as_text(spark, folder)))).summary()
 
 
 def summary_stored_rollup(spark: SparkSession, folder: str) -> DataFrame:
     """As of the latest day, over a stored rollup."""
     path = scratch(spark, "rollup")
     book.write_rollup(sample.lines(spark, folder), path)
-    return Dashboard(read_sales(spark, path)).summary()
+    return Dashboard.stored(spark, path).summary()
 
 
 def leaderboard_blocks(spark: SparkSession, folder: str) -> DataFrame:
     """Line orders per supplier, numbered block by block as for a large table."""
     per_creator = sample.lines(spark, folder).groupBy("created_by").agg(
         F.count(F.lit(1)).alias("orders"))
-    return ranking.number_by_blocks(per_creator, "orders", "created_by")
+    return ranking.number_rows(per_creator, "orders", "created_by")
 
 
 def csv_export(spark: SparkSession, folder: str) -> DataFrame:

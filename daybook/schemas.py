@@ -32,9 +32,6 @@ class Table:
     name: str
     fields: tuple[Field, ...]
     key: str
-    #: Whether a quoted field may hold a line break. Such files cannot be split,
-    #: so the large table is read without it and refuses such a record instead.
-    multi_line: bool = True
 
     @property
     def names(self) -> list[str]:
@@ -154,7 +151,7 @@ ORDERS = Table("orders", (
     Field("amount", MONEY),
     Field("discount_amount", MONEY),
     Field("created_by", INT),
-), key="order_no", multi_line=False)
+), key="order_no")
 
 TABLES = {t.name: t for t in (USERS, PRODUCTS, DESTINATIONS, ORDERS)}
 

@@ -34,6 +34,13 @@ def charts_object(daily: DataFrame, monthly: DataFrame) -> DataFrame:
     return _series(daily, "date", "daily").select(F.to_json(both, KEEP_NULLS).alias("json"))
 
 
+def array_object(df: DataFrame, order: list[Column]) -> DataFrame:
+    """One row: all rows as one array, in ``order``. Only for lists of a bounded length."""
+    sortable = F.struct(F.struct(*[c.alias(f"_{i}") for i, c in enumerate(order)]).alias("_key"), F.struct(*df.columns).alias("_row"))
+    rows = F.transform(F.array_sort(F.collect_list(sortable)), lambda s: s["_row"])
+    return df.agg(F.to_json(rows, KEEP_NULLS).alias("json"))
+
+
 def _series(df: DataFrame, key: str, alias: str) -> DataFrame:
     """All rows as one sorted array of structs, with the fields in ``df``'s order."""
     sortable = F.struct(F.col(key).alias("_key"), F.struct(*df.columns).alias("_row"))

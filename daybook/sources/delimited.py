@@ -20,7 +20,7 @@ _MALFORMED = "_malformed"
 
 
 def read_csv(spark: SparkSession, path: str, table: Table, *, header_names: bool = True,
-             multi_line: bool | None = None) -> DataFrame:
+             multi_line: bool = True) -> DataFrame:
     """The rows of CSV files with ``table``'s columns, plus ``REASON``, ``RECORD``
     and ``POSITION``.
 
@@ -28,10 +28,13 @@ def read_csv(spark: SparkSession, path: str, table: Table, *, header_names: bool
     with ``header_names=False`` the header is skipped and columns are taken by
     position. A column the files lack is NULL. Empty fields are NULL.
 
+    A quoted field may hold a line break, so a file is read by one task; deliver large
+    loads as several files. ``multi_line=False`` splits files among tasks, for those known to hold
+    no such record: one that does is refused as malformed, line by line.
+
     Fields are read as text and converted here, since a typed CSV scan checks
     only the columns a query happens to use.
     """
-    multi_line = table.multi_line if multi_line is None else multi_line
     reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
     if header_names:
         header = reader.csv(path).columns

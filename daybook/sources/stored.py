@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daybook.operators.sales import MONTH
+from daybook.sinks.files import partitions
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
@@ -19,6 +22,12 @@ def read_sales(spark: SparkSession, path: str) -> DataFrame:
     return sales.withColumn(MONTH, F.col(MONTH).cast("date"))
 
 
+def newest_month(spark: SparkSession, path: str) -> dt.date | None:
+    """The newest month of a stored fact or rollup that holds dated orders, from its folder's listing."""
+    months = [dt.date.fromisoformat(value) for value in partitions(spark, path, MONTH) if value is not None]
+    return max(months, default=None)
+
+
 def read_jdbc(spark: SparkSession, url: str, name: str, key: str, low: int, high: int,
               tasks: int, **options: str) -> DataFrame:
     """A database table, read by ``tasks`` connections over ranges of an integer

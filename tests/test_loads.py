@@ -1,5 +1,6 @@
 """CSV loads: headers, bad rows, keys, failure."""
 
+from collections import Counter
 from decimal import Decimal
 
 import pytest
@@ -10,9 +11,10 @@ from daybook.plans.checks import key_check, load_check
 from daybook.plans.dashboard import Dashboard
 from daybook.plans.loads import LoadReport
 from daybook.schemas import DESTINATIONS, INT, LONG, ORDERS, PRODUCTS, TEXT, USERS, snake_case
+from daybook.sinks import files as sinks
 from daybook.sinks.files import replace_table
 from daybook.sources.delimited import REASON, accept_all, read_csv
-from daybook.sources.stored import read_sales
+from daybook.sources.stored import newest_month, read_sales
 from frames import date, rows
 
 
@@ -212,11 +214,110 @@ def test_replace_survives_a_failing_write(spark, tmp_path):
     assert stored(spark, path) == [(0,), (1,), (2,)]
 
 
-def test_orders_with_a_line_break_are_refused(spark, files):
-    """The large table is read without multi-line records; nothing is garbled silently."""
-    path = files('order_no,order_date_time\n1,"01-01-2026\n"\n')
+def test_orders_with_a_line_break(spark, files, tmp_path):
+    """Records with a line break are records of any table, unless the caller wants files to be split."""
+    path = files('order_no,order_date_time\n1,"01-01-2026\n"\n2,01-02-2026\n')
+    report = loads.insert_good_rows(spark, path, ORDERS, f"{tmp_path}/t", f"{tmp_path}/bad")
+    assert report == LoadReport(read=2, inserted=2, duplicates=0, rejected=0)
     with pytest.raises(PySparkException, match="malformed record"):
-        accept_all(read_csv(spark, path, ORDERS)).collect()
+        accept_all(read_csv(spark, path, ORDERS, multi_line=False)).collect()
+
+
+def test_a_failing_quarantine_leaves_the_table_alone(spark, files, tmp_path):
+    path = f"{tmp_path}/t"
+    loads.load_table(spark, files("user_id,name\n7,Old\n"), USERS, path)
+    (tmp_path / "bad").write_text("a file where a folder should be")
+    mixed = files("user_id,name\n8,New\nx,Bad\n", "mixed.csv")
+    with pytest.raises(Exception):
+        loads.insert_good_rows(spark, mixed, USERS, path, f"{tmp_path}/bad")
+    assert stored(spark, path, "user_id", "name") == [(7, "Old")]
+    for _ in range(2):
+        loads.insert_good_rows(spark, mixed, USERS, path, f"{tmp_path}/rejected")
+    assert stored(spark, path, "user_id", "name") == [(7, "Old"), (8, "New")]
+    assert spark.read.parquet(f"{tmp_path}/rejected").count() == 1
+
+
+def test_a_corrected_file_takes_its_bad_rows_back(spark, files, tmp_path):
+    loads.insert_good_rows(spark, files("user_id,name\n8,New\nx,Bad\n", "f.csv"), USERS, f"{tmp_path}/t", f"{tmp_path}/bad")
+    loads.insert_good_rows(spark, files("user_id,name\n8,New\n9,Good\n", "f.csv"), USERS, f"{tmp_path}/t", f"{tmp_path}/bad")
+    assert not list((tmp_path / "bad").glob("load=*"))
+
+
+def test_a_failing_second_rename_keeps_the_table(spark, tmp_path, monkeypatch):
+    path = f"{tmp_path}/t"
+    replace_table(spark.range(3), path)
+    rename, calls = sinks._rename, []
+
+    def failing(*arguments):
+        calls.append(arguments)
+        if len(calls) == 2:
+            raise OSError("no")
+        rename(*arguments)
+
+    monkeypatch.setattr(sinks, "_rename", failing)
+    with pytest.raises(OSError):
+        replace_table(spark.range(5), path)
+    assert stored(spark, path) == [(0,), (1,), (2,)]
+
+
+def test_an_order_that_moves_out_of_its_month(spark, files, tmp_path):
+    def cleaned(day):
+        text = f"order_no,order_date_time,amount\n1,{day},10.00\n2,02-03-2026,20.00\n3,,5.00\n"
+        return book.clean_orders(accept_all(read_csv(spark, files(text, f"{day}.csv"), ORDERS)))
+
+    fact, path = f"{tmp_path}/fact", f"{tmp_path}/rollup"
+    book.write_fact(cleaned("01-05-2026"), fact)
+    book.write_rollup(read_sales(spark, fact), path)
+    book.write_fact(cleaned("02-05-2026"), fact)
+    book.refresh_rollup(spark, read_sales(spark, fact), path, ["2026-01", "2026-02", None])
+    for store in (fact, path):
+        assert newest_month(spark, store) == date("2026-02-01")
+        [row] = rows(Dashboard.stored(spark, store).summary())
+        assert (row["mtd_orders"], row["mtd_revenue"], row["prev_full_orders"]) == (2, Decimal("30.00"), None)
+    assert sorted(p.name for p in (tmp_path / "rollup").glob("order_month=*")) == [
+        "order_month=2026-02-01", "order_month=__HIVE_DEFAULT_PARTITION__"]
+
+
+@pytest.mark.parametrize("fails_at", [1, 2, 3, 4])
+def test_a_refresh_that_fails_midway_changes_nothing(spark, files, tmp_path, monkeypatch, fails_at):
+    clean = book.clean_orders(accept_all(read_csv(spark, files(ORDER_FILE), ORDERS)))
+    fact, path = f"{tmp_path}/fact", f"{tmp_path}/rollup"
+    book.write_fact(clean, fact)
+    book.write_rollup(clean, path)
+    seen = lambda: Counter(map(tuple, spark.read.parquet(path).select("order_date", "orders", "revenue").collect()))
+    before = seen()
+    book.write_fact(clean.withColumn("amount", clean["amount"] + 1), fact)
+    rename, calls = sinks._rename, []
+
+    def failing(*arguments):
+        calls.append(arguments)
+        if len(calls) == fails_at:
+            raise OSError("no")
+        rename(*arguments)
+
+    monkeypatch.setattr(sinks, "_rename", failing)
+    with pytest.raises(OSError):
+        book.refresh_rollup(spark, read_sales(spark, fact), path, ["2026-01", "2026-02"])
+    monkeypatch.setattr(sinks, "_rename", rename)
+    assert seen() == before
+
+
+def test_appending_touches_only_the_months_of_the_batch(spark, files, tmp_path):
+    def cleaned(text, name):
+        return book.clean_orders(accept_all(read_csv(spark, files("order_no,order_date_time,amount\n" + text, name), ORDERS)))
+
+    fact = f"{tmp_path}/fact"
+    book.write_fact(cleaned("1,01-05-2026,1\n2,02-01-2026,2\n3,03-01-2026,4\n4,,8\n", "a.csv"), fact)
+    listed = lambda: {p.parent.name: set() for p in (tmp_path / "fact").glob("*/*.parquet")} | {
+        m: {p.name for p in (tmp_path / "fact" / m).glob("*.parquet")} for m in {p.parent.name for p in (tmp_path / "fact").glob("*/*.parquet")}}
+    before = listed()
+    months = book.append_orders(cleaned("1,01-05-2026,9\n5,01-06-2026,16\n5,01-07-2026,32\n4,,9\n6,04-01-2026,64\n2,02-01-2026,9\n", "b.csv"), fact)
+    assert months == ["2026-01", "2026-04"]
+    after = listed()
+    assert {m for m in after if after[m] != before.get(m)} == {"order_month=2026-01-01", "order_month=2026-04-01"}
+    assert stored(spark, fact, "order_no", "amount") == [
+        (1, 1), (2, 2), (3, 4), (4, 8), (5, 16), (6, 64)]
+    assert book.append_orders(cleaned("5,01-06-2026,16\n", "c.csv"), fact) == []
 
 
 ORDER_FILE = (

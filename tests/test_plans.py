@@ -3,14 +3,15 @@
 import re
 
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from daybook import Dashboard
 from daybook.operators import ranking
-from daybook.operators.size import is_small
 from daybook.plans import book
+from daybook.registry.queries import queries
 from daybook.sources import sample
-from daybook.sources.stored import read_sales
 from oracle import TESTDATA
 
 FOLDER = f"{TESTDATA}/sf0.01"
@@ -18,16 +19,16 @@ DAY = "1998-03-31"
 
 
 @pytest.fixture(scope="module")
-def fact(spark, tmp_path_factory):
+def fact_path(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("book") / "fact")
     book.write_fact(sample.lines(spark, FOLDER), path)
-    return read_sales(spark, path)
+    return path
 
 
 @pytest.fixture(scope="module")
-def stored(spark, fact):
-    return Dashboard(fact, sample.suppliers(spark, FOLDER), sample.products(spark, FOLDER),
-                     sample.destinations(spark, FOLDER))
+def stored(spark, fact_path):
+    return Dashboard.stored(spark, fact_path, sample.suppliers(spark, FOLDER), sample.products(spark, FOLDER),
+                            sample.destinations(spark, FOLDER))
 
 
 def plan(df) -> str:
@@ -36,10 +37,21 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def executed(text: str) -> list[str]:
+    """The lines of a plan without what adaptive planning replaced."""
+    kept, below = [], None
+    for line in text.splitlines():
+        depth = len(line) - len(line.lstrip(" :+-"))
+        if below is None or depth < below:
+            below = depth if "== Initial Plan ==" in line else None
+            kept.append(line)
+    return kept
+
+
 def fact_scans(text: str) -> list[str]:
     """The distinct scans of the stored fact; a plan may print one several times."""
     scans = {}
-    for line in text.splitlines():
+    for line in executed(text):
         scan = re.search(r"FileScan parquet .*?order_month#(\d+)", line)
         if scan:
             scans[scan.group(1)] = line
@@ -70,10 +82,28 @@ def test_only_needed_columns_are_read(stored, report, columns):
 def test_latest_day_is_found_once_and_prunes(stored, report):
     text = plan(getattr(stored, report)())
     scans = fact_scans(text)
-    # The months (no data column), the newest month's dates, the report itself.
-    assert len(scans) == 3
-    assert sum("ReadSchema: struct<>" in s for s in scans) == 1
-    assert sum("PartitionFilters: []" in s for s in scans) == 1
+    # The newest month's dates and the report itself.
+    assert len(scans) == 2
+    assert not any("PartitionFilters: []" in s for s in scans)
+
+
+def test_latest_day_reads_the_newest_month_alone(spark, stored):
+    from daybook.operators.anchor import last_day
+    df = last_day(stored.sales, stored.newest)
+    assert df.collect() == last_day(stored.sales).collect()
+    emitted = []
+    nodes = [df._jdf.queryExecution().executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        if "AdaptiveSparkPlan" in node.nodeName():
+            nodes.append(node.executedPlan())
+        if "QueryStage" in node.nodeName():
+            nodes.append(node.plan())
+        if "Scan parquet" in node.nodeName():
+            emitted.append(node.metrics().apply("numOutputRows").value())
+        children = node.children()
+        nodes += [children.apply(i) for i in range(children.size())]
+    assert 0 < sum(emitted) <= stored.sales.filter(F.col("order_month") == F.lit(stored.newest)).count()
 
 
 def test_a_given_month_prunes_its_anchor(stored):
@@ -81,7 +111,7 @@ def test_a_given_month_prunes_its_anchor(stored):
     assert len(scans) == 2 and not any("PartitionFilters: []" in s for s in scans)
 
 
-@pytest.mark.parametrize("name", contract.queries())
+@pytest.mark.parametrize("name", queries())
 def test_no_python_and_no_unbounded_cross_join(spark, name):
     df = contract.queries()[name](spark, FOLDER)
     text = df._jdf.queryExecution().executedPlan().toString()
@@ -95,17 +125,14 @@ def test_raw_timestamps_are_filtered_in_the_scan(spark):
     assert "GreaterThanOrEqual(o_orderdate,1998-02-01" in text and "LessThan(o_orderdate,1998-04-01" in text
 
 
-def test_rank_in_one_task_only_behind_a_size_check(spark, stored):
-    people = stored.users
-    assert is_small(people)
+def test_ranks_alike_under_any_broadcast_threshold(spark, stored):
     single = r"Window \[row_number\(\) windowspecdefinition\(mtd_orders#\w+ DESC"
-    assert re.search(single, plan(stored.leaderboard(DAY)))
+    assert not re.search(single, plan(stored.leaderboard(DAY)))
     threshold = "spark.sql.autoBroadcastJoinThreshold"
     before = spark.conf.get(threshold)
     small = [tuple(r) for r in stored.leaderboard(DAY).collect()]
     spark.conf.set(threshold, "-1")
     try:
-        assert not is_small(people)
         large = stored.leaderboard(DAY)
         text = plan(large).split("== Initial Plan ==")[0]
         assert not re.search(single, text) and "SortMergeJoin" in text and "Broadcast" not in text
@@ -123,8 +150,8 @@ def test_block_ranks_equal_plain_ranks(spark, seed):
         SELECT cast(id * 4001 - 70000000 AS int) AS id,
                CASE WHEN hash(id, {seed}) % 3 = 0 THEN 1 ELSE abs(hash(id, {seed}, 1)) % 50 END AS score
         FROM range(40000)""")
-    plain = ranking.number_in_one_task(df, "score", "id")
-    blocks = ranking.number_by_blocks(df, "score", "id")
+    plain = df.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")).cast("bigint"))
+    blocks = ranking.number_rows(df, "score", "id")
     assert blocks.columns == plain.columns
     assert plain.exceptAll(blocks).isEmpty() and blocks.exceptAll(plain).isEmpty()
 
@@ -144,12 +171,28 @@ def test_same_rows_for_any_number_of_tasks(spark):
     assert seen[0] == seen[1] == seen[2]
 
 
-def test_a_hot_month_is_written_by_many_tasks(spark, tmp_path):
-    """One month holds nine tenths of all rows; no single file does."""
-    hot = spark.sql("""
-        SELECT id AS order_no, date_add(date'2026-01-01', cast(CASE WHEN id % 10 = 0 THEN id % 300 ELSE id % 28 END AS int))
-                 AS order_date, uuid() AS note
+@pytest.fixture
+def hot(spark):
+    """One month holds most rows, and many have no date."""
+    return spark.sql("""
+        SELECT id AS order_no, CASE WHEN id % 5 <> 0 THEN date_add(date'2026-01-01',
+                 cast(CASE WHEN id % 10 = 1 THEN id % 300 ELSE id % 28 END AS int)) END AS order_date, uuid() AS note
         FROM range(0, 200000, 1, 8)""")
+
+
+def test_hot_months_are_spread_without_adaptive_execution(spark, hot, tmp_path):
+    key = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        book.write_fact(hot, f"{tmp_path}/fact")
+    finally:
+        spark.conf.set(key, before)
+    for name in ("2026-01-01", "__HIVE_DEFAULT_PARTITION__"):
+        assert len(list((tmp_path / "fact" / f"order_month={name}").glob("*.parquet"))) > 4
+
+
+def test_a_hot_month_is_written_by_many_tasks(spark, hot, tmp_path):
     key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
     before = spark.conf.get(key)
     spark.conf.set(key, "256k")
