@@ -28,13 +28,15 @@ from daybook.sources.stored import read_sales  # noqa: E402
 COPIES = int(os.environ.get("BENCH_COPIES", "1"))
 
 
-def median(query) -> float:
+def spread(query) -> str:
+    """Median, least and most of the runs, in seconds."""
     def run() -> float:
         start = time.perf_counter()
         query().write.format("noop").mode("overwrite").save()
         return time.perf_counter() - start
     run()
-    return statistics.median(run() for _ in range(RUNS))
+    times = [run() for _ in range(RUNS)]
+    return f"{statistics.median(times):.2f} ({min(times):.2f}-{max(times):.2f})"
 
 
 def main() -> None:
@@ -43,22 +45,22 @@ def main() -> None:
     if COPIES > 1:
         copies = F.explode(F.sequence(F.lit(1), F.lit(COPIES)))
         lines = lines.withColumn("copy", copies).drop("copy")
-    fact, rollup = scratch(spark, "fact"), scratch(spark, "rollup")
+    fact, rollups = scratch(spark, "fact"), scratch(spark, "rollups")
     book.write_fact(lines, fact)
-    book.write_rollup(read_sales(spark, fact), rollup)
+    book.write_rollups(read_sales(spark, fact), rollups)
     users = sample.suppliers(spark, FOLDER)
-    tables = {"fact": read_sales(spark, fact), "rollup": read_sales(spark, rollup)}
+    boards = {"fact": Dashboard.stored(spark, fact, users), "rollup": Dashboard.rolled_up(spark, rollups, users)}
     if COPIES == 1:
-        tables = {"lines": sample.lines(spark, FOLDER), **tables}
+        boards = {"lines": Dashboard(sample.lines(spark, FOLDER), users), **boards}
     for day in (None, "1998-03-31"):
-        for name, sales in tables.items():
-            board = Dashboard(sales, users)
+        for name, board in boards.items():
+            sales = board.sales
             forms = {"summary": lambda: board.summary(day), "leaderboard": lambda: board.leaderboard(day)}
             if name != "rollup":
                 forms["plain summary"] = lambda: naive.summary(sales, as_of(sales, day))
                 forms["plain leaderboard"] = lambda: naive.leaderboard(sales, users, as_of(sales, day))
             for form, query in forms.items():
-                print(f"{day or 'latest':10}  {name:6}  {form:18} {median(query):.3f}", flush=True)
+                print(f"{day or 'latest':10}  {name:6}  {form:18} {spread(query)}", flush=True)
     spark.stop()
 
 

@@ -1,6 +1,6 @@
 """What the reports read: orders, or the daily rollup of orders.
 
-Both carry ``order_date``, ``created_by`` and ``product_id``. Orders count one
+Both carry ``order_date``; orders, and rollups by them, ``created_by`` and ``product_id``. Orders count one
 each and bring an ``amount``; a rollup row stands for ``orders`` many with a
 ``revenue``. The measures below hide the difference, so every report runs on
 either. A stored fact or rollup also has the partition column ``order_month``.
@@ -8,6 +8,8 @@ either. A stored fact or rollup also has the partition column ``order_month``.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +19,13 @@ from daybook.schemas import AMOUNT, TOTAL
 MONTH = "order_month"
 
 
+#: Marks the count column of a rollup. The mark is part of a stored table's schema, so no
+#: table of orders is taken for a rollup for the names of its columns.
+ROLLUP = {"daybook.rollup": True}
+
+
 def is_rollup(sales: DataFrame) -> bool:
-    return {"orders", "revenue"} <= set(sales.columns)
+    return any(f.name == "orders" and f.metadata.get("daybook.rollup") for f in sales.schema.fields)
 
 
 def order_count(sales: DataFrame, when: Column | None = None) -> Column:
@@ -77,12 +84,12 @@ def between(sales: DataFrame, first: Column, last: Column) -> DataFrame:
     return sales.filter(kept)
 
 
-def daily_cells(sales: DataFrame) -> DataFrame:
-    """Orders and revenue per day, creator and product: the rollup.
+def daily_cells(sales: DataFrame, keys: Sequence[str] = ("created_by", "product_id")) -> DataFrame:
+    """Orders and revenue per day and ``keys``: a rollup, of orders or of a finer rollup.
 
     Count and sum fold before the shuffle, so a creator or product with a
     third of all orders still sends one row per task, day and counterpart.
     NULL keys are kept, the reports treat them like NULLs of the orders.
     """
-    return sales.groupBy("order_date", "created_by", "product_id").agg(
-        order_count(sales).alias("orders"), revenue_per_group(sales).alias("revenue"))
+    return sales.groupBy("order_date", *keys).agg(
+        order_count(sales).alias("orders", metadata=ROLLUP), revenue_per_group(sales).alias("revenue"))

@@ -78,12 +78,24 @@ def write_fact(orders: DataFrame, path: str) -> None:
     replace_table(by_month(orders), path, partition_by=MONTH)
 
 
-def rollup(sales: DataFrame) -> DataFrame:
-    return daily_cells(sales)
+CELLS = ("created_by", "product_id")
+#: One rollup for each use: summary and trends, leaderboard, destinations.
+USES = {"days": (), "creators": ("created_by",), "products": ("product_id",)}
 
 
-def write_rollup(sales: DataFrame, path: str) -> None:
-    replace_table(by_month(rollup(sales)), path, partition_by=MONTH)
+def rollup(sales: DataFrame, keys: Sequence[str] = CELLS) -> DataFrame:
+    return daily_cells(sales, keys)
+
+
+def write_rollup(sales: DataFrame, path: str, keys: Sequence[str] = CELLS) -> None:
+    replace_table(by_month(rollup(sales, keys)), path, partition_by=MONTH)
+
+
+def write_rollups(sales: DataFrame, folder: str) -> None:
+    """A stored rollup for each use, as ``Dashboard.rolled_up`` reads them. The days come from the creators' table."""
+    for name in ("creators", "products"):
+        write_rollup(sales, f"{folder}/{name}", USES[name])
+    write_rollup(read_sales(sales.sparkSession, f"{folder}/creators"), f"{folder}/days", USES["days"])
 
 
 def append_orders(batch: DataFrame, path: str) -> list[str | None]:
@@ -121,7 +133,14 @@ def _in_months(firsts: Sequence[dt.date | None]) -> Column:
     return kept | F.col(MONTH).isNull() if None in firsts else kept
 
 
-def refresh_rollup(spark: SparkSession, fact: DataFrame, path: str, months: Sequence[str | None]) -> None:
+def refresh_rollups(spark: SparkSession, fact: DataFrame, folder: str, months: Sequence[str | None]) -> None:
+    """:func:`refresh_rollup` for each use."""
+    for name, keys in USES.items():
+        refresh_rollup(spark, fact, f"{folder}/{name}", months, keys)
+
+
+def refresh_rollup(spark: SparkSession, fact: DataFrame, path: str, months: Sequence[str | None],
+                   keys: Sequence[str] = CELLS) -> None:
     """Recomputes some months (``YYYY-MM``, ``None`` for orders without a date) of a stored rollup.
 
     Name every month that lost or gained orders; :func:`append_orders` returns them. Only these months are
@@ -129,5 +148,5 @@ def refresh_rollup(spark: SparkSession, fact: DataFrame, path: str, months: Sequ
     """
     firsts = [None if month is None else as_month(month) for month in dict.fromkeys(months)]
     if firsts:
-        touched = rollup(fact.filter(_in_months(firsts)))
+        touched = rollup(fact.filter(_in_months(firsts)), keys)
         replace_partitions(by_month(touched), path, MONTH, [None if day is None else day.isoformat() for day in firsts])

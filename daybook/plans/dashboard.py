@@ -29,6 +29,16 @@ class Dashboard:
     destinations: DataFrame | None = None
     #: The month of the latest order, where it is known without reading sales.
     newest: dt.date | None = None
+    #: Rollups that the leaderboard and the destinations read instead of ``sales``.
+    by_creator: DataFrame | None = None
+    by_product: DataFrame | None = None
+
+    @classmethod
+    def rolled_up(cls, spark: SparkSession, folder: str, *tables: DataFrame) -> Dashboard:
+        """Over the stored rollups in ``folder`` (see ``book.write_rollups``)."""
+        users, products, destinations = (*tables, None, None, None)[:3]
+        days, creators, sold = (read_sales(spark, f"{folder}/{name}") for name in ("days", "creators", "products"))
+        return cls(days, users, products, destinations, newest_month(spark, f"{folder}/days"), creators, sold)
 
     @classmethod
     def stored(cls, spark: SparkSession, path: str, *tables: DataFrame) -> Dashboard:
@@ -45,12 +55,14 @@ class Dashboard:
 
     def leaderboard(self, date: Date = None, month: str | None = None,
                     target: int = MONTHLY_TARGET) -> DataFrame:
-        return reports.leaderboard(self.sales, self.users, self.today(date, month), target)
+        sales = self.sales if self.by_creator is None else self.by_creator
+        return reports.leaderboard(sales, self.users, self.today(date, month), target)
 
     def top_destinations(self, date: Date = None, month: str | None = None,
                          limit: int | None = reports.TOP_DESTINATIONS) -> DataFrame:
+        sales = self.sales if self.by_product is None else self.by_product
         return reports.top_destinations(
-            self.sales, self.products, self.destinations, self.today(date, month), limit)
+            sales, self.products, self.destinations, self.today(date, month), limit)
 
     def daily(self, date: Date = None, month: str | None = None) -> DataFrame:
         return reports.daily_trend(self.sales, self.today(date, month))

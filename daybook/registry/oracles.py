@@ -350,6 +350,12 @@ def oracle_sql() -> dict[str, str]:
         "summary_month_empty": summary(ORDER_BOOK, day("2001-09-30")),
         "summary_stored_fact": summary(SPELLED_BOOK, LATEST),
         "summary_stored_rollup": summary(LINE_BOOK, LATEST),
+        "leaderboard_stored_rollup": leaderboard(LINE_BOOK, LATEST),
+        "destinations_stored_rollup": destinations(LATEST),
+        "rollup_rows": f"""WITH {LINE_BOOK}
+            SELECT 'days' AS table_name, count(*) AS rows FROM (SELECT DISTINCT d FROM book)
+            UNION ALL SELECT 'creators', count(*) FROM (SELECT DISTINCT d, rep FROM book)
+            UNION ALL SELECT 'products', count(*) FROM (SELECT DISTINCT d, prod FROM book)""",
         "summary_rollup": summary(LINE_BOOK, mid),
         "leaderboard_latest": leaderboard(ORDER_BOOK, LATEST),
         "leaderboard": leaderboard(ORDER_BOOK, end),

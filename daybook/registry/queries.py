@@ -119,10 +119,11 @@ def daily_rollup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _from_rollup(method: str, **arguments) -> Query:
-    """A report over the rollup instead of the lines it was made from."""
+    """A report over the rollup for its use instead of the lines it was made from."""
     def run(spark: SparkSession, folder: str) -> DataFrame:
         lines = line_book(spark, folder)
-        rolled = Dashboard(book.rollup(lines.sales), lines.users, lines.products, lines.destinations)
+        days, creators, products = (book.rollup(lines.sales, keys) for keys in book.USES.values())
+        rolled = Dashboard(days, lines.users, lines.products, lines.destinations, by_creator=creators, by_product=products)
         return getattr(rolled, method)(**arguments)
     return run
 
@@ -160,6 +161,9 @@ def queries() -> dict[str, Query]:
         "summary_month_empty": _orders("summary", month="2001-09"),
         "summary_stored_fact": stored.summary_stored_fact,
         "summary_stored_rollup": stored.summary_stored_rollup,
+        "leaderboard_stored_rollup": stored.leaderboard_stored_rollup,
+        "destinations_stored_rollup": stored.destinations_stored_rollup,
+        "rollup_rows": stored.rollup_rows,
         "summary_rollup": _from_rollup("summary", date=MID_MONTH),
         "leaderboard_latest": _creators("leaderboard"),
         "leaderboard": _creators("leaderboard", date=MONTH_END),

@@ -4,6 +4,7 @@ stored tables into the scratch folder, loaded back and reported on."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -147,9 +148,30 @@ def summary_stored_fact(spark: SparkSession, folder: str) -> DataFrame:
 
 def summary_stored_rollup(spark: SparkSession, folder: str) -> DataFrame:
     """As of the latest day, over a stored rollup."""
-    path = scratch(spark, "rollup")
-    book.write_rollup(sample.lines(spark, folder), path)
-    return Dashboard.stored(spark, path).summary()
+    return _rolled_up(spark, folder).summary()
+
+
+def _rolled_up(spark: SparkSession, folder: str) -> Dashboard:
+    path = scratch(spark, "rollups")
+    book.write_rollups(sample.lines(spark, folder), path)
+    return Dashboard.rolled_up(spark, path, sample.suppliers(spark, folder), sample.products(spark, folder),
+                               sample.destinations(spark, folder))
+
+
+def leaderboard_stored_rollup(spark: SparkSession, folder: str) -> DataFrame:
+    return _rolled_up(spark, folder).leaderboard()
+
+
+def destinations_stored_rollup(spark: SparkSession, folder: str) -> DataFrame:
+    return _rolled_up(spark, folder).top_destinations()
+
+
+def rollup_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """How many rows the rollup for each use has."""
+    lines = sample.lines(spark, folder)
+    counts = [book.rollup(lines, keys).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table_name"), "rows")
+              for name, keys in book.USES.items()]
+    return reduce(DataFrame.unionByName, counts)
 
 
 def leaderboard_blocks(spark: SparkSession, folder: str) -> DataFrame:

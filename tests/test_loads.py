@@ -268,7 +268,10 @@ def test_an_order_that_moves_out_of_its_month(spark, files, tmp_path):
     fact, path = f"{tmp_path}/fact", f"{tmp_path}/rollup"
     book.write_fact(cleaned("01-05-2026"), fact)
     book.write_rollup(read_sales(spark, fact), path)
+    book.write_rollups(read_sales(spark, fact), f"{tmp_path}/uses")
     book.write_fact(cleaned("02-05-2026"), fact)
+    book.refresh_rollups(spark, read_sales(spark, fact), f"{tmp_path}/uses", ["2026-01", "2026-02", None])
+    assert rows(Dashboard.rolled_up(spark, f"{tmp_path}/uses").summary()) == rows(Dashboard.stored(spark, fact).summary())
     book.refresh_rollup(spark, read_sales(spark, fact), path, ["2026-01", "2026-02", None])
     for store in (fact, path):
         assert newest_month(spark, store) == date("2026-02-01")
