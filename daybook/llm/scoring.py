@@ -29,6 +29,8 @@ from daybook.llm.workers import ready
 
 # Production parameters.
 HEAD = 200_000
+# Bytes of the longest word in the head, which so has a bounded size.
+LONGEST = 64
 SMOOTH = 0.1
 ROUNDS = 2
 SHARE = 0.2
@@ -95,16 +97,16 @@ class Corpus:
 def survey(counts: DataFrame, head: int = HEAD) -> tuple[Corpus, Column]:
     """The corpus's totals and head, and a condition for the words outside the head.
 
-    The head is all words from some level of frequency up, so finding it takes no sort.
+    The head is all words of a usual length from some level of frequency up, so finding it takes no sort.
     """
-    level = F.floor(F.log2("n") * 16).cast("int")
+    level = F.when(F.octet_length("word") <= LONGEST, F.floor(F.log2("n") * 16).cast("int")).otherwise(-1)
     is_end = F.col("word") == F.lit(END)
     levels = counts.filter(~is_end).groupBy(level.alias("level")).agg(
         F.count(F.lit(1)).alias("words"), F.sum("n").alias("tokens")).orderBy(F.col("level").desc()).collect()
     ends = counts.filter(is_end).agg(F.sum("n")).first()[0] or 0
     least, room = 1 << 30, head - 1
     for row in levels:
-        if row.words > room:
+        if row.words > room or row.level < 0:
             break
         least, room = row.level, room - row.words
     rows = counts.filter(~is_end & (level >= least)).collect()
