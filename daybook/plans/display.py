@@ -8,12 +8,17 @@ from pyspark.sql import functions as F
 from daybook.functions import display as d
 
 
+# What is shown after amounts and where a label is missing.
+REVENUE_SUFFIX = " Revenue"
+NO_MONTH, NO_PREVIOUS_MONTH = "MTD", "Prev Month"
+
+
 def summary_display(summary: DataFrame) -> DataFrame:
     def count(name: str) -> Column:
         return F.coalesce(F.col(name).cast("string"), F.lit("0")).alias(name)
 
     def money(name: str) -> Column:
-        return F.concat(d.rupees(F.col(name)), F.lit(" Revenue")).alias(name)
+        return F.concat(d.rupees(F.col(name)), F.lit(REVENUE_SUFFIX)).alias(name)
 
     def label(name: str, default: str) -> Column:
         return F.upper(d.or_default(F.col(name), default)).alias(name)
@@ -21,9 +26,9 @@ def summary_display(summary: DataFrame) -> DataFrame:
     return summary.select(
         d.long_date(F.col("data_date")).alias("data_date"),
         count("today_orders"), money("today_revenue"),
-        label("mtd_label", "MTD"), count("mtd_orders"), money("mtd_revenue"),
+        label("mtd_label", NO_MONTH), count("mtd_orders"), money("mtd_revenue"),
         count("prev_same_orders"), money("prev_same_revenue"),
-        label("prev_full_label", "Prev Month"), count("prev_full_orders"), money("prev_full_revenue"),
+        label("prev_full_label", NO_PREVIOUS_MONTH), count("prev_full_orders"), money("prev_full_revenue"),
     )
 
 

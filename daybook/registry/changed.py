@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from daybook.operators.sales import MONTH
 from daybook.plans import book, loads
 from daybook.plans.dashboard import Dashboard
+from daybook.registry.stored import written_csv
 from daybook.schemas import ORDERS, PRODUCTS
 from daybook.session import scratch
-from daybook.sinks.files import write_csv
 from daybook.sinks.json_rows import array_object
 from daybook.sources import sample
 from daybook.sources.delimited import REASON
@@ -45,9 +45,9 @@ def csv_load_orders_line_breaks(spark: SparkSession, folder: str) -> DataFrame:
     rows = sample.table(spark, folder, "orders").select(
         F.col("o_orderkey").alias("order_no"),
         F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), mark).alias("order_date_time"))
-    csv, path = scratch(spark, "csv"), scratch(spark, "orders")
-    write_csv(rows, csv)
-    loads.load_table(spark, csv, ORDERS, path)
+    path = scratch(spark, "orders")
+    with written_csv(rows) as csv:
+        loads.load_table(spark, csv, ORDERS, path)
     return read_table(spark, path).select("order_no", "order_date_time")
 
 
@@ -56,10 +56,10 @@ def csv_quarantine_twice(spark: SparkSession, folder: str) -> DataFrame:
     rows = sample.table(spark, folder, "part").select(
         F.col("p_partkey").alias("prod_id"),
         F.when(F.col("p_size") > 40, "unlimited").otherwise(F.col("p_size").cast("string")).alias("data_limit"))
-    csv, path, rejected = (scratch(spark, name) for name in ("csv", "products", "rejected"))
-    write_csv(rows, csv)
-    for _ in range(2):
-        loads.insert_good_rows(spark, csv, PRODUCTS, path, rejected)
+    path, rejected = scratch(spark, "products"), scratch(spark, "rejected")
+    with written_csv(rows) as csv:
+        for _ in range(2):
+            loads.insert_good_rows(spark, csv, PRODUCTS, path, rejected)
     return read_table(spark, rejected).groupBy(F.col(REASON).alias("reason")).agg(F.count(F.lit(1)).alias("rows"))
 
 

@@ -3,7 +3,8 @@ stored tables into the scratch folder, loaded back and reported on."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,23 +16,29 @@ from daybook.plans import book, loads
 from daybook.plans.dashboard import Dashboard
 from daybook.schemas import DESTINATIONS, LONG, ORDERS, PRODUCTS, USERS, Table
 from daybook.session import scratch
-from daybook.sinks.files import write_csv
+from daybook.sinks.files import delete, write_csv
 from daybook.sources import sample
 from daybook.sources.delimited import REASON
 from daybook.sources.stored import read_sales, read_table
 
 
-def _written_csv(df: DataFrame) -> str:
+@contextmanager
+def written_csv(df: DataFrame) -> Iterator[str]:
+    """``df`` as CSV files, deleted when they have been loaded."""
     path = scratch(df.sparkSession, "csv")
     write_csv(df, path)
-    return path
+    try:
+        yield path
+    finally:
+        delete(df.sparkSession, path)
 
 
 def _loaded(df: DataFrame, table: Table, **options) -> DataFrame:
     """``df`` through a CSV file and the loader of ``table``."""
     spark = df.sparkSession
     path = scratch(spark, table.name)
-    loads.load_table(spark, _written_csv(df), table, path, **options)
+    with written_csv(df) as csv:
+        loads.load_table(spark, csv, table, path, **options)
     return read_table(spark, path)
 
 
@@ -111,16 +118,17 @@ def _inserted_twice(spark: SparkSession, folder: str, insert: Callable,
     rows = _product_rows(spark, folder)
     cheap = F.col("amount").cast("decimal(10,2)") < 1000
     path = scratch(spark, PRODUCTS.name)
-    insert(spark, _written_csv(spoil(rows.filter(cheap))), PRODUCTS, path)
-    insert(spark, _written_csv(spoil(rows.withColumn("productName", F.lit("again")))), PRODUCTS, path)
+    for part in (rows.filter(cheap), rows.withColumn("productName", F.lit("again"))):
+        with written_csv(spoil(part)) as csv:
+            insert(spark, csv, PRODUCTS, path)
     return _products(read_table(spark, path))
 
 
 def csv_quarantine(spark: SparkSession, folder: str) -> DataFrame:
     """The bad rows of that file, by reason."""
     rejected = scratch(spark, "rejected")
-    loads.insert_good_rows(spark, _written_csv(_spoiled(_product_rows(spark, folder))), PRODUCTS,
-                           scratch(spark, PRODUCTS.name), rejected)
+    with written_csv(_spoiled(_product_rows(spark, folder))) as csv:
+        loads.insert_good_rows(spark, csv, PRODUCTS, scratch(spark, PRODUCTS.name), rejected)
     return read_table(spark, rejected).groupBy(F.col(REASON).alias("reason")).agg(
         F.count(F.lit(1)).alias("rows"))
 
@@ -128,8 +136,8 @@ def csv_quarantine(spark: SparkSession, folder: str) -> DataFrame:
 def type_widening(spark: SparkSession, folder: str) -> DataFrame:
     """A stored table rewritten with a 64-bit key and a text for a number."""
     path = scratch(spark, PRODUCTS.name)
-    csv_path = _written_csv(_product_rows(spark, folder))
-    loads.load_table(spark, csv_path, PRODUCTS, path)
+    with written_csv(_product_rows(spark, folder)) as csv:
+        loads.load_table(spark, csv, PRODUCTS, path)
     wider = PRODUCTS.widen(add_on_id=255, prod_id=LONG, data_limit=PRODUCTS.field("product_name").type)
     loads.rewrite_types(spark, path, wider)
     return _products(read_table(spark, path))
@@ -183,5 +191,6 @@ def leaderboard_blocks(spark: SparkSession, folder: str) -> DataFrame:
 
 def csv_export(spark: SparkSession, folder: str) -> DataFrame:
     """The daily trend written as CSV and read back as text."""
-    path = _written_csv(Dashboard(sample.orders(spark, folder)).daily("1998-03-31"))
+    path = scratch(spark, "csv")
+    write_csv(Dashboard(sample.orders(spark, folder)).daily("1998-03-31"), path)
     return spark.read.option("header", True).csv(path)
