@@ -28,11 +28,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words of passages that begin in an earlier one, and their new length."""
-    cut = substrings.remove(docs)
+    # Columns that the operator doesn't read go under names that it doesn't use.
+    aside = {c: f"column {i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text", "n_chars")}
+    cut = substrings.remove(docs.withColumnsRenamed(aside))
     if "n_chars" in docs.columns:
         length = F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars"))
         cut = cut.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType))
-    return cut.select(docs.columns)
+    back = {name: c for c, name in aside.items()}
+    return cut.drop(*substrings.RESULTS).withColumnsRenamed(back).select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -162,7 +162,8 @@ def test_top_k_of_huge_numbers_and_of_nothing(spark):
 
 def test_pipeline(spark, docs, rows):
     """Each stage against plain Python, on what the one before kept."""
-    kept = docs.withColumn("failures", F.lit(0)).withColumn("copies", F.lit(0)).withColumn("doc", F.lit("d"))
+    kept = docs.withColumn("failures", F.lit(0)).withColumn("copies", F.lit(0)).withColumn("doc", F.lit("d")).withColumn(
+        "n_words", F.lit("w")).withColumn("_x", F.lit(1)).withColumn("spans", F.lit(2))
     columns, stages = kept.columns, dict(corpus_pipeline.STAGES)
 
     def run(name):
