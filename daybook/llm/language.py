@@ -5,7 +5,7 @@ rank. A document's own ranking is compared to each profile: each of its runs cos
 the two ranks, or ``RANKS`` where the profile lacks it, and the language that costs least is named, ties to the smaller name.
 
 Profiles come from a sample of the labelled rows: about the ``SAMPLE`` with the smallest hashes of each language, and no more
-than twice that. That bound is a parameter of the classifier; predictions read whole texts.
+than twice that, of the ``LANGUAGES`` with the most rows. These bounds are parameters of the classifier; predictions read whole texts.
 
 Null texts and texts without a letter are ``und`` with score 0, as is everything where nothing was learned.
 Null labels teach nothing. Repeated rows are scored alike. An empty table gives an empty result. Extra columns pass through.
@@ -26,41 +26,25 @@ from daybook.llm.workers import ready
 
 # Production parameters.
 SAMPLE = 1000
+# Languages that are learned: those with the most labelled rows.
+LANGUAGES = 512
 RANKS = 400
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
-_REMEMBERED = 100_000
-_LONGEST = 40
-
-
-def _runs(word: str) -> np.ndarray:
-    """The runs of one to three characters of a word in blanks, each as a number that orders like its text."""
-    codes = np.frombuffer(f" {word} ".encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-    one = codes[1:-1] << 42
-    two = (codes[:-1] << 42) + (codes[1:] << 21)
-    three = two[:-1] + codes[2:]
-    return np.concatenate([one, two, three])
-
-
-class _Words(dict):
-    def __missing__(self, word: str) -> np.ndarray:
-        if len(self) >= _REMEMBERED:
-            self.clear()
-        found = _runs(word)
-        if len(word) <= _LONGEST:
-            self[word] = found
-        return found
-
-
-_WORDS = _Words()
 
 
 def counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """The runs of a whole text, in order, and how often each comes."""
+    """The runs of a whole text, as numbers that order like their texts, and how often each comes."""
     words = _LETTERS.findall((text or "").lower())
     if not words:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    return np.unique(np.concatenate([_WORDS[w] for w in words]), return_counts=True)
+    # Words side by side share the blank between them, which no run may have in its middle.
+    side_by_side = f" {' '.join(words)} ".encode("utf-32-le", "surrogatepass")
+    codes = np.frombuffer(side_by_side, "<u4").astype(np.int64)
+    letter = codes != ord(" ")
+    two = (codes[:-1] << 42) + (codes[1:] << 21)
+    three = (two[:-1] + codes[2:])[letter[1:-1]]
+    return np.unique(np.concatenate([codes[letter] << 42, two, three]), return_counts=True)
 
 
 def ranking(runs: np.ndarray, times: np.ndarray, ranks: int = RANKS) -> np.ndarray:
@@ -100,11 +84,12 @@ def learn(labelled: DataFrame, sample: int = SAMPLE, ranks: int = RANKS) -> dict
     """Profiles by language, from ``labelled`` (doc_id, text, lang): ``ranks`` numbers for each."""
     ready(labelled.sparkSession)
     labelled = labelled.filter("lang is not null and text is not null")
-    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.col("_n").desc(), "lang").limit(LANGUAGES)
+    # At most LANGUAGES rows are sent to the texts, which stay where they are.
     # Hashes below a share of their range that about one and a half samples fall in, then exactly no more than two.
     draw = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11) / F.lit(float(1 << 53))
     drawn = (
-        labelled.select("lang", "text", draw.alias("_draw")).join(sizes, "lang")
+        labelled.select("lang", "text", draw.alias("_draw")).join(F.broadcast(sizes), "lang")
         .filter(F.col("_draw") * F.col("_n") < 1.5 * sample)
         .withColumn("_place", F.row_number().over(Window.partitionBy("lang").orderBy("_draw"))).filter(F.col("_place") <= 2 * sample)
     )
