@@ -50,7 +50,9 @@ class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= _REMEMBERED:
             self.clear()
-        found = self[word] = xxhash.xxh64_intdigest(word)
+        found = xxhash.xxh64_intdigest(word)
+        if len(word) <= 64:
+            self[word] = found
         return found
 
 
