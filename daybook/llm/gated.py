@@ -75,9 +75,11 @@ class Lanes:
             yield np.where(t_of < self.lengths[:running], self.at[:running] + t_of, -1)
 
 
-def _recur(w: Weights, inputs: np.ndarray, starts: np.ndarray, h: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
-    """States after each step (steps, lanes, HIDDEN), and if wanted what a backward pass needs."""
-    hid, states, kept = HIDDEN, np.empty((*inputs.shape, HIDDEN), np.float32), []
+def _recur(w: Weights, inputs: np.ndarray, starts: np.ndarray, h: np.ndarray, keep: bool = False) -> tuple[np.ndarray, tuple]:
+    """States after each step (steps, lanes, HIDDEN), and if wanted what a backward pass needs:
+    the states before, the gates, the state's part of the new values, and these values."""
+    hid, states = HIDDEN, np.empty((*inputs.shape, HIDDEN), np.float32)
+    before, gates, own_part, news = (np.empty((*inputs.shape, n * hid), np.float32) for n in (1, 2, 1, 1)) if keep else (None,) * 4
     given = (w["input"] + w["gates"])[inputs]
     fresh = starts.any(axis=1)
     one = np.float32(1)
@@ -85,19 +87,18 @@ def _recur(w: Weights, inputs: np.ndarray, starts: np.ndarray, h: np.ndarray, ke
         if fresh[t]:
             h = np.where(starts[t][:, None], np.float32(0), h)
         own = h @ w["state"]
-        gates = given[t, :, :2 * hid] + own[:, :2 * hid]
-        np.negative(gates, out=gates)
-        np.exp(gates, out=gates)
-        gates += one
-        np.divide(one, gates, out=gates)
-        z, r = gates[:, :hid], gates[:, hid:]
-        new = r * own[:, 2 * hid:]
+        gate = np.add(given[t, :, :2 * hid], own[:, :2 * hid], out=gates[t] if keep else None)
+        np.negative(gate, out=gate)
+        np.exp(gate, out=gate)
+        gate += one
+        np.divide(one, gate, out=gate)
+        new = np.multiply(gate[:, hid:], own[:, 2 * hid:], out=news[t] if keep else None)
         new += given[t, :, 2 * hid:]
         np.tanh(new, out=new)
         if keep:
-            kept.append((h, z, r, own[:, 2 * hid:], new))
-        h = np.add(new, z * (h - new), out=states[t])
-    return states, kept
+            before[t], own_part[t] = h, own[:, 2 * hid:]
+        h = np.add(new, gate[:, :hid] * (h - new), out=states[t])
+    return states, (before, gates, own_part, news)
 
 
 def _logits(states: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
@@ -158,12 +159,13 @@ def score(w: Weights, documents: list[np.ndarray], end: int) -> np.ndarray:
 
 
 def gradients(w: Weights, inputs: np.ndarray, starts: np.ndarray, targets: np.ndarray, real: np.ndarray,
-              h: np.ndarray) -> tuple[Weights, np.ndarray]:
-    """Of the mean loss over one window, back to its first step; and the state after it."""
+              h: np.ndarray) -> tuple[Weights, tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """Of the mean loss over one window, back to its first step: of all weights but the words' inputs,
+    of those the words that occur and theirs; and the state after the window."""
     states, kept = _recur(w, inputs, starts, h, keep=True)
     flat, goal = states[real], targets[real]
     share = np.float32(1 / max(1, len(goal)))
-    g = {name: np.zeros_like(x) for name, x in w.items()}
+    g = {name: np.zeros_like(w[name]) for name in ("word", "word_bias")}
     classes = goal // PER_CLASS
     wrong = _shares(flat, w["class"], w["class_bias"])
     wrong[np.arange(len(goal)), classes] -= 1
@@ -178,24 +180,32 @@ def gradients(w: Weights, inputs: np.ndarray, starts: np.ndarray, targets: np.nd
         back[at] += wrong @ w["word"][c].T
     errors = np.zeros_like(states)
     errors[real] = back
-    given = np.empty((*inputs.shape, 3 * HIDDEN), np.float32)
-    dh = np.zeros_like(states[0])
+    before, gates, own, new = kept
+    z, r = gates[:, :, :HIDDEN], gates[:, :, HIDDEN:]
+    # How much of a state's error reaches the new value, the two gates and the state before.
+    to_new, to_z, to_r = (1 - z) * (1 - new * new), (before - new) * z * (1 - z), own * r * (1 - r)
+    passed = z * ~starts[:, :, None]
+    given, through = (np.empty((*inputs.shape, 3 * HIDDEN), np.float32) for _ in range(2))
+    dh, to_state = np.zeros_like(states[0]), np.ascontiguousarray(w["state"].T)
     for t in reversed(range(len(inputs))):
-        before, z, r, own, new = kept[t]
         dh = dh + errors[t]
-        dnew = dh * (1 - z) * (1 - new * new)
-        dz = dh * (before - new) * z * (1 - z)
-        dr = dnew * own * r * (1 - r)
-        given[t] = np.concatenate([dz, dr, dnew], axis=1)
-        through = np.concatenate([dz, dr, dnew * r], axis=1)
-        g["state"] += before.T @ through
-        dh = np.where(starts[t][:, None], np.float32(0), dh * z + through @ w["state"].T)
+        own_given, own_through = given[t], through[t]
+        dnew = np.multiply(dh, to_new[t], out=own_given[:, 2 * HIDDEN:])
+        np.multiply(dh, to_z[t], out=own_given[:, :HIDDEN])
+        np.multiply(dnew, to_r[t], out=own_given[:, HIDDEN:2 * HIDDEN])
+        own_through[:, :2 * HIDDEN] = own_given[:, :2 * HIDDEN]
+        np.multiply(dnew, r[t], out=own_through[:, 2 * HIDDEN:])
+        back = own_through @ to_state
+        if starts[t].any():
+            back[starts[t]] = 0
+        dh = dh * passed[t] + back
     rows = given.reshape(-1, 3 * HIDDEN)
+    g["state"] = before.reshape(-1, HIDDEN).T @ through.reshape(-1, 3 * HIDDEN)
     g["gates"] = rows.sum(axis=0)
-    words, order = inputs.ravel(), np.argsort(inputs.ravel(), kind="stable")
-    firsts = np.flatnonzero(np.diff(words[order], prepend=-1))
-    g["input"][words[order][firsts]] = np.add.reduceat(rows[order], firsts, axis=0)
-    return g, states[-1]
+    order = np.argsort(inputs.ravel(), kind="stable")
+    words = inputs.ravel()[order]
+    firsts = np.flatnonzero(np.diff(words, prepend=-1))
+    return g, (words[firsts], np.add.reduceat(rows[order], firsts, axis=0)), states[-1]
 
 
 class Trainer:
@@ -212,20 +222,37 @@ class Trainer:
         lanes = Lanes(documents, int(np.clip(tokens // (STEPS * 100), 8, TRAINED_LANES)), end)
         h = np.zeros((len(lanes.lengths), HIDDEN), np.float32)
         for places in lanes.windows():
-            g, h = gradients(self.w, lanes.inputs[places], lanes.starts[places], lanes.targets[places], places >= 0, h[:places.shape[1]])
-            self._step(g)
+            g, words, h = gradients(self.w, lanes.inputs[places], lanes.starts[places], lanes.targets[places], places >= 0, h[:places.shape[1]])
+            self._step(g, *words)
 
-    def _step(self, g: Weights) -> None:
+    def _step(self, g: Weights, words: np.ndarray, inputs: np.ndarray) -> None:
+        """One step. Inputs of words that don't occur stay as they are, their averages too."""
         self.n += 1
-        norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
+        norm = np.sqrt(sum(float(np.vdot(x, x)) for x in (*g.values(), inputs)))
         scale = np.float32(min(1.0, CLIP / (norm + 1e-12)))
         rate = np.float32(self.rate * np.sqrt(1 - 0.999 ** self.n) / (1 - 0.9 ** self.n))
         for name, x in g.items():
             x *= scale
-            m, v = self.m[name], self.v[name]
-            m += np.float32(0.1) * (x - m)
-            v += np.float32(0.001) * (x * x - v)
-            self.w[name] -= rate * m / (np.sqrt(v) + np.float32(1e-8))
+            self.w[name] -= self._change(x, self.m[name], self.v[name], rate)
+        inputs *= scale
+        m, v = self.m["input"][words], self.v["input"][words]
+        self.w["input"][words] -= self._change(inputs, m, v, rate)
+        self.m["input"][words], self.v["input"][words] = m, v
+
+    @staticmethod
+    def _change(x: np.ndarray, m: np.ndarray, v: np.ndarray, rate: np.float32) -> np.ndarray:
+        """Moves the averages towards ``x`` in place."""
+        m *= np.float32(0.9)
+        m += np.float32(0.1) * x
+        v *= np.float32(0.999)
+        np.multiply(x, x, out=x)
+        x *= np.float32(0.001)
+        v += x
+        np.sqrt(v, out=x)
+        x += np.float32(1e-8)
+        np.divide(m, x, out=x)
+        x *= rate
+        return x
 
 
 def flatten(w: Weights) -> np.ndarray:

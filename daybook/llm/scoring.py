@@ -36,8 +36,10 @@ ROUNDS = 2
 SHARE = 0.2
 # No word holds a line break, so it stands for the end of a document.
 END = b"\n"
-# Tokens that a task holds at a time, and blocks of weights.
-_TOKENS = 3_000_000
+# Tokens that a task holds at a time; documents from a length up are held apart from shorter ones,
+# so that lanes are about as long as each other. Words that it counts at a time, and blocks of weights.
+_TOKENS = 1_000_000
+_LONG = 4_000
 _WORDS = 400_000
 _BLOCKS = 32
 
@@ -46,9 +48,13 @@ def tokens(text: bytes | None) -> list[bytes]:
     return [*(text or b"").lower().split(), END]
 
 
-def _texts(batches: Iterable[pa.RecordBatch]) -> Iterator[bytes | None]:
+def _texts(batches: Iterable[pa.RecordBatch], *beside: str) -> Iterator[tuple]:
+    """(text, columns beside it) of each row, some rows at a time."""
     for batch in batches:
-        yield from batch.column("text").cast(pa.binary()).to_pylist()
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            texts = part.column("text").cast(pa.binary()).to_pylist()
+            yield from zip(texts, zip(*(part.column(c).to_pylist() for c in beside))) if beside else ((text, ()) for text in texts)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -57,7 +63,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Counter[bytes] = Counter()
-        for text in _texts(batches):
+        for text, _ in _texts(batches):
             own.update(tokens(text))
             if len(own) >= _WORDS:
                 yield _counted(own)
@@ -118,12 +124,12 @@ def survey(counts: DataFrame, head: int = HEAD) -> tuple[Corpus, Column]:
 
 
 def _numbered(index: dict[bytes, int], words: list[bytes]) -> np.ndarray:
-    return np.fromiter((index.get(word, -1) for word in words), dtype=np.int64, count=len(words))
+    return np.fromiter((index.get(word, -1) for word in words), dtype=np.int32, count=len(words))
 
 
 def _known(numbers: np.ndarray) -> np.ndarray:
     """Numbers in the head as the model's."""
-    return np.where((numbers < 0) | (numbers >= gated.WORDS), gated.RARE, numbers)
+    return np.where((numbers < 0) | (numbers >= gated.WORDS), np.int32(gated.RARE), numbers)
 
 
 def train(docs: DataFrame, corpus: Corpus, rounds: int = ROUNDS, share: float = SHARE) -> gated.Weights:
@@ -149,7 +155,7 @@ def _trainer(weights: gated.Weights, known: tuple[bytes, ...]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = {word: i for i, word in enumerate(known)}
         trainer, held, size, total = gated.Trainer(weights), [], 0, 0
-        for text in _texts(batches):
+        for text, _ in _texts(batches):
             held.append(_known(_numbered(index, tokens(text))))
             size += len(held[-1])
             if size >= _TOKENS:
@@ -185,12 +191,12 @@ def _scorer(weights: gated.Weights, corpus: Corpus):
     """For each row its doc_id and held_out, counts, the logs of what the head and the model know, and the words outside the head."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, logs, rare = corpus.index(), corpus.logs(), float(np.log10(corpus.rare()))
-        seen, held, numbers, size = corpus.counts > 0, [], [], 0
+        seen = corpus.counts > 0
 
-        def scored() -> pa.RecordBatch:
-            modelled = gated.score(weights, [_known(own) for own in numbers], 0) / np.log(10)
+        def scored(held: list) -> pa.RecordBatch:
+            modelled = gated.score(weights, [_known(own) for _, own, _ in held], 0) / np.log(10)
             rows = []
-            for (row, strange), own, likelihood in zip(held, numbers, modelled):
+            for (row, own, strange), likelihood in zip(held, modelled):
                 head = own[own >= 0]
                 # A word of the rare class has its share of the class.
                 in_class = logs[head[head >= gated.WORDS]].sum() - rare * int((_known(own) == gated.RARE).sum())
@@ -202,17 +208,19 @@ def _scorer(weights: gated.Weights, corpus: Corpus):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)],
                                               ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "words", "times"])
 
-        for batch in batches:
-            names = zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "held_out")))
-            for row, text in zip(names, batch.column("text").cast(pa.binary()).to_pylist()):
-                words = tokens(text)
-                numbers.append(_numbered(index, words))
-                held.append((row, Counter(words[i] for i in np.flatnonzero(numbers[-1] < 0))))
-                size += len(words)
-                if size >= _TOKENS:
-                    yield scored()
-                    held, numbers, size = [], [], 0
-        yield scored()
+        pools: dict[bool, list] = {False: [], True: []}
+        sizes = {False: 0, True: 0}
+        for text, row in _texts(batches, "row", "doc_id", "held_out"):
+            words = tokens(text)
+            numbers = _numbered(index, words)
+            long = len(words) >= _LONG
+            pools[long].append((row, numbers, Counter(words[i] for i in np.flatnonzero(numbers < 0))))
+            sizes[long] += len(words)
+            if sizes[long] >= _TOKENS:
+                yield scored(pools[long])
+                pools[long], sizes[long] = [], 0
+        for held in pools.values():
+            yield scored(held)
     return run
 
 
