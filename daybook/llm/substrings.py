@@ -8,8 +8,8 @@ begin in several documents.
 Only strings that can matter travel. Of documents with the same words the one with the smallest id stands for all;
 the others lose every word that a window covers, which is all of them. Minimisers that occur in one document
 alone are settled by counting. A minimiser in more than ``CROWD`` strings is no bucket: its
-windows go by a digest of 128 bits each, are folded to the smallest id before any shuffle, and are
-looked up again, so that a passage in a third of all documents is no one's group.
+equal strings are folded to the smallest id before any shuffle, by a digest of 128 bits, and so are the windows of
+those that are left, so that a passage in a third of all documents is no one's group.
 
 Rows are told apart by doc_id and a hash of the text. Rows with one doc_id don't take words from each other; those without
 an id keep all words and take none. Null and empty texts have no words; shorter documents than a window keep theirs.
@@ -37,6 +37,7 @@ from daybook.llm.workers import ready
 WINDOW = 50
 MINIMISER = 8
 CROWD = 2048
+HOT = 4096
 RESULTS = ("n_words", "n_removed", "kept_sha256")
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -119,31 +120,60 @@ def _outlines(window: int, length: int):
 
 
 def _strings(window: int):
-    """Of each document with the runs that travel: a row for each string, or for each window of a crowded minimiser."""
+    """Of each document with the runs that travel: a row for each string, with a digest of it."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for n in range(batch.num_rows):
                 row = batch.slice(n, 1)
                 words = (row.column("text").cast(pa.binary())[0].as_py() or b"").split()
                 joined, at = b" ".join(words), _offsets(words)
-                found = []
-                for span in row.column("spans")[0].as_py():
-                    first, count = span["start"], span["windows"]
-                    if span["crowded"]:
-                        for i in range(first, first + count):
-                            digest = hashlib.blake2b(joined[at[i]:at[i + window] - 1], digest_size=16).digest()
-                            found.append((None, digest, i, None))
-                    else:
-                        found.append((span["least"], None, first, joined[at[first]:at[first + count + window - 1] - 1]))
-                least, digest, start, string = zip(*found)
-                size = len(found)
+                spans = row.column("spans")[0].as_py()
+                strings = [joined[at[s["start"]]:at[s["start"] + s["windows"] + window - 1] - 1] for s in spans]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(least, pa.int64()), pa.array(digest, pa.binary()), pa.array(start, pa.int32()), pa.array(string, pa.binary()),
-                     pa.array(row.column("doc_id").to_pylist() * size, pa.int64()), pa.array(row.column("_text").to_pylist() * size, pa.int64())],
-                    ["least", "digest", "start", "string", "doc_id", "_text"])
+                    [pa.array([s["least"] for s in spans], pa.int64()), pa.array([s["crowded"] for s in spans], pa.bool_()),
+                     pa.array([s["start"] for s in spans], pa.int32()), pa.array([s["windows"] for s in spans], pa.int32()),
+                     pa.array([_digest(x) for x in strings], pa.binary()), pa.array(strings, pa.binary()),
+                     pa.array(row.column("doc_id").to_pylist() * len(spans), pa.int64()),
+                     pa.array(row.column("_text").to_pylist() * len(spans), pa.int64())],
+                    ["least", "crowded", "start", "windows", "digest", "string", "doc_id", "_text"])
     return run
 
 
+def _digest(words: bytes) -> bytes:
+    return hashlib.blake2b(words, digest_size=16).digest()
+
+
+def _windows(window: int):
+    """A row for each window of each string, with a digest of it."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(batch.num_rows):
+                row = batch.slice(n, 1).to_pylist()[0]
+                at = _offsets(row["string"].split(b" "))
+                found = [_digest(row["string"][at[i]:at[i + window] - 1]) for i in range(len(at) - window)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(found, pa.binary()), pa.array(range(row["start"], row["start"] + len(found)), pa.int32()),
+                     pa.array([1] * len(found), pa.int32()), pa.array([row["doc_id"]] * len(found), pa.int64()),
+                     pa.array([row["_text"]] * len(found), pa.int64())], ["digest", "start", "windows", "doc_id", "_text"])
+    return run
+
+
+def _later(rows: DataFrame) -> DataFrame:
+    """The spans of staged ``rows`` whose digest also comes in a document with a smaller id.
+
+    A digest that has more than one row in ``HOT`` is looked up in a table sent to all tasks, which has
+    fewer than ``HOT`` rows; only the others meet by digest, none of them many.
+    """
+    firsts = stage(rows.groupBy("digest").agg(
+        F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count(F.lit(1)).alias("n")).filter("a < b"), "firsts")
+    hot = F.col("n") * HOT > rows.count()
+    spans = rows.select("digest", "doc_id", "_text", "start", "windows")
+    often = F.broadcast(firsts.filter(hot).select("digest", "a"))
+    found = spans.join(often, "digest").unionByName(
+        spans.join(often, "digest", "left_anti").join(firsts.filter(~hot).select("digest", "a"), "digest"))
+    return found.filter("doc_id > a").select("doc_id", "_text", "start", "windows")
+
+
 def _repeats(window: int):
     """Rows sorted by minimiser: the windows of each bucket that begin in a document with a smaller id."""
     def settle(bucket: list[tuple[int, int, int, bytes]], out: list) -> None:
@@ -219,13 +249,16 @@ def repeats(docs: DataFrame, window: int = WINDOW, length: int = MINIMISER, crow
         .groupBy("doc_id", "_text").agg(F.collect_list(F.struct("start", "windows", "least", "crowded")).alias("spans"))
     )
     strings = stage(texts.join(spans, ["doc_id", "_text"]).mapInArrow(
-        _strings(window), "least long, digest binary, start int, string binary, doc_id long, _text long"), "strings")
-    bucketed = strings.filter("least is not null").repartition("least").sortWithinPartitions("least")
+        _strings(window), "least long, crowded boolean, start int, windows int, digest binary, string binary, doc_id long, _text long"),
+        "strings")
+    bucketed = strings.filter("not crowded").repartition("least").sortWithinPartitions("least")
     from_buckets = bucketed.mapInArrow(_repeats(window), "doc_id long, _text long, start int, windows int")
-    single = strings.filter("digest is not null").select("digest", "doc_id", "_text", "start")
-    lowest = single.groupBy("digest").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b")
-    from_crowds = single.join(lowest, "digest").filter("doc_id > a").select("doc_id", "_text", "start", F.lit(1).alias("windows"))
-    partly = from_buckets.unionByName(from_crowds).groupBy("doc_id", "_text").agg(
+    # Of equal strings that of the smallest id stands for all; the others lose it whole.
+    crowds = strings.filter("crowded")
+    firsts_of = crowds.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
+    single = stage(crowds.join(firsts_of, ["digest", "doc_id"], "left_semi").mapInArrow(
+        _windows(window), "digest binary, start int, windows int, doc_id long, _text long"), "windows")
+    partly = from_buckets.unionByName(_later(crowds)).unionByName(_later(single)).groupBy("doc_id", "_text").agg(
         F.collect_list(F.struct("start", "windows")).alias("spans")).withColumn("whole", F.lit(False))
     wholly = long.select("words", "doc_id", "_text").join(firsts, "words").filter("doc_id > lowest").select(
         "doc_id", "_text").distinct().withColumn("spans", F.lit(None).cast("array<struct<start:int,windows:int>>")).withColumn("whole", F.lit(True))
