@@ -164,9 +164,11 @@ def representatives(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     """``docs`` with one row of each component: that of the smallest doc_id, and of its texts that of the smallest hash."""
     prints, named = _grouped(docs, shingle, distance, segments)
     smallest = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "_text")).alias("kept")
-    kept = prints.join(named, "fp").groupBy("root").agg(smallest).select(
-        F.col("kept.doc_id").alias("_doc"), F.col("kept._text").alias("_hash"))
-    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("_doc"), F.xxhash64("text").alias("_hash"))
-    same = (rows["_doc"].eqNullSafe(kept["_doc"])) & (rows["_hash"] == kept["_hash"])
-    # Equal rows of one document are one.
-    return rows.join(kept, same, "left_semi").dropDuplicates(["_doc", "_hash"]).select("doc.*")
+    kept = prints.join(named, "fp").groupBy("root").agg(smallest).select("kept.*")
+    # Keys without nulls: the join and the removal of equal rows then share one shuffle of the texts.
+    key = lambda doc_id, text: (
+        F.coalesce(doc_id, F.lit(0)).alias("_doc"), doc_id.isNull().alias("_nameless"), text.alias("_hash"))
+    rows = docs.select(F.struct("*").alias("doc"), *key(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    names = ["_doc", "_nameless", "_hash"]
+    kept = kept.select(*key(F.col("doc_id"), F.col("_text")))
+    return rows.join(kept, names, "left_semi").dropDuplicates(names).select("doc.*")
