@@ -4,7 +4,7 @@ Counting covers every training document. The most frequent words, ``HEAD`` at mo
 counts of the others are joined to the documents they occur in, word by word. The model knows the first ``gated.WORDS`` of the head.
 A word it doesn't know has the probability of the rare class times its share of the corpus's counts in that class.
 
-Training runs in rounds, each over its own ``SHARE`` of the training documents, so it grows with the corpus. In a round every
+Training reads every training document once, in ``ROUNDS`` rounds over equal shares of them drawn by a hash. In a round every
 task trains the common weights on its documents, and the changes are averaged by tokens: blocks of weights are
 shuffled and added up, and the driver sees one set of weights.
 
@@ -33,7 +33,6 @@ HEAD = 200_000
 LONGEST = 64
 SMOOTH = 0.1
 ROUNDS = 2
-SHARE = 0.2
 # No word holds a line break, so it stands for the end of a document.
 END = b"\n"
 # Tokens that a task holds at a time; documents from a length up are held apart from shorter ones,
@@ -132,16 +131,16 @@ def _known(numbers: np.ndarray) -> np.ndarray:
     return np.where((numbers < 0) | (numbers >= gated.WORDS), np.int32(gated.RARE), numbers)
 
 
-def train(docs: DataFrame, corpus: Corpus, rounds: int = ROUNDS, share: float = SHARE) -> gated.Weights:
-    """Weights after ``rounds`` averaged passes, each over its own ``share`` of ``docs`` (doc_id, text)."""
+def train(docs: DataFrame, corpus: Corpus, rounds: int = ROUNDS) -> gated.Weights:
+    """Weights after ``rounds`` averaged passes, which share out all of ``docs`` (doc_id, text) between them."""
     spark = docs.sparkSession
     ready(spark)
     weights = gated.begin((corpus.counts[:gated.WORDS] + SMOOTH) / corpus.total(), corpus.rare())
-    draw = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11) / F.lit(float(1 << 53))
+    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds))
     known = corpus.head[:gated.WORDS]
     for n in range(rounds):
-        part = docs.filter((draw >= n * share) & (draw < (n + 1) * share)).select("text")
-        part = part.coalesce(max(1, round(part.rdd.getNumPartitions() * share)))
+        part = docs.filter(draw == n).select("text")
+        part = part.coalesce(max(1, round(part.rdd.getNumPartitions() / rounds)))
         sums = part.mapInArrow(_trainer(weights, known), "block int, tokens long, change binary").repartition("block").mapInArrow(
             _added, "block int, tokens long, change binary")
         blocks = {row.block: (row.tokens, np.frombuffer(row.change, "<f8")) for row in sums.collect()}
@@ -224,7 +223,7 @@ def _scorer(weights: gated.Weights, corpus: Corpus):
     return run
 
 
-def likelihoods(docs: DataFrame, held_out: Column, head: int = HEAD, rounds: int = ROUNDS, share: float = SHARE) -> DataFrame:
+def likelihoods(docs: DataFrame, held_out: Column, head: int = HEAD, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score (log10 under the corpus's words) and score (under the
     model) of every row; learns from the rows that are not ``held_out``."""
     ready(docs.sparkSession)
@@ -232,7 +231,7 @@ def likelihoods(docs: DataFrame, held_out: Column, head: int = HEAD, rounds: int
     training = docs.filter(~F.col("held_out"))
     counts = stage(word_counts(training), "words")
     corpus, outside = survey(counts, head)
-    weights = train(training, corpus, rounds, share)
+    weights = train(training, corpus, rounds)
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "held_out", "text")
     scored = stage(numbered.mapInArrow(
         _scorer(weights, corpus), "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, "

@@ -1,7 +1,9 @@
 """SimHash, repeated passages, language, likelihood: against plain Python."""
 
 import hashlib
+import json
 import math
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -243,6 +245,25 @@ def test_likelihoods(docs, rows, head):
     assert all(r.score <= 0 for r in found)
 
 
+def test_the_model_learns_from_every_training_document(docs, rows, monkeypatch, tmp_path):
+    trainer, read = scoring._trainer, str(tmp_path)
+
+    def noted(weights, known):
+        run = trainer(weights, known)
+
+        def noting(batches):
+            batches = list(batches)
+            with open(f"{read}/{uuid.uuid4()}", "w") as out:
+                json.dump([text for batch in batches for text in batch.column("text").to_pylist()], out)
+            return run(batches)
+        return noting
+
+    monkeypatch.setattr(scoring, "_trainer", noted)
+    scoring.likelihoods(docs, F.coalesce(F.col("doc_id") % 10 == 0, F.lit(False))).count()
+    learned = Counter(text for part in tmp_path.iterdir() for text in json.loads(part.read_text()))
+    assert learned == Counter(r[1] for r in rows if r[0] is None or r[0] % 10)
+
+
 def test_the_model_beats_single_words_on_held_out_documents(spark):
     found = queries.op7_likelihood(spark, "/root/testdata/sf0.001").filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert found[0] > found[1]
