@@ -13,7 +13,7 @@ those that are left, so that a passage in a third of all documents is no one's g
 
 Rows are told apart by doc_id and a hash of the text. Rows with one doc_id don't take words from each other; those without
 an id keep all words and take none. Null and empty texts have no words; shorter documents than a window keep theirs.
-Repeated rows get the same result. An empty table gives an empty one. Other columns pass through; those
+Repeated rows travel once and get the same result. An empty table gives an empty one. Other columns pass through; those
 named like a result or with a leading underscore are replaced.
 """
 
@@ -235,7 +235,11 @@ def repeats(docs: DataFrame, window: int = WINDOW, length: int = MINIMISER, crow
         _outlines(window, length), "doc_id long, _text long, n_words long, words binary, starts array<int>, least array<long>"), "outlines")
     long = outlines.filter(F.col("n_words") >= window)
     firsts = stage(long.groupBy("words").agg(F.min("doc_id").alias("lowest")), "firsts")
-    speakers = long.join(firsts.withColumnRenamed("lowest", "doc_id"), ["words", "doc_id"], "left_semi")
+    # The runs follow from the words. Rows repeated whole, and their texts below, are folded before they meet.
+    folded = long.groupBy("words", "doc_id").agg(
+        F.collect_set("_text").alias("texts"), *[F.first(c).alias(c) for c in ("n_words", "starts", "least")])
+    speakers = folded.join(firsts.withColumnRenamed("lowest", "doc_id"), ["words", "doc_id"], "left_semi").withColumn(
+        "_text", F.explode("texts"))
     last = F.col("n_words") - (window - 1)
     runs = speakers.select(
         "doc_id", "_text", F.explode(F.arrays_zip("starts", "least", F.concat(
@@ -248,7 +252,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, length: int = MINIMISER, crow
         runs.join(shared.select("least", (F.col("n") > crowd).alias("crowded")), "least")
         .groupBy("doc_id", "_text").agg(F.collect_list(F.struct("start", "windows", "least", "crowded")).alias("spans"))
     )
-    strings = stage(texts.join(spans, ["doc_id", "_text"]).mapInArrow(
+    strings = stage(texts.dropDuplicates(["doc_id", "_text"]).join(spans, ["doc_id", "_text"]).mapInArrow(
         _strings(window), "least long, crowded boolean, start int, windows int, digest binary, string binary, doc_id long, _text long"),
         "strings")
     bucketed = strings.filter("not crowded").repartition("least").sortWithinPartitions("least")

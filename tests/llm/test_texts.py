@@ -131,6 +131,26 @@ def test_repeated_passages(docs, rows, crowd, hot, monkeypatch):
     assert sum(v[1] > 0 for v in want.values()) > 8
 
 
+def test_repeated_rows_travel_once(spark, monkeypatch):
+    staged, stage = [], substrings.stage
+
+    def counted(df, name):
+        found = stage(df, name)
+        staged.append((name, found.count()))
+        return found
+
+    monkeypatch.setattr(substrings, "stage", counted)
+    texts = [(3, "a b c d e f"), (3, "a  b c d e f"), (1, "c d e"), (2, "x c d e y")]
+    want = removed(texts, 3)
+    strings = []
+    for times in (1, 40):
+        df = spark.createDataFrame(texts + [texts[0]] * (times - 1), "doc_id long, text string").repartition(3)
+        got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256, r.text) for r in substrings.remove(df, window=3, length=2).collect())
+        assert got == Counter((k[0], *v) for k, v in want.items()) + Counter({(3, *want[texts[0]]): times - 1})
+        strings.append(dict(staged)["strings"])
+    assert strings[0] == strings[1] > 0
+
+
 def test_small_windows_and_nothing(spark, nothing):
     assert substrings.remove(nothing).count() == 0
     texts = [(3, "a b c d e f"), (1, "c d e"), (2, "x c d e y"), (4, "a a a a a a")]
