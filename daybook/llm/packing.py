@@ -3,7 +3,8 @@
 Each document becomes its ids and an end id; only one longer than a sequence is cut, into full pieces and
 a rest. A task packs what its partition holds, longest first, each piece into the fullest sequence
 that takes it. Sequences that are nearly full are done. The others are the items of the next
-round, in fewer partitions, until one partition, ``CHUNK`` items at most, is left or a round no longer joins any.
+round, in fewer partitions, until one partition of ``CHUNK`` items at most has been packed, until all that are left are over
+half full, so that no two fit together, or until a round no longer joins any in as few partitions as hold them.
 
 A null text is an empty one and gives one piece, the end id. Null ids stay null. Repeated rows are packed
 each. An empty table gives no pieces. Columns other than ``doc_id`` and ``text`` are not read.
@@ -89,12 +90,14 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, slack: int = SLACK) -> DataFr
     while True:
         packed = stage(level.mapInArrow(_packer(capacity, slack, depth), _BINS), f"pack-{depth}")
         finished.append(packed.filter("done"))
-        left = packed.filter("not done").count()
-        stuck = count is not None and left > 0.99 * count
-        if not left or stuck or (parts == 1 and left <= CHUNK):
+        left, small = packed.filter("not done").agg(F.count(F.lit(1)), F.count_if(2 * F.col("fill") <= capacity)).first()
+        fewer = max(-(-left // CHUNK), -(-parts // FAN))
+        # In the first round a task may have packed more than one chunk.
+        whole = parts == 1 and count is not None
+        if not small or whole or (left == count and fewer >= parts):
             finished.append(packed.filter("not done"))
             break
-        parts, count = max(-(-left // CHUNK), -(-parts // FAN)), left
+        parts, count = fewer, left
         level, depth = packed.filter("not done").repartition(parts), depth + 1
     every = reduce(DataFrame.unionByName, finished)
     return every.select("sequence_id", "items").mapInArrow(_placed, f"{PIECES}, sequence_id long, offset long")

@@ -88,6 +88,16 @@ def test_packing_what_never_pairs_ends(spark):
     assert packing.pack(cut.limit(0), capacity=20).count() == 0
 
 
+def test_packing_goes_on_to_one_partition(spark, monkeypatch):
+    monkeypatch.setattr(packing, "FAN", 2)
+    # One short piece in each of 16 places, all of which fit into one sequence and into none of the others.
+    length = F.when(F.col("id") % 201 == 0, 6).otherwise(95).cast("long")
+    cut = spark.range(0, 16 * 201, numPartitions=16).select(
+        F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), length.alias("length"),
+        F.lit(1).cast("long").alias("ids_crc32"))
+    assert packing.pack(cut, capacity=100).select("sequence_id").distinct().count() == 16 * 200 + 1
+
+
 def test_token_files(spark, docs, rows, whole, tmp_path, monkeypatch):
     monkeypatch.setattr(export, "SHARD_DOCS", 9)
     path = str(tmp_path / "tokens")
