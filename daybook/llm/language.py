@@ -5,7 +5,7 @@ rank. A document's own ranking is compared to each profile: each of its runs cos
 the two ranks, or ``RANKS`` where the profile lacks it, and the language that costs least is named, ties to the smaller name.
 
 Profiles come from a sample of the labelled rows: about the ``SAMPLE`` with the smallest hashes of each language, and no more
-than twice that, of the ``LANGUAGES`` with the most rows. These bounds are parameters of the classifier; predictions read whole texts.
+than twice that. This bound is a parameter of the classifier; every labelled language is learned, and predictions read whole texts.
 
 Null texts and texts without a letter are ``und`` with score 0, as is everything where nothing was learned.
 Null labels teach nothing. Repeated rows are scored alike. An empty table gives an empty result. Extra columns pass through.
@@ -26,8 +26,6 @@ from daybook.llm.workers import ready
 
 # Production parameters.
 SAMPLE = 1000
-# Languages that are learned: those with the most labelled rows.
-LANGUAGES = 512
 RANKS = 400
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -56,15 +54,18 @@ def ranking(runs: np.ndarray, times: np.ndarray, ranks: int = RANKS) -> np.ndarr
 
 
 class Profiles:
-    """Profiles of all languages as one sorted table of runs."""
+    """Profiles of all languages as one sorted table of runs, each with the languages that have it and its rank there."""
 
     def __init__(self, profiles: dict[str, list[int]], ranks: int = RANKS):
         self.names, self.ranks = sorted(profiles), ranks
-        self.runs = np.unique(np.array([run for name in self.names for run in profiles[name]], dtype=np.int64))
-        # A last row for runs that are in no profile.
-        self.places = np.full((len(self.runs) + 1, len(self.names)), -1, dtype=np.int64)
-        for column, name in enumerate(self.names):
-            self.places[np.searchsorted(self.runs, np.array(profiles[name], dtype=np.int64)), column] = np.arange(len(profiles[name]))
+        sizes = [len(profiles[name]) for name in self.names]
+        every = np.fromiter((run for name in self.names for run in profiles[name]), dtype=np.int64, count=sum(sizes))
+        order = np.argsort(every, kind="stable")
+        self.runs, times = np.unique(every, return_counts=True)
+        # Where a run's languages begin; a last one for runs that are in no profile, with none.
+        self.first = np.concatenate([[0], np.cumsum(times), [len(every)]])
+        self.languages = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[order]
+        self.places = (np.arange(len(every)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)[order]
 
     def name(self, text: str | None) -> tuple[str, float]:
         """The language and how much closer it is than no match at all, from 0 to 1."""
@@ -74,18 +75,21 @@ class Profiles:
         at = np.searchsorted(self.runs, own)
         at[at == len(self.runs)] = 0
         at = np.where(self.runs[at] == own, at, len(self.runs))
-        theirs = self.places[at]
-        costs = np.where(theirs < 0, self.ranks, np.abs(theirs - np.arange(len(own))[:, None])).sum(axis=0)
-        best = int(costs.argmin())
-        return self.names[best], 1 - float(costs[best]) / (self.ranks * len(own))
+        first, times = self.first[at], self.first[at + 1] - self.first[at]
+        place = np.repeat(np.arange(len(own)), times)
+        entry = np.arange(len(place)) + np.repeat(first - (np.cumsum(times) - times), times)
+        # How much less than a run that is lacking each costs, in whole numbers.
+        saved = np.bincount(self.languages[entry], self.ranks - np.abs(self.places[entry] - place), len(self.names))
+        best = int(saved.argmax())
+        return self.names[best], 1 - (self.ranks * len(own) - float(saved[best])) / (self.ranks * len(own))
 
 
 def learn(labelled: DataFrame, sample: int = SAMPLE, ranks: int = RANKS) -> dict[str, list[int]]:
     """Profiles by language, from ``labelled`` (doc_id, text, lang): ``ranks`` numbers for each."""
     ready(labelled.sparkSession)
     labelled = labelled.filter("lang is not null and text is not null")
-    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.col("_n").desc(), "lang").limit(LANGUAGES)
-    # At most LANGUAGES rows are sent to the texts, which stay where they are.
+    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
+    # A row for each language is sent to the texts, which stay where they are; its profile on the driver is larger.
     # Hashes below a share of their range that about one and a half samples fall in, then exactly no more than two.
     draw = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11) / F.lit(float(1 << 53))
     drawn = (

@@ -200,6 +200,15 @@ def test_language_is_the_least_out_of_place(docs, rows):
             assert name == min(cost, key=lambda k: (cost[k], k)) and score == pytest.approx(1 - cost[name] / (ranks * len(mine)))
 
 
+def test_every_labelled_language_is_learned(spark):
+    # A letter of its own for each language.
+    texts = [(i, f"{chr(0x4E00 + i)}{chr(0x4E00 + i)} {chr(0x4E00 + i)}", f"l{i:03}") for i in range(600)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, lang string").repartition(3)
+    profiles = language.learn(df)
+    assert sorted(profiles) == [lang for _, _, lang in texts]
+    assert all(r.lang_pred == r.lang and r.score == 1 for r in language.predict(df, profiles).collect())
+
+
 def test_learning_sees_only_labelled_rows(docs, nothing):
     profiles = language.learn(docs.select("doc_id", "text", "lang"))
     assert set(profiles) == {"en", "de"} and all(0 < len(p) <= language.RANKS for p in profiles.values())
