@@ -37,5 +37,63 @@ FROM judged
 """
 
 
+def crc32(value: str) -> str:
+    """SQL for the unsigned crc32 of an ASCII text. The polynomial is a fixed value."""
+    bit = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))"
+    codes = f"list_transform(string_split({value}, ''), lambda d: ord(d)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, b: {bit}), 4294967295)"
+
+
+def _tree(name: str, leaves: str, levels: int) -> str:
+    """CTEs of a tree over ``leaves`` (tree, i, h): the levels above them, and for every node what lies left and right in its run."""
+    parts = [f"{name}0 AS (SELECT tree, i, h, count(*) OVER (PARTITION BY tree) AS n FROM {leaves})"]
+    for k in range(levels):
+        parts.append(f"""{name}s{k} AS (
+  SELECT a.tree, a.i, any_value(a.n) AS n, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l,
+         coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r
+  FROM {name}{k} a JOIN {name}{k} b ON a.tree = b.tree AND a.i // 16 = b.i // 16 GROUP BY a.tree, a.i)""")
+        parts.append(f"""{name}{k + 1} AS (
+  SELECT tree, i // 16 AS i, CASE WHEN any_value(n) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h, (any_value(n) + 15) // 16 AS n
+  FROM {name}{k} GROUP BY tree, i // 16)""")
+    return ",\n".join(parts)
+
+
+def _climb(start: str, trees: list[tuple[str, str, str, int]]) -> str:
+    """CTEs that fold a leaf up: ``trees`` as (CTE prefix, column of the tree, column of the place, levels)."""
+    parts, now = [], start
+    for name, tree, place, levels in trees:
+        for k in range(levels):
+            parts.append(f"""c{len(parts)} AS (
+  SELECT q.* EXCLUDE (node, proof), proof || s.l || s.r AS proof, CASE WHEN s.n > 1 THEN sha256(s.l || node || s.r) ELSE node END AS node
+  FROM {now} q JOIN {name}s{k} s ON s.tree = {tree} AND s.i = {place} // {16**k})""")
+            now = f"c{len(parts) - 1}"
+    return ",\n".join(parts) + f"\nSELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, node AS folded_root, node = root AS verified FROM {now}"
+
+
+def merkle(levels: int = 5, crown: int = 3) -> str:
+    """The manifest, for sources of up to 16 ** ``levels`` rows and 16 ** ``crown`` sources."""
+    def leaf(text: str) -> str:
+        fields = [("doc_id", "doc_id::VARCHAR"), ("source", "source"), ("lang", "lang"), ("n_chars", "n_chars::VARCHAR"), (text, text)]
+        return "sha256(" + " || ".join(f"coalesce(strlen({v}) || ':' || {v}, '-')" for _, v in fields) + ")"
+
+    upper = "".join(map(chr, range(65, 91)))
+    lowered = f"translate(text, '{upper}', '{upper.lower()}')"
+    return f"""
+WITH hashed AS (
+  SELECT doc_id, coalesce('1' || source, '0') AS tree, {leaf('text')} AS leaf,
+         CASE WHEN {crc32('doc_id::VARCHAR')} % 5 = 0 THEN {leaf(lowered)} END AS altered
+  FROM documents
+), leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, leaf AS h FROM hashed
+), {_tree('t', 'leaves', levels)},
+subroots AS (SELECT '' AS tree, tree AS own, row_number() OVER (ORDER BY tree) - 1 AS i, h FROM t{levels}),
+{_tree('u', 'subroots', crown)},
+placed AS (
+  SELECT l.doc_id, l.leaf, l.tree, l.i, s.i AS j, s.h AS subroot, (SELECT h FROM u{crown}) AS root, coalesce(altered, leaf) AS node, '' AS proof
+  FROM leaves l JOIN subroots s ON s.own = l.tree
+), {_climb('placed', [('t', 'q.tree', 'q.i', levels), ('u', "''", 'q.j', crown)])}
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality": QUALITY}
+    return {"op4_quality": QUALITY, "op13_merkle": merkle()}

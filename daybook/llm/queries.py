@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daybook.llm import export, language, mixing, packing, quality, scoring, sharding, simhash, substrings, topk
+from daybook.llm import export, language, merkle, mixing, packing, quality, scoring, sharding, simhash, substrings, topk
 from daybook.llm.words import n_words
 from daybook.session import scratch
 
@@ -82,5 +83,19 @@ def op10_export(spark: SparkSession, folder: str) -> DataFrame:
     return export.read(spark, path, with_ids=False)
 
 
+def op13_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    def leaf(text):
+        return merkle.digest(*map(F.col, ("doc_id", "source", "lang", "n_chars")), text)
+
+    upper = string.ascii_uppercase
+    altered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, leaf(F.translate("text", upper, upper.lower())))
+    found = merkle.proofs(_documents(spark, folder), F.col("source"), F.col("doc_id"), leaf(F.col("text")), altered.alias("altered"))
+    folded = found.withColumn("folded_root", merkle.fold(F.col("path"), F.coalesce("altered", "leaf")))
+    return folded.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", merkle.siblings_digest(F.col("path")).alias("proof_sha256"),
+                         "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_topk, op3_language, op4_quality, op5_simhash, op6_mixing, op7_likelihood, op8_substrings, op9_packing, op10_export)}
+    return {f.__name__: f for f in (
+        op1_sharding, op2_topk, op3_language, op4_quality, op5_simhash, op6_mixing, op7_likelihood, op8_substrings, op9_packing, op10_export,
+        op13_merkle)}
