@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daybook.llm import export, language, merkle, mixing, packing, quality, scoring, sharding, simhash, substrings, topk
+from daybook.llm import export, language, merkle, mixing, packing, quality, scoring, sharding, simhash, substrings, suffixes, topk
 from daybook.llm.words import n_words
 from daybook.session import scratch
 
@@ -83,6 +83,15 @@ def op10_export(spark: SparkSession, folder: str) -> DataFrame:
     return export.read(spark, path, with_ids=False)
 
 
+def op12_suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _documents(spark, folder).select("doc_id", "text")
+    found = suffixes.repeats(docs).select(
+        F.col("doc_id").alias("_doc"), F.col("_sha").alias("_hash"), F.col("spans").alias("_spans"), F.sha2("kept", 256).alias("_kept"))
+    rows = docs.select("doc_id", suffixes.text_hash().alias("hash"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"))
+    joined = rows.join(found, (F.col("doc_id").cast("long") == F.col("_doc")) & (F.col("hash") == F.col("_hash")), "left")
+    return joined.select("doc_id", *suffixes.counted(F.col("n")), F.coalesce("_kept", F.lower(F.hex("hash"))).alias("kept_sha256"))
+
+
 def op13_merkle(spark: SparkSession, folder: str) -> DataFrame:
     def leaf(text):
         return merkle.digest(*map(F.col, ("doc_id", "source", "lang", "n_chars")), text)
@@ -98,4 +107,4 @@ def op13_merkle(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_sharding, op2_topk, op3_language, op4_quality, op5_simhash, op6_mixing, op7_likelihood, op8_substrings, op9_packing, op10_export,
-        op13_merkle)}
+        op12_suffixes, op13_merkle)}

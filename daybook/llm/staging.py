@@ -7,9 +7,10 @@ The tables stay as long as results that read them; clearing the folder is the cl
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from daybook.session import scratch
@@ -22,6 +23,12 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of steps that have been staged: it does so once the driver has collected its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def tasks(df: DataFrame) -> int:
     """How many tasks a shuffle of this session has."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
