@@ -95,5 +95,43 @@ placed AS (
 """
 
 
+_UPPER = "".join(map(chr, range(65, 91)))
+# The parameters of the collocations, as in collocations.py.
+COLLOCATIONS = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), split AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces
+), phrases AS (
+  SELECT lang, size, unnest(list_transform(range(1, len(words) - size + 2), lambda i: array_to_string(list_slice(words, i, i + size - 1), ' '))) AS phrase
+  FROM split, (SELECT unnest(range(1, 5)) AS size) WHERE len(words) >= size
+), counted AS (
+  SELECT lang, phrase, any_value(size) AS size, count(*) AS f FROM phrases GROUP BY lang, phrase
+), frequent AS (
+  SELECT *, string_split(phrase, ' ') AS words FROM counted WHERE f >= 30
+), cuts AS (
+  SELECT c.lang, c.phrase, c.f AS a, k, x.f AS l, y.f AS r, ((2000000::HUGEINT * c.f) // (x.f + y.f))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM frequent) c
+  JOIN frequent x ON x.lang = c.lang AND x.phrase = array_to_string(list_slice(c.words, 1, k), ' ')
+  JOIN frequent y ON y.lang = c.lang AND y.phrase = array_to_string(list_slice(c.words, k + 1, c.size), ' ')
+), scored AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inside AS (
+  SELECT lang, part, max(f) AS longer FROM (
+    SELECT lang, f, unnest(list_transform(range(1, size - w + 2), lambda i: array_to_string(list_slice(words, i, i + w - 1), ' '))) AS part
+    FROM frequent, (SELECT unnest(range(2, 4)) AS w) WHERE w < size) GROUP BY lang, part
+), kept AS (
+  SELECT s.* FROM scored s LEFT JOIN inside i ON i.lang = s.lang AND i.part = s.phrase
+  WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a
+), totals AS (
+  SELECT lang, sum(len(words))::BIGINT AS n FROM split GROUP BY lang
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality": QUALITY, "op13_merkle": merkle()}
+    return {"op4_quality": QUALITY, "op11_collocations": COLLOCATIONS, "op13_merkle": merkle()}

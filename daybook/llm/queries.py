@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daybook.llm import export, language, merkle, mixing, packing, quality, scoring, sharding, simhash, substrings, suffixes, topk
+from daybook.llm import collocations, export, language, merkle, mixing, packing, quality, scoring, sharding, simhash, substrings, suffixes, topk
 from daybook.llm.words import n_words
 from daybook.session import scratch
 
@@ -83,6 +83,10 @@ def op10_export(spark: SparkSession, folder: str) -> DataFrame:
     return export.read(spark, path, with_ids=False)
 
 
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.mine(_documents(spark, folder))
+
+
 def op12_suffixes(spark: SparkSession, folder: str) -> DataFrame:
     docs = _documents(spark, folder).select("doc_id", "text")
     found = suffixes.repeats(docs).select(
@@ -107,4 +111,4 @@ def op13_merkle(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_sharding, op2_topk, op3_language, op4_quality, op5_simhash, op6_mixing, op7_likelihood, op8_substrings, op9_packing, op10_export,
-        op12_suffixes, op13_merkle)}
+        op11_collocations, op12_suffixes, op13_merkle)}

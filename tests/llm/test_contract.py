@@ -18,6 +18,7 @@ COLUMNS = {
     "op8_substrings": "doc_id n_words n_removed kept_sha256",
     "op9_packing": "doc_id piece start length ids_crc32 sequence_id offset",
     "op10_export": "doc_id start n_tokens ids_crc32",
+    "op11_collocations": "lang rank phrase a l r n score",
     "op12_suffixes": "doc_id n_bytes n_removed n_spans kept_sha256",
     "op13_merkle": "doc_id leaf subroot root proof_sha256 folded_root verified",
 }
