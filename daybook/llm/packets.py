@@ -40,6 +40,18 @@ def restored(data: bytes) -> np.ndarray:
     return np.cumsum(unpacked(data), dtype=np.uint64)
 
 
+def bits(values: np.ndarray, count: int) -> bytes:
+    """The lowest ``count`` bits of each."""
+    return b"".join(np.packbits(values >> np.uint64(n) & np.uint64(1) > 0).tobytes() for n in range(count))
+
+
+def unbits(data: bytes, count: int, size: int) -> np.ndarray:
+    values, each = np.zeros(size, np.uint64), (size + 7) // 8
+    for n in range(count):
+        values |= np.unpackbits(np.frombuffer(data, np.uint8, each, n * each), count=size).astype(np.uint64) << np.uint64(n)
+    return values
+
+
 def marked(flags: np.ndarray) -> bytes:
     return np.packbits(flags).tobytes()
 
@@ -52,7 +64,7 @@ def dealt(names: np.ndarray, bits: int, spread: int) -> Iterator[tuple[int, slic
     """The buckets, 2 ** ``spread`` in all, of sorted names of ``bits`` bits, and where each lies."""
     heads = (names >> np.uint64(bits - spread)).astype(np.int64)
     edges = np.flatnonzero(np.concatenate([[True], heads[1:] != heads[:-1]])) if len(heads) else np.zeros(0, np.int64)
-    for first, last in zip(edges, [*edges[1:], len(heads)]):
+    for first, last in zip(edges, np.append(edges[1:], len(heads))):
         yield int(heads[first]), slice(int(first), int(last))
 
 

@@ -14,7 +14,7 @@ many bits as number the input's bytes and 8 more (which 128 bits allow for 10 **
 
 A chunk is about ``CHUNK`` bytes of whole texts. It sends each distinct name once for each bucket and gets bits back (see
 ``packets``); within a chunk the smallest doc_id is found on the spot. So a passage in a third of all documents is one name for each
-chunk. Of equal texts the smallest doc_id travels on; the others lose all bytes if they have a window. A long text is read in
+chunk. Chunks are ranges of doc_id, so that a name needs no ids beside it. Of equal texts the smallest doc_id travels on; the others lose all bytes if they have a window. A long text is read in
 slices; what a task holds is at most some forty bytes for each byte of its longest text.
 
 Rows are told apart by doc_id and the hash of their text. Rows with one doc_id don't take bytes from each other; those without an id keep
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import json
 import math
 from collections.abc import Iterator
 
@@ -34,19 +35,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from daybook.llm.packets import ascending, bits_for, dealt, held, marked, marks, packed, restored, runs, unpacked
+from daybook.llm.packets import ascending, bits, bits_for, dealt, held, marked, marks, packed, restored, runs, unbits, unpacked
 from daybook.llm.staging import let_go, stage, tasks
 from daybook.llm.workers import ready
 
 # Production parameters.
 WINDOW = 50
 PERIOD = 27
-CHUNK = 2_000_000
+CHUNK = 4_000_000
 BUCKET = 2_000_000  # names
+BANDS = 1 << 14
 RESULTS = ("n_bytes", "n_removed", "n_spans", "kept")
 
 _WORD = 8
-_SLICE = 1 << 20
+_SLICE = 1 << 17
 _ONE = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _TWO = tuple(np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53))
 
@@ -128,84 +130,94 @@ def _sampled(body: bytes, parts: list, window: int) -> tuple[np.ndarray, np.ndar
     return positions, np.repeat(np.arange(len(parts)), counts)
 
 
-def _names(body: bytes, positions: np.ndarray, window: int, bits: int) -> np.ndarray:
+def _words_at(body: bytes, positions: np.ndarray, length: int) -> list[np.ndarray]:
     words = _words(body)
-    return _joined([words[positions + o] for o in _offsets(sampled_length(window), _WORD)], _ONE) >> np.uint64(64 - bits)
-
-
-def sampled_names(texts: list[bytes], window: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct sampled names of a chunk's texts, sorted, and which of them come in several."""
-    names, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
-    for body, parts in Slices(texts, window):
-        positions, part = _sampled(body, parts, window)
-        names.append(_names(body, positions, window, bits))
-        owners.append(np.asarray([p[0] for p in parts], np.int32)[part])
-    every, owner = np.concatenate(names), np.concatenate(owners)
-    order = np.argsort(every)
-    every, owner = every[order], owner[order]
-    first = runs(every)
-    if not len(first):
-        return every, np.zeros(0, bool)
-    return every[first], np.minimum.reduceat(owner, first) < np.maximum.reduceat(owner, first)
-
-
-def remaining(texts: list[bytes], kept: np.ndarray, window: int, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Windows within a period before a kept name (sorted): number of the text, start, and the two halves of the window's name."""
-    length = sampled_length(window)
-    for body, parts in Slices(texts, window):
-        positions, _ = _sampled(body, parts, window)
-        alive = positions[held(kept, _names(body, positions, window, bits))]
-        if not len(alive):
-            continue
-        flags = np.zeros(len(body) + PERIOD, dtype=np.int32)
-        flags[alive + 1] = 1
-        sums = np.cumsum(flags, out=flags)
-        begins = sums[PERIOD:] > sums[:len(body)]
-        for _, _, at, size in parts:
-            begins[at + size - window + 1:at + size] = False
-        starts = np.flatnonzero(begins)
-        if not len(starts):
-            continue
-        words = _words(body)
-        halves = []
-        for odd in (_ONE, _TWO):
-            lower = _joined([words[o:len(words) - length + _WORD + o] for o in _offsets(length, _WORD)], odd)
-            halves.append(_joined([lower[starts + o] for o in _offsets(window, length)], odd))
-        at = np.asarray([p[2] for p in parts])
-        part = np.searchsorted(at, starts, side="right") - 1
-        yield np.asarray([p[0] for p in parts], np.int32)[part], starts - at[part] + np.asarray([p[1] for p in parts])[part], *halves
+    return [words[positions + o] for o in _offsets(length, _WORD)]
+
+
+class Sampled:
+    """The sampled names of a chunk's texts: ``names``, distinct and sorted, and ``several``, those that come in more than one text."""
+
+    def __init__(self, texts: list[bytes], window: int, bits: int):
+        self.window, self.slices = window, list(Slices(texts, window))
+        length, names, owners, self._positions = sampled_length(window), [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], []
+        for body, parts in self.slices:
+            positions, part = _sampled(body, parts, window)
+            names.append(_joined(_words_at(body, positions, length), _ONE) >> np.uint64(64 - bits))
+            owners.append(np.asarray([p[0] for p in parts], np.int32)[part])
+            self._positions.append(positions)
+        every, owner = np.concatenate(names), np.concatenate(owners)
+        order = np.argsort(every)
+        every, owner = every[order], owner[order]
+        first = runs(every)
+        self.names, self.several = every[first], np.zeros(0, bool)
+        if len(first):
+            self.several = np.minimum.reduceat(owner, first) < np.maximum.reduceat(owner, first)
+        self._number = np.empty(len(every), dtype=np.int32)
+        self._number[order] = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(first, append=len(every)))
+
+    def windows(self, kept: np.ndarray, living: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Windows within a period before a name that is kept, of living texts: number of the text, start, and both halves of the window's name."""
+        window, length, done = self.window, sampled_length(self.window), 0
+        for (body, parts), positions in zip(self.slices, self._positions):
+            alive = positions[kept[self._number[done:done + len(positions)]]]
+            done += len(positions)
+            if not len(alive):
+                continue
+            flags = np.zeros(len(body) + PERIOD, dtype=np.int32)
+            flags[alive + 1] = 1
+            sums = np.cumsum(flags, out=flags)
+            begins = sums[PERIOD:] > sums[:len(body)]
+            for text, _, at, size in parts:
+                begins[at + (size - window + 1) * int(living[text]):at + size] = False
+            starts = np.flatnonzero(begins)
+            if not len(starts):
+                continue
+            # The triples that make up these windows, each named once.
+            pieces, needed = _offsets(window, length), begins.copy()
+            for o in pieces:
+                needed[o:] |= begins[:len(begins) - o]
+            place = np.cumsum(needed, dtype=np.int32)
+            words = _words_at(body, np.flatnonzero(needed), length)
+            lower = _joined(words, _ONE)
+            high = _joined([lower[place[starts + o] - 1] for o in pieces], _ONE)
+            lower = sum(w * k for w, k in zip(words, itertools.cycle(_TWO)))
+            low = sum(lower[place[starts + o] - 1] * k for o, k in zip(pieces, itertools.cycle(_ONE)))
+            at = np.asarray([p[2] for p in parts])
+            part = np.searchsorted(at, starts, side="right") - 1
+            yield np.asarray([p[0] for p in parts], np.int32)[part], starts - at[part] + np.asarray([p[1] for p in parts])[part], high, low
 
 
 class Chunk:
-    """The rows of a chunk in a fixed order, and its living texts: one row of each text, none that a smaller id stands for."""
+    """The rows of a chunk in a fixed order, and its texts, each in the row with the smallest id."""
 
-    def __init__(self, rows: pa.Table, lowest: dict[bytes, int] | None = None):
+    def __init__(self, rows: pa.Table):
         ids, shas = rows.column("doc_id").to_pylist(), rows.column("_sha").cast(pa.binary()).to_pylist()
         texts = rows.column("text").cast(pa.large_binary()).to_pylist()
         self.rows = sorted(((i, s, t or b"") for i, s, t in zip(ids, shas, texts) if i is not None), key=lambda r: r[:2])
-        self.living, seen = [], set()
-        for doc_id, sha, text in self.rows:
-            if sha not in seen and doc_id <= (lowest or {}).get(sha, doc_id):
-                self.living.append((doc_id, sha, text))
-            seen.add(sha)
-        self.ids = np.asarray([r[0] for r in self.living], dtype=np.int64)
-        self.texts = [r[2] for r in self.living]
+        seen: set[bytes] = set()
+        self.firsts = [r for r in self.rows if not (r[1] in seen or seen.add(r[1]))]
+        self.ids = np.asarray([r[0] for r in self.firsts], dtype=np.int64)
+        self.texts = [r[2] for r in self.firsts]
 
 
 class Plan:
-    """What all tasks must agree on: sizes of names and numbers of buckets, from the size of the input."""
+    """What all tasks must agree on: sizes of names and numbers of buckets, from the size of the input.
+
+    ``apart``: chunks are ranges of doc_id in order, so that the number of a chunk stands for the ids of its documents.
+    """
 
-    def __init__(self, size: int, window: int, chunk: int = CHUNK, bucket: int = BUCKET):
-        self.window, self.chunks = window, max(1, math.ceil(size / chunk))
+    def __init__(self, size: int, window: int, bucket: int = BUCKET, apart: bool = False):
+        self.window, self.apart = window, apart
         self.names = bits_for(size, 10)
         self.spread = max(4, (size * len(cover(PERIOD)) // PERIOD // bucket).bit_length())
-        self.low = min(64, max(8, 2 * max(1, size).bit_length() + 8 - 64))
+        self.low = min(64, max(1, 2 * max(1, size).bit_length() + 8 - 64))
         self.windows = max(4, (size // 4 // bucket).bit_length())
 
     def ask_names(self, key, rows):
-        names, several = sampled_names(Chunk(rows).texts, self.window, self.names)
-        found = [(b, key[0].as_py(), ascending(names[s]), marked(several[s])) for b, s in dealt(names, self.names, self.spread)]
-        return _table(found, NAMES)
+        found = Sampled(Chunk(rows).texts, self.window, self.names)
+        number = key[0].as_py()
+        return _table([(b, number, ascending(found.names[s]), marked(found.several[s])) for b, s in dealt(found.names, self.names, self.spread)], NAMES)
 
     def settle_names(self, key, rows):
         """For each question, which of its names come in several documents."""
@@ -215,28 +227,28 @@ class Plan:
         return _table([(c, key[0].as_py(), marked(held(often, n))) for c, n, _ in asked], ANSWERS)
 
     def _remaining(self, rows: pa.Table, answers: pa.Table):
-        """The windows of a chunk that remain, sorted by name: the chunk, number of the text, start, halves of the name, first of each name."""
-        bits, lowest = {}, {}
+        """The chunk, and its windows that remain, sorted by name: number of the text, start, halves of the name, first of each name; and the
+        smallest ids of texts that other documents have."""
+        answered, lowest = {}, {}
         for bucket, answer in zip(answers.column("bucket").to_pylist(), answers.column("bits").to_pylist()):
             if bucket < 0:
                 lowest[answer[:32]] = int(answer[32:])
             else:
-                bits[bucket] = answer
-        names, _ = sampled_names(Chunk(rows).texts, self.window, self.names)
-        kept = np.concatenate([np.zeros(0, np.uint64), *(
-            names[s][marks(bits[b], s.stop - s.start)] for b, s in dealt(names, self.names, self.spread) if b in bits)])
-        chunk = Chunk(rows, lowest)
-        found = list(remaining(chunk.texts, kept, self.window, self.names))
+                answered[bucket] = answer
+        chunk = Chunk(rows)
+        sampled = Sampled(chunk.texts, self.window, self.names)
+        kept = np.zeros(len(sampled.names), dtype=bool)
+        for b, s in dealt(sampled.names, self.names, self.spread):
+            kept[s] = marks(answered[b], s.stop - s.start)
+        living = np.asarray([i <= lowest.get(sha, i) for i, sha, _ in chunk.firsts], dtype=bool)
+        found = list(sampled.windows(kept, living))
+        del sampled
         kinds = (np.int32, np.int64, np.uint64, np.uint64)
         text, start, high, low = (np.concatenate([np.zeros(0, k), *(f[i] for f in found)]) for i, k in enumerate(kinds))
         del found
         low >>= np.uint64(64 - self.low)
-        order = np.argsort(high)
-        if len(order) and np.any((high[order][1:] == high[order][:-1]) & (low[order][1:] != low[order][:-1])):
-            order = np.lexsort((low, high))
-        text, start, high, low = text[order], start[order], high[order], low[order]
-        first = np.flatnonzero(np.concatenate([[True], (high[1:] != high[:-1]) | (low[1:] != low[:-1])])) if len(high) else np.zeros(0, np.int64)
-        return chunk, text, start, high, low, first, lowest
+        order, first = _grouped(high, low)
+        return chunk, text[order], start[order], high[order], low[order], first, lowest
 
     def ask_windows(self, key, rows, answers):
         chunk, text, _, high, low, first, _ = self._remaining(rows, answers)
@@ -248,21 +260,21 @@ class Plan:
         found = []
         for b, s in dealt(high, 64, self.windows):
             ids = least[s]
-            base = int(ids.min())
-            found.append((b, number, ascending(high[s]), packed(low[s]), base, packed((ids - base).astype(np.uint64))))
+            base = number if self.apart else int(ids.min())
+            found.append((b, number, ascending(high[s]), bits(low[s], self.low), base, b"" if self.apart else packed((ids - base).astype(np.uint64))))
         return _table(found, WINDOWS)
 
     def settle_windows(self, key, rows):
         """For each question, which of its windows begin in a document with a smaller id elsewhere."""
-        columns = [rows.column(c).to_pylist() for c in ("chunk", "high", "low", "base", "ids")]
-        asked = [(c, restored(h), unpacked(w), unpacked(i).astype(np.int64) + b) for c, h, w, b, i in zip(*columns)]
+        asked = []
+        for chunk, high, low, base, ids in zip(*(rows.column(c).to_pylist() for c in ("chunk", "high", "low", "base", "ids"))):
+            high = restored(high)
+            own = unpacked(ids).astype(np.int64) + base if ids else np.full(len(high), base)
+            asked.append((chunk, high, unbits(low, self.low, len(high)), own))
         high, low, ids = (np.concatenate([a[k] for a in asked]) for k in (1, 2, 3))
-        order = np.argsort(high)
-        if np.any((high[order][1:] == high[order][:-1]) & (low[order][1:] != low[order][:-1])):
-            order = np.lexsort((low, high))
-        high, low, own = high[order], low[order], ids[order]
-        first = np.flatnonzero(np.concatenate([[True], (high[1:] != high[:-1]) | (low[1:] != low[:-1])]))
-        least = np.repeat(np.minimum.reduceat(own, first), np.diff([*first, len(high)]))
+        order, first = _grouped(high, low)
+        own = ids[order]
+        least = np.repeat(np.minimum.reduceat(own, first), np.diff(first, append=len(high)))
         later = np.zeros(len(ids), dtype=bool)
         later[order] = own > least
         edges = np.cumsum([0, *(len(a[1]) for a in asked)])
@@ -270,29 +282,31 @@ class Plan:
 
     def cut(self, key, rows, answers):
         """The rows that lose bytes."""
-        windows = np.asarray(answers.column("bucket").to_pylist(), dtype=np.int64) >= self._second
-        first_answers = answers.filter(pa.array(~windows))
-        chunk, text, start, high, _, first, lowest = self._remaining(rows, first_answers)
+        second = np.asarray(answers.column("bucket").to_pylist(), dtype=np.int64) >= self._second
+        chunk, text, start, high, _, first, lowest = self._remaining(rows, answers.filter(pa.array(~second)))
         later = np.zeros(len(first), dtype=bool)
-        replies = {b - self._second: bits for b, bits in zip(answers.column("bucket").to_pylist(), answers.column("bits").to_pylist()) if b >= self._second}
+        replies = answers.filter(pa.array(second))
+        replies = dict(zip(replies.column("bucket").to_pylist(), replies.column("bits").to_pylist()))
         for b, s in dealt(high[first], 64, self.windows):
-            if b in replies:
-                later[s] = marks(replies[b], s.stop - s.start)
-        sizes = np.diff([*first, len(high)])
-        least = np.repeat(chunk.ids[np.minimum.reduceat(text, first)], sizes) if len(first) else np.zeros(0, np.int64)
-        gone = (chunk.ids[text] > least) | np.repeat(later, sizes)
+            later[s] = marks(replies[b + self._second], s.stop - s.start)
+        sizes = np.diff(first, append=len(high))
+        least = np.repeat(np.minimum.reduceat(text, first), sizes) if len(first) else np.zeros(0, np.int32)
+        gone = (chunk.ids[text] > chunk.ids[least]) | np.repeat(later, sizes)
         text, start = text[gone], start[gone]
         order = np.lexsort((start, text))
         text, start = text[order], start[order]
-        edges = np.searchsorted(text, np.arange(len(chunk.living) + 1))
-        spans = {n: _spans(start[i:j], self.window) for n, (i, j) in enumerate(zip(edges, edges[1:])) if i < j}
-        found = [(*chunk.living[n][:2], s, _without(chunk.living[n][2], s)) for n, s in spans.items()]
-        living, seen = {r[:2] for r in chunk.living}, set()
-        for doc_id, sha, whole in chunk.rows:
-            if (doc_id, sha) not in living and (doc_id, sha) not in seen and len(whole) >= self.window:
+        found = []
+        for n, i in zip(*np.unique(text, return_index=True)):
+            doc_id, sha, whole = chunk.firsts[n]
+            spans = _spans(start[i:np.searchsorted(text, n, side="right")], self.window)
+            found.append((doc_id, sha, spans, _without(whole, spans)))
+        seen = set()
+        for doc_id, sha, whole in chunk.rows:  # those that a smaller id stands for
+            lowest.setdefault(sha, doc_id)
+            if doc_id > lowest[sha] and len(whole) >= self.window and (doc_id, sha) not in seen:
                 found.append((doc_id, sha, [(0, len(whole))], b""))
                 seen.add((doc_id, sha))
-        return _table([(i, sha, [dict(zip(("start", "length"), map(int, s))) for s in spans], kept) for i, sha, spans, kept in found], LOSSES)
+        return _table([(i, sha, [{"start": a, "length": n} for a, n in spans], kept) for i, sha, spans, kept in found], LOSSES)
 
     @property
     def _second(self) -> int:
@@ -300,6 +314,18 @@ class Plan:
         return 1 << self.spread
 
 
+def _grouped(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of names by their halves, and where each begins in it."""
+    order = np.argsort(high)
+    sorted_, lower = high[order], low[order]
+    if np.any((sorted_[1:] == sorted_[:-1]) & (lower[1:] != lower[:-1])):
+        order = np.lexsort((low, high))
+        sorted_, lower = high[order], low[order]
+    if not len(order):
+        return order, np.zeros(0, np.int64)
+    return order, np.flatnonzero(np.concatenate([[True], (sorted_[1:] != sorted_[:-1]) | (lower[1:] != lower[:-1])]))
+
+
 def _spans(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
     """Maximal runs of bytes that windows at sorted ``starts`` cover: start, length."""
     apart = np.flatnonzero(np.diff(starts) > window) + 1
@@ -334,18 +360,40 @@ def text_hash() -> Column:
     return F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
 
 
+def bands(outline: DataFrame, count: int) -> Column:
+    """The number of the range that a doc_id falls in, of about ``count`` at most ``BANDS`` ranges, in order.
+
+    Edges come from a sample of some ``4 * BANDS`` ids by their hash; it decides on sizes alone.
+    """
+    count = min(count, BANDS)
+    rows = outline.count()
+    drawn = outline.filter(F.pmod(F.xxhash64("doc_id", "_sha"), F.lit(1 << 32)) <= (1 << 32) * min(1.0, 4 * BANDS / max(1, rows)))
+    ids = sorted(row[0] for row in drawn.select("doc_id").collect())
+    edges = sorted({ids[i * len(ids) // count] for i in range(1, count)}) if ids else []
+    step = max(1, math.isqrt(len(edges)))
+    groups = [edges[i:i + step] for i in range(0, len(edges), step)]
+    heads, inner = (F.from_json(F.lit(json.dumps(x)), kind) for x, kind in (([g[0] for g in groups], "array<bigint>"), (groups, "array<array<bigint>>")))
+    group = F.size(F.filter(heads, lambda e: e <= F.col("doc_id")))
+    return F.when(group == 0, 0).otherwise(
+        (group - 1) * step + F.size(F.filter(F.element_at(inner, F.greatest(group, F.lit(1))), lambda e: e <= F.col("doc_id"))))
+
+
 def repeats(docs: DataFrame, window: int = WINDOW, chunk: int = CHUNK, bucket: int = BUCKET) -> DataFrame:
     """doc_id, ``_sha`` (the hash of the text), ``spans`` of (start, length) and ``kept`` (the other bytes) for the documents that lose bytes."""
     ready(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("_sha"), "text")
     outline = stage(docs.select("doc_id", "_sha", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n")), "outline")
     named = outline.filter("doc_id is not null")
-    size = int(named.agg(F.sum("n")).first()[0] or 0)
-    plan = Plan(size, window, chunk, bucket)
     docs = docs.filter("doc_id is not null")
     if not named.groupBy("doc_id", "_sha").count().filter("count > 1").isEmpty():
         docs = docs.dropDuplicates(["doc_id", "_sha"])
-    number = F.pmod(F.xxhash64("doc_id", "_sha"), F.lit(plan.chunks)).cast("long").alias("chunk")
+        named = named.dropDuplicates(["doc_id", "_sha"])
+    size = int(named.agg(F.sum("n")).first()[0] or 0)
+    band = bands(named, math.ceil(size / chunk))
+    # A range that holds more, as all rows with one id do, is dealt out in parts.
+    parts = math.ceil((named.groupBy(band.alias("band")).agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0) / (4 * chunk)) or 1
+    plan = Plan(size, window, bucket, apart=parts == 1)
+    number = (band * parts + F.pmod(F.xxhash64("_sha"), F.lit(parts))).cast("long").alias("chunk")
     chunked = docs.select("*", number)
     # Equal texts: the smallest id of each, for the chunks that hold another one. They meet in parts, as they may be many.
     copies = named.select("doc_id", "_sha", number, F.pmod(F.xxhash64("doc_id"), F.lit(tasks(docs))).alias("salt"))

@@ -61,6 +61,14 @@ def test_every_shift_and_overlap(spark):
         assert got(found) == brute(rows, window)
 
 
+def test_one_id_for_many_texts(spark):
+    draw = random.Random(6)
+    texts = ["".join(draw.choices("abc ", k=300)) for _ in range(90)]
+    rows = [(n if n % 3 else 50, t + texts[n // 2]) for n, t in enumerate(texts)]
+    found = suffixes.remove(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), chunk=1_000, bucket=500)
+    assert got(found) == brute(rows, 50)
+
+
 def test_slices_of_long_texts(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "_SLICE", 700)
     draw = random.Random(4)
@@ -69,8 +77,8 @@ def test_slices_of_long_texts(spark, monkeypatch):
     parts = [(n, text[first:first + length]) for body, parts in suffixes.Slices([t.encode() for t in texts], 50) for n, first, _, length in parts for text in [texts[n]]]
     assert {t[i:i + 50] for t in texts for i in range(len(t) - 49)} == {p[i:i + 50] for _, p in parts for i in range(len(p) - 49)}
     plan = suffixes.Plan(sum(map(len, texts)), 50)
-    names, several = suffixes.sampled_names([t.encode() for t in texts], 50, plan.names)
-    assert len(names) == len(set(names.tolist())) and several.any()
+    found = suffixes.Sampled([t.encode() for t in texts], 50, plan.names)
+    assert len(found.names) == len(set(found.names.tolist())) and found.several.any()
 
 
 def test_difference_cover():
@@ -86,6 +94,8 @@ def test_packets():
         values = np.sort(draw.integers(0, top, 300, dtype=np.uint64, endpoint=True))
         assert np.array_equal(packets.restored(packets.ascending(values)), values)
         assert np.array_equal(packets.unpacked(packets.packed(values)), values)
+    values = draw.integers(0, 32, 77, dtype=np.uint64)
+    assert np.array_equal(packets.unbits(packets.bits(values, 5), 5, 77), values)
     flags = draw.random(77) < 0.3
     assert np.array_equal(packets.marks(packets.marked(flags), 77), flags)
     names = np.sort(draw.integers(0, 1 << 20, 500, dtype=np.uint64))
