@@ -8,6 +8,7 @@ The tables stay as long as results that read them; clearing the folder is the cl
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -24,9 +25,14 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 
 
 def let_go(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of steps that have been staged: it does so once the driver has collected its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark delete the shuffle files of steps that have been staged: it does so once the driver has collected its garbage.
+
+    What Python lets go of reaches the driver's JVM a moment later, hence twice.
+    """
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.3)
+        spark.sparkContext._jvm.System.gc()
 
 
 def tasks(df: DataFrame) -> int:
