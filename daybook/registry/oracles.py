@@ -244,6 +244,15 @@ FROM (SELECT {1}, count(*) AS n FROM {2} GROUP BY 1 HAVING count(*) > 1)"""
 
 # ── Changed books and rows left out ──────────────────────────────────────────
 
+def spelled_orders(days: str) -> str:
+    """Orders of a book that every second order was added to, with their dates moved on."""
+    day = f"CASE WHEN o_orderkey % 4 <> 3 THEN CAST(o_orderdate AS DATE) + CAST({days} AS INTEGER) END"
+    return f"""
+            SELECT o_orderkey AS order_no, CAST(o_custkey AS INTEGER) AS user_id, {day} AS order_date,
+                   CAST(date_trunc('month', {day}) AS DATE) AS order_month, CAST(o_totalprice AS DECIMAL(18,2)) AS amount
+            FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0"""
+
+
 MOVED_BOOK = LINE_BOOK.replace(
     "CAST(l_shipdate AS DATE) AS d",
     "CASE WHEN strftime(l_shipdate, '%Y-%m') = '1996-05' THEN DATE '1996-06-01' ELSE CAST(l_shipdate AS DATE) END AS d")
@@ -407,6 +416,20 @@ def oracle_sql() -> dict[str, str]:
                    CASE WHEN o_orderkey % 4 <> 3 THEN CAST(date_trunc('month', o_orderdate) AS DATE) END AS order_month,
                    CAST(o_totalprice AS DECIMAL(18,2)) AS amount
             FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0""",
+        "fact_appended_moved": spelled_orders("CASE WHEN o_orderkey % 3 <> 0 THEN 0 ELSE 40 END"),
+        "orders_corrected": spelled_orders("CASE WHEN o_orderkey % 2 = 0 THEN 40 ELSE 0 END"),
+        "rollup_deltas": """
+            SELECT CASE WHEN o_orderkey % 4 <> 3 THEN CAST(o_orderdate AS DATE) END AS order_date,
+                   CAST(count(*) AS BIGINT) AS orders, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS revenue
+            FROM orders GROUP BY 1""",
+        "summary_pinned": summary(ORDER_BOOK.replace(
+            "LEFT JOIN customer ON c_custkey = o_custkey", "LEFT JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 3 <> 0 AND o_orderkey % 4 <> 3"), mid),
+        "late_orders": """
+            SELECT CASE WHEN o_orderkey % 4 <> 3 THEN CAST(date_trunc('month', o_orderdate) AS DATE) END AS order_month, count(*) AS orders
+            FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0 GROUP BY 1""",
+        "widened_by_version": """
+            SELECT CAST(p_partkey AS BIGINT) AS prod_id, p_brand AS brand, CASE WHEN p_partkey % 2 = 1 THEN CAST(p_size AS INTEGER) END AS size
+            FROM part""",
         "csv_load_orders_line_breaks": """
             SELECT o_orderkey AS order_no,
                    strftime(o_orderdate, '%Y-%m-%d') || CASE WHEN o_orderkey % 5 = 0 THEN chr(10) ELSE '' END AS order_date_time

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from daybook.operators import anchor, keyed
 from daybook.plans import book, checks, display, reports
 from daybook.plans.dashboard import Dashboard
-from daybook.registry import changed, stored
+from daybook.registry import changed, stored, versioned
 from daybook.sources import sample
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -197,4 +197,5 @@ def queries() -> dict[str, Query]:
         "charts_json": _orders("charts_json", date=MONTH_END),
         "csv_export": stored.csv_export,
         **changed.queries(),
+        **versioned.queries(),
     }
