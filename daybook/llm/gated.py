@@ -12,15 +12,15 @@ from collections.abc import Iterator
 
 import numpy as np
 
-HIDDEN = 24
+HIDDEN = 16
 CLASSES = 64
 PER_CLASS = 64
 WORDS = CLASSES * PER_CLASS
 RARE = WORDS
 STEPS = 32
-SCORED_LANES = 512
-TRAINED_LANES = 128
-RATE = 3e-3
+SCORED_LANES = 1024
+TRAINED_LANES = 256
+RATE = 5e-3
 CLIP = 1.0
 
 Weights = dict[str, np.ndarray]
@@ -75,6 +75,30 @@ class Lanes:
             yield np.where(t_of < self.lengths[:running], self.at[:running] + t_of, -1)
 
 
+class Stretches:
+    """Documents laid end to end and cut into lanes of one length, for training: no window is nearly empty, whatever the
+    lengths of the documents. A lane that begins inside a document begins with an empty state."""
+
+    def __init__(self, documents: list[np.ndarray], lanes: int, end: int):
+        sizes = np.array([len(d) for d in documents], dtype=np.int64)
+        first = np.cumsum(sizes) - sizes
+        self.targets = np.concatenate(documents)
+        self.starts = np.zeros(len(self.targets), dtype=bool)
+        self.starts[first] = True
+        self.inputs = np.empty_like(self.targets)
+        self.inputs[1:] = self.targets[:-1]
+        self.inputs[first] = end
+        self.length = -(-len(self.targets) // lanes)
+        self.at = np.arange(0, len(self.targets), self.length)
+
+    def windows(self, steps: int = STEPS) -> Iterator[np.ndarray]:
+        """(steps, lanes): places in the streams, -1 beyond the last lane's end."""
+        for t in range(0, self.length, steps):
+            inside = np.arange(t, min(t + steps, self.length))[:, None]
+            places = self.at + inside
+            yield np.where(places < len(self.targets), places, -1)
+
+
 def _recur(w: Weights, inputs: np.ndarray, starts: np.ndarray, h: np.ndarray, keep: bool = False) -> tuple[np.ndarray, tuple]:
     """States after each step (steps, lanes, HIDDEN), and if wanted what a backward pass needs:
     the states before, the gates, the state's part of the new values, and these values."""
@@ -125,21 +149,34 @@ def _log_share(states: np.ndarray, weights: np.ndarray, bias: np.ndarray, of: np
     return own - np.log(x.sum(axis=1))
 
 
-def _by_class(targets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Each class with words among ``targets``, and where they are."""
-    classes = targets // PER_CLASS
-    order = np.argsort(classes, kind="stable")
-    ends = np.searchsorted(classes[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        if ends[c] < ends[c + 1]:
-            yield c, order[ends[c]:ends[c + 1]]
+class _ByClass:
+    """Rows of known words sorted by their class, and the logits of the words in it."""
+
+    def __init__(self, w: Weights, states: np.ndarray, targets: np.ndarray):
+        classes = targets // PER_CLASS
+        order = np.argsort(classes, kind="stable")
+        ends = np.searchsorted(classes[order], np.arange(CLASSES + 1))
+        self.rows = order[:ends[-1]]
+        self.parts = [(c, slice(i, j)) for c, (i, j) in enumerate(zip(ends, ends[1:])) if i < j]
+        self.states, self.words = states[self.rows], targets[self.rows] % PER_CLASS
+        self.logits = np.empty((len(self.rows), PER_CLASS), np.float32)
+        for c, part in self.parts:
+            np.matmul(self.states[part], w["word"][c], out=self.logits[part])
+            self.logits[part] += w["word_bias"][c]
+        if float((np.abs(w["word"]).sum(axis=1) + w["word_bias"]).max()) > 60:
+            self.logits -= self.logits.max(axis=1, keepdims=True)
+
+    def own(self) -> np.ndarray:
+        return self.logits[np.arange(len(self.words)), self.words]
 
 
 def log_probabilities(w: Weights, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Natural logarithms; of a rare word that of its class."""
     found = _log_share(states, w["class"], w["class_bias"], targets // PER_CLASS)
-    for c, at in _by_class(targets):
-        found[at] += _log_share(states[at], w["word"][c], w["word_bias"][c], targets[at] % PER_CLASS)
+    known = _ByClass(w, states, targets)
+    own = known.own().astype(np.float64)
+    np.exp(known.logits, out=known.logits)
+    found[known.rows] += own - np.log(known.logits.sum(axis=1))
     return found
 
 
@@ -172,12 +209,17 @@ def gradients(w: Weights, inputs: np.ndarray, starts: np.ndarray, targets: np.nd
     wrong *= share
     g["class"], g["class_bias"] = flat.T @ wrong, wrong.sum(axis=0)
     back = wrong @ w["class"].T
-    for c, at in _by_class(goal):
-        wrong = _shares(flat[at], w["word"][c], w["word_bias"][c])
-        wrong[np.arange(len(at)), goal[at] % PER_CLASS] -= 1
-        wrong *= share
-        g["word"][c], g["word_bias"][c] = flat[at].T @ wrong, wrong.sum(axis=0)
-        back[at] += wrong @ w["word"][c].T
+    known = _ByClass(w, flat, goal)
+    wrong = np.exp(known.logits, out=known.logits)
+    wrong /= wrong.sum(axis=1, keepdims=True)
+    wrong[np.arange(len(known.words)), known.words] -= 1
+    wrong *= share
+    own_back = np.empty_like(known.states)
+    for c, part in known.parts:
+        np.matmul(known.states[part].T, wrong[part], out=g["word"][c])
+        g["word_bias"][c] = wrong[part].sum(axis=0)
+        np.matmul(wrong[part], w["word"][c].T, out=own_back[part])
+    back[known.rows] += own_back
     errors = np.zeros_like(states)
     errors[real] = back
     before, gates, own, new = kept
@@ -217,20 +259,21 @@ class Trainer:
         self.v = {k: np.zeros_like(v) for k, v in w.items()}
 
     def learn(self, documents: list[np.ndarray], end: int) -> None:
-        """One pass. Small inputs get fewer lanes, so that there are steps enough."""
+        """One pass. Small inputs get fewer lanes, so that there are steps enough; a window counts by its share of a full one."""
         tokens = sum(map(len, documents))
-        lanes = Lanes(documents, int(np.clip(tokens // (STEPS * 100), 8, TRAINED_LANES)), end)
-        h = np.zeros((len(lanes.lengths), HIDDEN), np.float32)
+        lanes = Stretches(documents, int(np.clip(tokens // (STEPS * 100), 8, TRAINED_LANES)), end)
+        h = np.zeros((len(lanes.at), HIDDEN), np.float32)
         for places in lanes.windows():
-            g, words, h = gradients(self.w, lanes.inputs[places], lanes.starts[places], lanes.targets[places], places >= 0, h[:places.shape[1]])
-            self._step(g, *words)
+            real = places >= 0
+            g, words, h = gradients(self.w, lanes.inputs[places], lanes.starts[places], lanes.targets[places], real, h)
+            self._step(g, *words, share=real.sum() / (STEPS * len(lanes.at)))
 
-    def _step(self, g: Weights, words: np.ndarray, inputs: np.ndarray) -> None:
+    def _step(self, g: Weights, words: np.ndarray, inputs: np.ndarray, share: float = 1.0) -> None:
         """One step. Inputs of words that don't occur stay as they are, their averages too."""
         self.n += 1
         norm = np.sqrt(sum(float(np.vdot(x, x)) for x in (*g.values(), inputs)))
         scale = np.float32(min(1.0, CLIP / (norm + 1e-12)))
-        rate = np.float32(self.rate * np.sqrt(1 - 0.999 ** self.n) / (1 - 0.9 ** self.n))
+        rate = np.float32(self.rate * share * np.sqrt(1 - 0.999 ** self.n) / (1 - 0.9 ** self.n))
         for name, x in g.items():
             x *= scale
             self.w[name] -= self._change(x, self.m[name], self.v[name], rate)

@@ -4,9 +4,11 @@ Counting covers every training document. The most frequent words, ``HEAD`` at mo
 counts of the others are joined to the documents they occur in, word by word. The model knows the first ``gated.WORDS`` of the head.
 A word it doesn't know has the probability of the rare class times its share of the corpus's counts in that class.
 
-Training reads every training document once, in ``ROUNDS`` rounds over equal shares of them drawn by a hash. In a round every
-task trains the common weights on its documents, and the changes are averaged by tokens: blocks of weights are
-shuffled and added up, and the driver sees one set of weights.
+Words are numbered once, into a staged table that training and scoring read. Training reads every training document once, in ``ROUNDS``
+rounds over equal shares of them drawn by a hash. In a round every task trains the common weights on its documents, and the changes are
+averaged by tokens: blocks of weights are shuffled and added up, and the driver sees one set of weights. A round's weights
+are kept only if they score a ``CHECKED``-th of another round's training documents better than those before it, so that at worst the
+untrained model is left, which knows the words' shares.
 
 Null and empty texts are an end token alone. Rows with a null id are trained on and scored. Repeated rows count and are
 scored each. An empty table gives an empty result. Other columns are not read.
@@ -33,6 +35,7 @@ HEAD = 200_000
 LONGEST = 64
 SMOOTH = 0.1
 ROUNDS = 2
+CHECKED = 16
 # No word holds a line break, so it stands for the end of a document.
 END = b"\n"
 # Tokens that a task holds at a time; documents from a length up are held apart from shorter ones,
@@ -131,35 +134,99 @@ def _known(numbers: np.ndarray) -> np.ndarray:
     return np.where((numbers < 0) | (numbers >= gated.WORDS), np.int32(gated.RARE), numbers)
 
 
-def train(docs: DataFrame, corpus: Corpus, rounds: int = ROUNDS) -> gated.Weights:
-    """Weights after ``rounds`` averaged passes, which share out all of ``docs`` (doc_id, text) between them."""
-    spark = docs.sparkSession
-    ready(spark)
+def numbered(docs: DataFrame, corpus: Corpus, rounds: int = ROUNDS) -> DataFrame:
+    """``docs`` (doc_id, held_out, text) with the words replaced by the model's numbers, their counts and logs, and the words outside the head; staged."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, logs, rare = corpus.index(), corpus.logs(), float(np.log10(corpus.rare()))
+        seen, rows = corpus.counts > 0, []
+        for text, row in _texts(batches, "row", "doc_id", "held_out", "draw"):
+            words = tokens(text)
+            own = _numbered(index, words)
+            known, head = _known(own), own[own >= 0]
+            strange = Counter(words[i] for i in np.flatnonzero(own < 0))
+            # A word of the rare class has its share of the class.
+            in_class = logs[head[head >= gated.WORDS]].sum() - rare * int((known == gated.RARE).sum())
+            rows.append((*row, known.astype("<u2").tobytes(), len(own), int(seen[head].sum()), float(logs[head].sum()), float(in_class),
+                         list(strange), list(strange.values())))
+            if len(rows) >= 256:
+                yield _records(rows, NUMBERED)
+                rows = []
+        yield _records(rows, NUMBERED)
+
+    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, rounds) * CHECKED)).cast("int").alias("draw")
+    named = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "held_out", draw, "text")
+    return stage(named.mapInArrow(run, "row long, doc_id long, held_out boolean, draw int, known binary, n_tokens long, n_known long, "
+                                  "base_score double, in_class double, words array<binary>, times array<int>"), "numbered")
+
+
+NUMBERED = pa.schema([
+    ("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("draw", pa.int32()), ("known", pa.binary()), ("n_tokens", pa.int64()),
+    ("n_known", pa.int64()), ("base_score", pa.float64()), ("in_class", pa.float64()), ("words", pa.list_(pa.binary())), ("times", pa.list_(pa.int32()))])
+
+
+def _records(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def train(rows: DataFrame, corpus: Corpus, rounds: int = ROUNDS) -> gated.Weights:
+    """Weights after ``rounds`` averaged passes, which share out all of ``rows`` (draw, known) between them."""
     weights = gated.begin((corpus.counts[:gated.WORDS] + SMOOTH) / corpus.total(), corpus.rare())
-    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds))
-    known = corpus.head[:gated.WORDS]
+    round_ = F.col("draw") % rounds
     for n in range(rounds):
-        part = docs.filter(draw == n).select("text")
+        part = rows.filter(round_ == n).select("known")
         part = part.coalesce(max(1, round(part.rdd.getNumPartitions() / rounds)))
-        sums = part.mapInArrow(_trainer(weights, known), "block int, tokens long, change binary").repartition("block").mapInArrow(
+        sums = part.mapInArrow(_trainer(weights), "block int, tokens long, change binary").repartition("block").mapInArrow(
             _added, "block int, tokens long, change binary")
         blocks = {row.block: (row.tokens, np.frombuffer(row.change, "<f8")) for row in sums.collect()}
         if blocks:
             change = np.concatenate([blocks[b][1] / blocks[b][0] for b in range(_BLOCKS)])
-            weights = gated.restore(gated.flatten(weights) + change, weights)
+            new = gated.restore(gated.flatten(weights) + change, weights)
+            checks = rows.filter((round_ == (n + 1) % rounds) & (F.col("draw") < rounds)).select("known")
+            gain = checks.mapInArrow(_gains(weights, new), "gain double").agg(F.sum("gain")).first()[0]
+            if gain is None or gain > 0:
+                weights = new
     return weights
 
 
-def _trainer(weights: gated.Weights, known: tuple[bytes, ...]):
+def _pools(batches: Iterable[pa.RecordBatch]) -> Iterator[list[tuple[int | None, np.ndarray]]]:
+    """(row, numbers) of documents, about ``_TOKENS`` at a time; long ones apart from short ones."""
+    pools: dict[bool, list] = {False: [], True: []}
+    sizes = {False: 0, True: 0}
+    for batch in batches:
+        names = batch.schema.names
+        rows = batch.column("row").to_pylist() if "row" in names else [None] * batch.num_rows
+        for row, known in zip(rows, batch.column("known").to_pylist()):
+            own = np.frombuffer(known, "<u2").astype(np.int32)
+            long = len(own) >= _LONG
+            pools[long].append((row, own))
+            sizes[long] += len(own)
+            if sizes[long] >= _TOKENS:
+                yield pools[long]
+                pools[long], sizes[long] = [], 0
+    yield from (pool for pool in pools.values() if pool)
+
+
+def _gains(old: gated.Weights, new: gated.Weights):
+    """How much likelier the documents are under the new weights."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pool in _pools(batches):
+            own = [known for _, known in pool]
+            gain = float(gated.score(new, own, 0).sum() - gated.score(old, own, 0).sum())
+            yield pa.RecordBatch.from_arrays([pa.array([gain], pa.float64())], ["gain"])
+    return run
+
+
+def _trainer(weights: gated.Weights):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = {word: i for i, word in enumerate(known)}
         trainer, held, size, total = gated.Trainer(weights), [], 0, 0
-        for text, _ in _texts(batches):
-            held.append(_known(_numbered(index, tokens(text))))
-            size += len(held[-1])
-            if size >= _TOKENS:
-                trainer.learn(held, 0)
-                held, size, total = [], 0, total + size
+        for batch in batches:
+            for known in batch.column("known").to_pylist():
+                held.append(np.frombuffer(known, "<u2").astype(np.int32))
+                size += len(held[-1])
+                if size >= _TOKENS:
+                    trainer.learn(held, 0)
+                    held, size, total = [], 0, total + size
         if held:
             trainer.learn(held, 0)
             total += size
@@ -186,40 +253,12 @@ def _added(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
          pa.array([own.astype("<f8").tobytes() for own in sums.values()], pa.binary())], ["block", "tokens", "change"])
 
 
-def _scorer(weights: gated.Weights, corpus: Corpus):
-    """For each row its doc_id and held_out, counts, the logs of what the head and the model know, and the words outside the head."""
+def _scorer(weights: gated.Weights):
+    """The log10 likelihood of each row's numbers."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, logs, rare = corpus.index(), corpus.logs(), float(np.log10(corpus.rare()))
-        seen = corpus.counts > 0
-
-        def scored(held: list) -> pa.RecordBatch:
-            modelled = gated.score(weights, [_known(own) for _, own, _ in held], 0) / np.log(10)
-            rows = []
-            for (row, own, strange), likelihood in zip(held, modelled):
-                head = own[own >= 0]
-                # A word of the rare class has its share of the class.
-                in_class = logs[head[head >= gated.WORDS]].sum() - rare * int((_known(own) == gated.RARE).sum())
-                rows.append((*row, len(own), int(seen[head].sum()), float(logs[head].sum()), float(likelihood + in_class),
-                             list(strange), list(strange.values())))
-            types = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(),
-                     pa.list_(pa.binary()), pa.list_(pa.int32()))
-            columns = list(zip(*rows)) or [()] * len(types)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)],
-                                              ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "words", "times"])
-
-        pools: dict[bool, list] = {False: [], True: []}
-        sizes = {False: 0, True: 0}
-        for text, row in _texts(batches, "row", "doc_id", "held_out"):
-            words = tokens(text)
-            numbers = _numbered(index, words)
-            long = len(words) >= _LONG
-            pools[long].append((row, numbers, Counter(words[i] for i in np.flatnonzero(numbers < 0))))
-            sizes[long] += len(words)
-            if sizes[long] >= _TOKENS:
-                yield scored(pools[long])
-                pools[long], sizes[long] = [], 0
-        for held in pools.values():
-            yield scored(held)
+        for pool in _pools(batches):
+            found = gated.score(weights, [known for _, known in pool], 0) / np.log(10)
+            yield pa.RecordBatch.from_arrays([pa.array([row for row, _ in pool], pa.int64()), pa.array(found, pa.float64())], ["row", "modelled"])
     return run
 
 
@@ -231,19 +270,17 @@ def likelihoods(docs: DataFrame, held_out: Column, head: int = HEAD, rounds: int
     training = docs.filter(~F.col("held_out"))
     counts = stage(word_counts(training), "words")
     corpus, outside = survey(counts, head)
-    weights = train(training, corpus, rounds)
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "held_out", "text")
-    scored = stage(numbered.mapInArrow(
-        _scorer(weights, corpus), "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, "
-        "score double, words array<binary>, times array<int>"), "scored")
-    strange = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select(
+    rows = numbered(docs, corpus, rounds)
+    weights = train(rows.filter(~F.col("held_out")), corpus, rounds)
+    modelled = stage(rows.select("row", "known").mapInArrow(_scorer(weights), "row long, modelled double"), "scored")
+    strange = rows.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select(
         "row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
     log = F.log10((F.coalesce("n", F.lit(0)) + SMOOTH) / corpus.total())
     extra = strange.join(counts.filter(outside), "word", "left").groupBy("row").agg(
         F.sum(F.col("times") * log).alias("extra"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("extra_known"))
-    whole = scored.drop("words", "times").join(extra, "row", "left")
+    whole = rows.drop("words", "times", "known").join(modelled, "row").join(extra, "row", "left")
     more = F.coalesce("extra", F.lit(0.0))
     return whole.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("extra_known", F.lit(0))).alias("n_known"),
         F.lit(corpus.tokens).cast("long").alias("train_tokens"), (F.col("base_score") + more).alias("base_score"),
-        (F.col("score") + more).alias("score"))
+        (F.col("modelled") + F.col("in_class") + more).alias("score"))

@@ -277,27 +277,38 @@ def test_likelihoods(docs, rows, head):
 def test_the_model_learns_from_every_training_document(docs, rows, monkeypatch, tmp_path):
     trainer, read = scoring._trainer, str(tmp_path)
 
-    def noted(weights, known):
-        run = trainer(weights, known)
+    def noted(weights):
+        run = trainer(weights)
 
         def noting(batches):
             batches = list(batches)
             with open(f"{read}/{uuid.uuid4()}", "w") as out:
-                json.dump([text for batch in batches for text in batch.column("text").to_pylist()], out)
+                json.dump([known.hex() for batch in batches for known in batch.column("known").to_pylist()], out)
             return run(batches)
         return noting
 
     monkeypatch.setattr(scoring, "_trainer", noted)
     scoring.likelihoods(docs, F.coalesce(F.col("doc_id") % 10 == 0, F.lit(False))).count()
-    learned = Counter(text for part in tmp_path.iterdir() for text in json.loads(part.read_text()))
-    assert learned == Counter(r[1] for r in rows if r[0] is None or r[0] % 10)
+    learned = Counter(len(text) // 4 for part in tmp_path.iterdir() for text in json.loads(part.read_text()))
+    assert learned == Counter(len(scoring.tokens((r[1] or "").encode())) for r in rows if r[0] is None or r[0] % 10)
 
 
-def test_the_model_beats_single_words_on_held_out_documents(spark):
-    found = queries.op7_likelihood(spark, "/root/testdata/sf0.001").filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+@pytest.mark.parametrize("scale", ["0.001", "0.01", "0.1"])
+@pytest.mark.parametrize("parts", [1, 3, 16])
+def test_the_model_beats_single_words_on_held_out_documents(spark, scale, parts):
+    docs = spark.read.parquet(f"/root/testdata/sf{scale}/documents.parquet").repartition(parts)
+    found = scoring.likelihoods(docs, F.crc32(F.col("doc_id").cast("string")) % 10 == 0).filter("held_out").agg(
+        F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    print(scale, parts, (found[0] - found[1]) / found[2])
     assert found[0] > found[1]
 
 
+def test_a_round_that_makes_it_worse_is_left_out(docs, monkeypatch):
+    monkeypatch.setattr(scoring, "_gains", lambda old, new: lambda batches: iter([scoring.pa.RecordBatch.from_arrays([scoring.pa.array([-1.0])], ["gain"])]))
+    for row in scoring.likelihoods(docs, F.lit(False)).collect():
+        assert row.score == pytest.approx(row.base_score, rel=1e-4)
+
+
 def test_held_out_languages_are_found(spark):
     named = queries.op3_language(spark, "/root/testdata/sf0.01").filter("held_out").join(
         spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id")
