@@ -5,21 +5,26 @@ from __future__ import annotations
 # The characters and limits of the quality rules, as in quality.py.
 QUALITY = r"""
 WITH split AS (
-  SELECT doc_id, coalesce(text, '') AS text,
+  SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text,
          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
          list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
   FROM documents
 ), windows AS (
-  SELECT *, list_transform(range(1, len(words) - 6), lambda i: array_to_string(list_slice(words, i, i + 7), ' ')) AS windows
+  SELECT id, unnest(range(1, len(words) - 6)) AS start,
+         unnest(list_transform(range(1, len(words) - 6), lambda i: array_to_string(list_slice(words, i, i + 7), ' '))) AS win
   FROM split
+), twice AS (
+  SELECT id, start FROM windows QUALIFY count(*) OVER (PARTITION BY id, win) > 1
+), covered AS (
+  SELECT id, sum(n)::BIGINT AS n FROM (
+    SELECT id, least(8, coalesce(lead(start) OVER (PARTITION BY id ORDER BY start) - start, 8)) AS n FROM twice) GROUP BY id
 ), found AS (
-  SELECT *, list_filter(range(1, len(windows) + 1), lambda i: map_extract_value(list_histogram(windows), windows[i]) > 1) AS starts
-  FROM windows
+  SELECT split.*, coalesce(n, 0) AS n_repeat_words FROM split LEFT JOIN covered USING (id)
 ), counted AS (
   SELECT doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
          len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
          len(lines) AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
-         coalesce(list_sum(list_transform(starts, lambda s, i: least(8, coalesce(starts[i + 1] - s, 8)))), 0)::BIGINT AS n_repeat_words,
+         n_repeat_words,
          len(list_filter(range(2, len(words) + 1), lambda i: words[i] = words[i - 1])) AS n_stutters,
          len(regexp_extract_all(text, '!!')) AS n_shouts
   FROM found
@@ -37,6 +42,75 @@ FROM judged
 """
 
 
+# Fixed value: the scale of the vectors. Products of scaled components are whole numbers far below 2 ** 53, so sums of them are exact.
+TOPK = """
+WITH scaled AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM scaled q JOIN scaled c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+FROM scored QUALIFY rank <= 10
+"""
+
+# Fixed value: the words of a window. The SQL supposes that no doc_id comes twice.
+SUBSTRINGS = r"""
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), placed AS (
+  SELECT doc_id, unnest(range(1, len(words) + 1)) AS i, unnest(words) AS word,
+         unnest(list_transform(range(1, len(words) + 1), lambda i: CASE WHEN i + 49 <= len(words) THEN array_to_string(list_slice(words, i, i + 49), ' ') END)) AS win
+  FROM split
+), judged AS (
+  SELECT doc_id, i, word, win IS NOT NULL AND doc_id > min(doc_id) OVER (PARTITION BY win) AS later FROM placed
+), covered AS (
+  SELECT doc_id, i, word, max(later::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) = 1 AS gone FROM judged
+), kept AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS words FROM covered GROUP BY doc_id
+)
+SELECT doc_id, len(s.words)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(k.words, '')) AS kept_sha256
+FROM split s LEFT JOIN kept k USING (doc_id)
+"""
+
+def _doubled(source: str, *steps: tuple[int, int]) -> str:
+    """CTEs that name ever longer strings by the hash of two shorter ones: (length of the parts, from where to where)."""
+    parts = []
+    for n, (length, apart) in enumerate(steps):
+        parts.append(f"""d{n} AS (
+  SELECT doc_id, i, n, byte, hash(name, lead(name, {apart}) OVER (PARTITION BY doc_id ORDER BY i)) AS name FROM {source})""")
+        source = f"d{n}"
+    return ",\n".join(parts)
+
+
+# Fixed value: the bytes of a window, put together from strings of 1, 2, 4 ... 32 bytes. The SQL supposes that no doc_id comes twice.
+SUFFIXES = f"""
+WITH raw AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS bytes FROM documents
+), cut AS (
+  SELECT doc_id, regexp_extract_all(bytes, '..') AS bytes FROM raw
+), placed AS (
+  SELECT doc_id, len(bytes) AS n, unnest(range(0, len(bytes))) AS i, unnest(bytes) AS byte, unnest(list_transform(bytes, lambda b: hash(b))) AS name FROM cut
+), {_doubled("placed", (1, 1), (2, 2), (4, 4), (8, 8), (16, 16), (32, 18))},
+windows AS (
+  SELECT doc_id, i, byte, CASE WHEN i + 50 <= n THEN name END AS win FROM d5
+), judged AS (
+  SELECT doc_id, i, byte, win IS NOT NULL AND doc_id > min(doc_id) OVER (PARTITION BY win) AS later FROM windows
+), covered AS (
+  SELECT doc_id, i, byte, max(later::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) = 1 AS gone FROM judged
+), edges AS (
+  SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS begins FROM covered
+), kept AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_spans,
+         string_agg(byte, '' ORDER BY i) FILTER (NOT gone) AS bytes FROM edges GROUP BY doc_id
+)
+SELECT doc_id, (len(r.bytes) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(k.bytes, ''))) AS kept_sha256
+FROM raw r LEFT JOIN kept k USING (doc_id)
+"""
+
+
 def crc32(value: str) -> str:
     """SQL for the unsigned crc32 of an ASCII text. The polynomial is a fixed value."""
     bit = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))"
@@ -134,4 +208,4 @@ FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality": QUALITY, "op11_collocations": COLLOCATIONS, "op13_merkle": merkle()}
+    return {"op2_topk": TOPK, "op4_quality": QUALITY, "op8_substrings": SUBSTRINGS, "op12_suffixes": SUFFIXES, "op11_collocations": COLLOCATIONS, "op13_merkle": merkle()}
