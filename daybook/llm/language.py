@@ -14,6 +14,8 @@ Null labels teach nothing. Repeated rows are scored alike. An empty table gives
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -28,7 +30,9 @@ from daybook.llm.workers import ready
 SAMPLE = 1000
 RANKS = 400
 UNKNOWN = "und"
-_LETTERS = re.compile(r"[^\W\d_]+")
+# Letters go by their category: what Unicode counts among words beside them are digits and signs of numbers, such as a raised two.
+_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No"))
+_LETTERS = re.compile(rf"[^\W\d_{_NUMBERS}]+")
 
 
 def counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:

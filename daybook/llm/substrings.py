@@ -7,8 +7,8 @@ begin in several documents.
 
 Only strings that can matter travel. Of documents with the same words the one with the smallest id stands for all;
 the others lose every word that a window covers, which is all of them. Minimisers that occur in one document
-alone are settled by counting. A minimiser in more than ``CROWD`` strings is no bucket: its
-equal strings are folded to the smallest id before any shuffle, by a digest of 128 bits, and so are the windows of
+alone are settled by counting. A minimiser in more than ``CROWD`` strings, or in strings of more than ``WINDOWS`` windows together as one word
+repeated makes them, is no bucket: its equal strings are folded to the smallest id before any shuffle, by a digest of 128 bits, and so are the windows of
 those that are left, so that a passage in a third of all documents is no one's group.
 
 Rows are told apart by doc_id and a hash of the text. Rows with one doc_id don't take words from each other; those without
@@ -37,12 +37,14 @@ from daybook.llm.workers import ready
 WINDOW = 50
 MINIMISER = 8
 CROWD = 2048
+WINDOWS = 1 << 16
 HOT = 4096
 RESULTS = ("n_words", "n_removed", "kept_sha256")
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _REMEMBERED = 400_000
+_AT_ONCE = 10_000
 
 
 class _Hashes(dict):
@@ -150,11 +152,13 @@ def _windows(window: int):
             for n in range(batch.num_rows):
                 row = batch.slice(n, 1).to_pylist()[0]
                 at = _offsets(row["string"].split(b" "))
-                found = [_digest(row["string"][at[i]:at[i + window] - 1]) for i in range(len(at) - window)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(found, pa.binary()), pa.array(range(row["start"], row["start"] + len(found)), pa.int32()),
-                     pa.array([1] * len(found), pa.int32()), pa.array([row["doc_id"]] * len(found), pa.int64()),
-                     pa.array([row["_text"]] * len(found), pa.int64())], ["digest", "start", "windows", "doc_id", "_text"])
+                for first in range(0, len(at) - window, _AT_ONCE):
+                    found = [_digest(row["string"][at[i]:at[i + window] - 1]) for i in range(first, min(first + _AT_ONCE, len(at) - window))]
+                    start = row["start"] + first
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(found, pa.binary()), pa.array(range(start, start + len(found)), pa.int32()),
+                         pa.array([1] * len(found), pa.int32()), pa.array([row["doc_id"]] * len(found), pa.int64()),
+                         pa.array([row["_text"]] * len(found), pa.int64())], ["digest", "start", "windows", "doc_id", "_text"])
     return run
 
 
@@ -225,7 +229,7 @@ def _repeats(window: int):
     return run
 
 
-def repeats(docs: DataFrame, window: int = WINDOW, length: int = MINIMISER, crowd: int = CROWD) -> DataFrame:
+def repeats(docs: DataFrame, window: int = WINDOW, length: int = MINIMISER, crowd: int = CROWD, windows: int = WINDOWS) -> DataFrame:
     """doc_id, ``_text`` (the hash of the text), ``whole`` (it loses every word) and ``spans`` of (start, windows),
     for the documents that lose words."""
     ready(docs.sparkSession)
@@ -247,9 +251,9 @@ def repeats(docs: DataFrame, window: int = WINDOW, length: int = MINIMISER, crow
     runs = runs.select("doc_id", "_text", F.col("run.starts").alias("start"),
                        (F.col("run.ends") - F.col("run.starts")).alias("windows"), F.col("run.least").alias("least"))
     shared = runs.groupBy("least").agg(
-        F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b")
+        F.count(F.lit(1)).alias("n"), F.sum("windows").alias("all"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b")
     spans = (
-        runs.join(shared.select("least", (F.col("n") > crowd).alias("crowded")), "least")
+        runs.join(shared.select("least", ((F.col("n") > crowd) | (F.col("all") > windows)).alias("crowded")), "least")
         .groupBy("doc_id", "_text").agg(F.collect_list(F.struct("start", "windows", "least", "crowded")).alias("spans"))
     )
     strings = stage(texts.dropDuplicates(["doc_id", "_text"]).join(spans, ["doc_id", "_text"]).mapInArrow(

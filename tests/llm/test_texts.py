@@ -309,6 +309,40 @@ def test_a_round_that_makes_it_worse_is_left_out(docs, monkeypatch):
         assert row.score == pytest.approx(row.base_score, rel=1e-4)
 
 
+def test_no_bucket_holds_more_windows_than_it_may(spark, monkeypatch, tmp_path):
+    """One word repeated has one minimiser and a window for each word."""
+    real, noted = substrings._repeats, str(tmp_path)
+
+    def noting(window):
+        run = real(window)
+
+        def noted_run(batches):
+            batches = list(batches)
+            sizes = Counter()
+            for batch in batches:
+                for least, string in zip(batch.column("least").to_pylist(), batch.column("string").to_pylist()):
+                    sizes[least] += string.count(b" ") + 2 - window
+            with open(f"{noted}/{uuid.uuid4()}", "w") as out:
+                json.dump(max(sizes.values(), default=0), out)
+            return run(iter(batches))
+        return noted_run
+
+    monkeypatch.setattr(substrings, "_repeats", noting)
+    texts = [(n, "of " * (3_000 + n) + f"end {n}") for n in range(40)] + [(50, "of " * 100_000), (51, "and " * 60 + "x"), (52, "y " + "and " * 70)]
+    found = substrings.remove(spark.createDataFrame(texts, "doc_id long, text string").repartition(5)).collect()
+    assert max(json.loads(part.read_text()) for part in tmp_path.iterdir()) <= substrings.WINDOWS
+    gone = {r.doc_id: (r.n_words, r.n_removed) for r in found}
+    assert gone[0] == (3_002, 0) and gone[50] == (100_000, 100_000) and gone[51] == (61, 0) and gone[52] == (71, 70)
+    assert all(gone[n] == (3_002 + n, 3_001 + n) for n in range(1, 40))
+
+
+def test_signs_of_numbers_are_no_letters():
+    known = language.Profiles({"de": language.ranking(*language.counts("der die das und"))})
+    for text in ("²", "½ ①", "Ⅷ 12 _", "", None):
+        assert known.name(text) == (language.UNKNOWN, 0.0)
+    assert known.name("ñ der²")[0] == "de"
+
+
 def test_held_out_languages_are_found(spark):
     named = queries.op3_language(spark, "/root/testdata/sf0.01").filter("held_out").join(
         spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id")
