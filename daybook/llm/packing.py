@@ -2,8 +2,8 @@
 
 Each document becomes its ids and an end id; only one longer than a sequence is cut, into full pieces and
 a rest. A task packs what its partition holds, longest first, each piece into the fullest sequence
-that takes it. Sequences that are nearly full are done. The others are the items of the next
-round, in fewer partitions, until one partition of ``CHUNK`` items at most has been packed, until all that are left are over
+that takes it. Sequences that are nearly full are done, and so are those that not even the smallest one left
+fits into. The others are the items of the next round, in fewer partitions, until one partition of ``CHUNK`` items at most has been packed, until all that are left are over
 half full, so that no two fit together, or until a round no longer joins any in as few partitions as hold them.
 
 A null text is an empty one and gives one piece, the end id. Null ids stay null. Repeated rows are packed
@@ -89,16 +89,19 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, slack: int = SLACK) -> DataFr
     parts, count, finished, depth = level.rdd.getNumPartitions(), None, [], 0
     while True:
         packed = stage(level.mapInArrow(_packer(capacity, slack, depth), _BINS), f"pack-{depth}")
-        finished.append(packed.filter("done"))
-        left, small = packed.filter("not done").agg(F.count(F.lit(1)), F.count_if(2 * F.col("fill") <= capacity)).first()
-        fewer = max(-(-left // CHUNK), -(-parts // FAN))
+        fills = {row.fill: row["count"] for row in packed.filter("not done").groupBy("fill").count().collect()}  # at most ``capacity``
+        most = capacity - min(fills, default=0)  # what the smallest one still fits into
+        left, small, joinable = (sum(n for fill, n in fills.items() if fill <= top) for top in (capacity, capacity // 2, most))
+        fewer = max(-(-joinable // CHUNK), -(-parts // FAN))
         # In the first round a task may have packed more than one chunk.
         whole = parts == 1 and count is not None
-        if not small or whole or (left == count and fewer >= parts):
-            finished.append(packed.filter("not done"))
+        if not small or joinable < 2 or whole or (left == count and fewer >= parts):
+            finished.append(packed)
             break
-        parts, count = fewer, left
-        level, depth = packed.filter("not done").repartition(parts), depth + 1
+        goes_on = ~F.col("done") & (F.col("fill") <= most)
+        finished.append(packed.filter(~goes_on))
+        parts, count = fewer, joinable
+        level, depth = packed.filter(goes_on).repartition(parts), depth + 1
     every = reduce(DataFrame.unionByName, finished)
     return every.select("sequence_id", "items").mapInArrow(_placed, f"{PIECES}, sequence_id long, offset long")
 

@@ -211,3 +211,24 @@ def test_pipeline(spark, docs, rows):
 def test_pipeline_runs_whole(spark):
     found = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert found.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 2048").count() == 0 < found.count()
+
+
+def test_rounds_take_on_only_what_can_still_be_joined(spark, monkeypatch):
+    sizes = [1100] * 3000 + [1500] * 2000 + [700] * 40 + [900] * 3
+    rows = [(n, 0, 0, size, n) for n, size in enumerate(sizes)]
+    real, moved = packing.stage, []
+
+    def noted(df, label):
+        found = real(df, label)
+        moved.append((label, found.count()))
+        return found
+
+    monkeypatch.setattr(packing, "stage", noted)
+    monkeypatch.setattr(packing, "CHUNK", 500)
+    found = packing.pack(spark.createDataFrame(rows, packing.PIECES).repartition(40)).collect()
+    fills = Counter()
+    for r in found:
+        fills[r.sequence_id] += r.length
+    assert sorted(r.length for r in found) == sorted(sizes) and max(fills.values()) <= 2048
+    assert len(fills) == len(packing.best_fit(sizes, 2048)) == 5000
+    assert all(n < 3100 for label, n in moved if label not in ("pack", "pack-0")) and len(moved) < 8
