@@ -14,8 +14,6 @@ Null labels teach nothing. Repeated rows are scored alike. An empty table gives
 from __future__ import annotations
 
 import re
-import sys
-import unicodedata
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -30,14 +28,14 @@ from daybook.llm.workers import ready
 SAMPLE = 1000
 RANKS = 400
 UNKNOWN = "und"
-# Letters go by their category: what Unicode counts among words beside them are digits and signs of numbers, such as a raised two.
-_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No"))
-_LETTERS = re.compile(rf"[^\W\d_{_NUMBERS}]+")
+_WORDS = re.compile(r"[^\W\d_]+")
 
 
 def counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """The runs of a whole text, as numbers that order like their texts, and how often each comes."""
-    words = _LETTERS.findall((text or "").lower())
+    words = _WORDS.findall((text or "").lower())
+    if not "".join(words).isalpha():  # signs of numbers, such as a raised two, count among words but are no letters
+        words = "".join(c if c.isalpha() else " " for c in " ".join(words)).split()
     if not words:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     # Words side by side share the blank between them, which no run may have in its middle.
