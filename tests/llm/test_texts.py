@@ -172,7 +172,7 @@ def test_minimisers_are_smallest_hashes_and_move_with_the_text():
 def ranked(text, ranks):
     """Plain rank order: by count, then by text."""
     found = Counter()
-    for word in language._LETTERS.findall((text or "").lower()):
+    for word in language._WORDS.findall((text or "").lower()):
         padded = f" {word} "
         found.update(word)
         found.update(padded[i:i + 2] for i in range(len(padded) - 1))
