@@ -6,11 +6,12 @@ import datetime as dt
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from daybook.operators.anchor import as_of
 from daybook.plans import reports
 from daybook.schemas import MONTHLY_TARGET
-from daybook.sinks.json_rows import charts_object, first_object, json_rows
+from daybook.sinks.json_rows import charts_object, first_object, json_rows, write_array
 from daybook.sources.stored import newest_month, read_sales
 
 Date = dt.date | str | None
@@ -76,6 +77,10 @@ class Dashboard:
     def leaderboard_json(self, date: Date = None, month: str | None = None) -> DataFrame:
         return json_rows(self.leaderboard(date, month))
 
+    def write_leaderboard(self, path: str, date: Date = None, month: str | None = None) -> None:
+        """The leaderboard as one JSON array of any length (see ``write_array``)."""
+        write_array(self.leaderboard(date, month), path, [F.col("rank")])
+
     def destinations_json(self, date: Date = None, month: str | None = None) -> DataFrame:
         return json_rows(self.top_destinations(date, month))
 

@@ -11,7 +11,7 @@ from daybook.plans.dashboard import Dashboard
 from daybook.registry.stored import written_csv
 from daybook.schemas import ORDERS, PRODUCTS
 from daybook.session import scratch
-from daybook.sinks.json_rows import array_object
+from daybook.sinks.json_rows import array_object, array_rows
 from daybook.sources import sample
 from daybook.sources.delimited import REASON
 from daybook.sources.stored import read_sales, read_table
@@ -89,6 +89,13 @@ def destinations_array(spark: SparkSession, folder: str) -> DataFrame:
     return array_object(board.top_destinations("1998-03-31"), [-F.col("order_count"), F.col("destination_name")])
 
 
+def leaderboard_array(spark: SparkSession, folder: str) -> DataFrame:
+    """The objects of the leaderboard's stored JSON array."""
+    path = scratch(spark, "array")
+    Dashboard(sample.lines(spark, folder), sample.suppliers(spark, folder)).write_leaderboard(path, "1998-03-31")
+    return array_rows(spark, path)
+
+
 def sql_text_parameters(spark: SparkSession, folder: str) -> DataFrame:
     """SQL text over the cleaned view, with bound parameters."""
     book.register_views(sample.orders_as_text(spark, folder))
@@ -100,4 +107,4 @@ def sql_text_parameters(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict:
     return {f.__name__: f for f in (
         rollup_refreshed, fact_appended, csv_load_orders_line_breaks, csv_quarantine_twice, leaderboard_gaps,
-        destinations_gaps, destinations_array, sql_text_parameters)}
+        destinations_gaps, destinations_array, leaderboard_array, sql_text_parameters)}

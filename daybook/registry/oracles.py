@@ -440,6 +440,7 @@ def oracle_sql() -> dict[str, str]:
         "leaderboard_gaps": leaderboard(GAPS_BOOK, end),
         "destinations_gaps": gaps_destinations(end),
         "destinations_array": f"SELECT {json_list(DESTINATION_JSON, 'order_count DESC, destination_name', destinations(end))} AS json",
+        "leaderboard_array": json_rows(LEADERBOARD_JSON, leaderboard(LINE_BOOK, end)),
         "sql_text_parameters": """
             SELECT CAST(o_orderdate AS DATE) AS order_date, count(*) AS orders FROM orders
             WHERE o_orderkey % 4 <> 3 AND CAST(o_orderdate AS DATE) BETWEEN DATE '1998-03-01' AND DATE '1998-03-31'

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -120,6 +120,33 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(target, True)
 
 
+def file_names(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
+    """Names and sizes of the files in ``folder``, in the order of the names' bytes."""
+    fs, target = _file_system(spark, folder)
+    return sorted((s.getPath().getName(), s.getLen()) for s in fs.listStatus(target) if s.isFile())
+
+
+def put(spark: SparkSession, path: str, content: bytes) -> None:
+    """A new small file."""
+    fs, target = _file_system(spark, path)
+    stream = fs.create(target, False)
+    try:
+        stream.write(content)
+    finally:
+        stream.close()
+
+
+def open_bytes(spark: SparkSession, path: str, chunk: int) -> Iterator[bytes]:
+    """The content of a file, at most ``chunk`` bytes at a time."""
+    fs, target = _file_system(spark, path)
+    stream = fs.open(target)
+    try:
+        while piece := bytes(stream.readNBytes(chunk)):
+            yield piece
+    finally:
+        stream.close()
+
+
 def _rename(spark: SparkSession, source: str, target: str) -> None:
     fs, source_path = _file_system(spark, source)
     if not fs.rename(source_path, spark._jvm.org.apache.hadoop.fs.Path(target)):
