@@ -1,24 +1,31 @@
 """A gated recurrent language model in numpy.
 
-Words are the most frequent ones of a corpus; all others share one rare class. The output is factored: first a
-class, then a word in it. Weights begin at zero and biases at the logarithms of the corpus's shares, so an untrained
-model is the corpus's unigram model and training goes on from there.
+Words are the most frequent ones of a corpus, numbered from the most frequent, as many as fit into ``WEIGHT_BYTES``; the
+number after them stands for all others, which share one rare class. The output is factored: first a class, then a word in
+it. Classes are runs of numbers that grow with the square root of the rank: where shares fall off as one by the rank, that
+makes the classes and the words of a token's class fewest on average. Weights begin at zero and biases, the last row or
+column of the output's weights, at the logarithms of the corpus's shares, so an untrained model is the corpus's unigram
+model and training goes on from there.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 
 HIDDEN = 16
-CLASSES = 64
-PER_CLASS = 64
-WORDS = CLASSES * PER_CLASS
-RARE = WORDS
-STEPS = 32
+# Of the words' inputs and outputs, which are nearly all weights; they go to every task and come back averaged.
+WEIGHT_BYTES = 2 << 20
+# The most words that these allow: one has an input to three gates, an output and its bias.
+WORDS = WEIGHT_BYTES // (4 * (3 * HIDDEN + HIDDEN + 1))
+# Of a window in training, and at least in scoring.
+STEPS = 16
 SCORED_LANES = 1024
+# Steps times lanes of a window in scoring: where few lanes run, a window is longer.
+SCORED_CELLS = 32 * SCORED_LANES
 TRAINED_LANES = 256
 RATE = 5e-3
 CLIP = 1.0
@@ -26,21 +33,35 @@ CLIP = 1.0
 Weights = dict[str, np.ndarray]
 
 
+@lru_cache(maxsize=8)
+def layout(words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the classes of ``words`` words begin, and end the last; the class of each word and of the rare ones."""
+    step = max(1.0, np.sqrt(np.log(words + 1)) / 2)
+    edges = np.unique(np.minimum(np.round((step * np.arange(int(np.sqrt(words) / step) + 2)) ** 2), words).astype(np.int64))
+    of = np.repeat(np.arange(len(edges)), np.append(np.diff(edges), 1))
+    return edges, of.astype(np.uint8 if len(edges) < 256 else np.uint16)
+
+
+def size(w: Weights) -> int:
+    """How many words the model knows; also the number of the rare class."""
+    return len(w["word"])
+
+
 def begin(shares: np.ndarray, rare: float, seed: int = 11) -> Weights:
-    """Weights of an untrained model: ``shares`` of up to ``WORDS`` words, most frequent first, and of all others."""
-    full = np.zeros(WORDS)
-    full[:len(shares)] = shares
-    by_class = full.reshape(CLASSES, PER_CLASS)
-    of_class = np.append(by_class.sum(axis=1), rare)
+    """Weights of an untrained model: ``shares`` of its words, most frequent first, and of all others."""
+    words = len(shares)
+    edges, of = layout(words)
+    of_class = np.append(np.add.reduceat(np.asarray(shares, np.float64), edges[:-1]), rare)
     log = lambda x: np.log(np.maximum(x, 1e-30))
     draw = np.random.default_rng(seed)
     small = lambda *shape: draw.normal(0, 0.1, shape).astype(np.float32)
-    return {
-        "input": small(WORDS + 1, 3 * HIDDEN), "state": small(HIDDEN, 3 * HIDDEN), "gates": np.zeros(3 * HIDDEN, np.float32),
-        "class": np.zeros((HIDDEN, CLASSES + 1), np.float32), "class_bias": log(of_class).astype(np.float32),
-        "word": np.zeros((CLASSES, HIDDEN, PER_CLASS), np.float32),
-        "word_bias": (log(by_class) - log(of_class[:-1])[:, None]).astype(np.float32),
+    w = {
+        "input": small(words + 1, 3 * HIDDEN), "state": small(HIDDEN, 3 * HIDDEN), "gates": np.zeros(3 * HIDDEN, np.float32),
+        "class": np.zeros((HIDDEN + 1, len(edges)), np.float32), "word": np.zeros((words, HIDDEN + 1), np.float32),
     }
+    w["class"][HIDDEN] = log(of_class)
+    w["word"][:, HIDDEN] = log(shares) - log(of_class[of[:-1]])
+    return w
 
 
 class Lanes:
@@ -67,12 +88,15 @@ class Lanes:
         self.lengths = np.array([sum(len(documents[i]) for i in lane) for lane in own], dtype=np.int64)
         self.at = np.cumsum(self.lengths) - self.lengths
 
-    def windows(self, steps: int = STEPS) -> Iterator[np.ndarray]:
+    def windows(self, cells: int = SCORED_CELLS) -> Iterator[np.ndarray]:
         """(steps, lanes still running): places in the streams, -1 beyond a lane's end."""
-        for t in range(0, int(self.lengths.max(initial=0)), steps):
+        t, last = 0, int(self.lengths.max(initial=0))
+        while t < last:
             running = int(np.searchsorted(-self.lengths, -t, side="left"))
+            steps = min(max(STEPS, cells // running), last - t)
             t_of = t + np.arange(steps)[:, None]
             yield np.where(t_of < self.lengths[:running], self.at[:running] + t_of, -1)
+            t += steps
 
 
 class Stretches:
@@ -104,7 +128,8 @@ def _recur(w: Weights, inputs: np.ndarray, starts: np.ndarray, h: np.ndarray, ke
     the states before, the gates, the state's part of the new values, and these values."""
     hid, states = HIDDEN, np.empty((*inputs.shape, HIDDEN), np.float32)
     before, gates, own_part, news = (np.empty((*inputs.shape, n * hid), np.float32) for n in (1, 2, 1, 1)) if keep else (None,) * 4
-    given = (w["input"] + w["gates"])[inputs]
+    given = np.take(w["input"], inputs, axis=0)
+    given += w["gates"]
     fresh = starts.any(axis=1)
     one = np.float32(1)
     for t in range(len(inputs)):
@@ -125,58 +150,66 @@ def _recur(w: Weights, inputs: np.ndarray, starts: np.ndarray, h: np.ndarray, ke
     return states, (before, gates, own_part, news)
 
 
-def _logits(states: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    """States are within -1 and 1, so the weights say if exponentials could overflow."""
-    x = states @ weights
-    x += bias
-    if float((np.abs(weights).sum(axis=0) + bias).max()) > 60:
-        x -= x.max(axis=1, keepdims=True)
-    return x
+def _with_one(states: np.ndarray) -> np.ndarray:
+    """States with a column of ones, which the biases meet."""
+    full = np.empty((len(states), HIDDEN + 1), np.float32)
+    full[:, :HIDDEN] = states
+    full[:, HIDDEN] = 1
+    return full
 
 
-def _shares(states: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    x = _logits(states, weights, bias)
-    np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
-    return x
+def _may_overflow(weights: np.ndarray) -> bool:
+    """Whether exponentials of logits could be too large: states are within -1 and 1. Rows of ``weights`` end with the bias."""
+    return float((np.abs(weights[:, :HIDDEN]) @ np.ones(HIDDEN, np.float32) + weights[:, HIDDEN]).max()) > 60
 
 
-def _log_share(states: np.ndarray, weights: np.ndarray, bias: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """The logarithm of one share in each row."""
-    x = _logits(states, weights, bias)
-    own = x[np.arange(len(of)), of].astype(np.float64)
+def _exp(x: np.ndarray) -> np.ndarray:
+    """In place; returns the sums of the rows."""
     np.exp(x, out=x)
-    return own - np.log(x.sum(axis=1))
+    return x @ np.ones(x.shape[1], np.float32)
 
 
 class _ByClass:
-    """Rows of known words sorted by their class, and the logits of the words in it."""
+    """Rows of known words sorted by their class, and the logits of the words in it, class by class."""
 
-    def __init__(self, w: Weights, states: np.ndarray, targets: np.ndarray):
-        classes = targets // PER_CLASS
-        order = np.argsort(classes, kind="stable")
-        ends = np.searchsorted(classes[order], np.arange(CLASSES + 1))
+    def __init__(self, w: Weights, full: np.ndarray, targets: np.ndarray):
+        edges, of = layout(size(w))
+        self.classes = of[targets]
+        order = np.argsort(self.classes, kind="stable")
+        ends = np.searchsorted(self.classes[order], np.arange(len(edges)))
         self.rows = order[:ends[-1]]
-        self.parts = [(c, slice(i, j)) for c, (i, j) in enumerate(zip(ends, ends[1:])) if i < j]
-        self.states, self.words = states[self.rows], targets[self.rows] % PER_CLASS
-        self.logits = np.empty((len(self.rows), PER_CLASS), np.float32)
-        for c, part in self.parts:
-            np.matmul(self.states[part], w["word"][c], out=self.logits[part])
-            self.logits[part] += w["word_bias"][c]
-        if float((np.abs(w["word"]).sum(axis=1) + w["word_bias"]).max()) > 60:
-            self.logits -= self.logits.max(axis=1, keepdims=True)
-
-    def own(self) -> np.ndarray:
-        return self.logits[np.arange(len(self.words)), self.words]
+        self.parts = [(edges[c], edges[c + 1], slice(i, j)) for c, (i, j) in enumerate(zip(ends, ends[1:])) if i < j]
+        self.w, self.full, self.words = w["word"], full[self.rows], targets[self.rows]
+        self.careful = _may_overflow(self.w)
+
+    def __iter__(self) -> Iterator[tuple[slice, slice, np.ndarray, tuple[np.ndarray, np.ndarray]]]:
+        """Words, rows, logits and the place of each row's own word in these."""
+        for first, end, part in self.parts:
+            x = self.full[part] @ self.w[first:end].T
+            if self.careful:
+                x -= x.max(axis=1, keepdims=True)
+            yield slice(first, end), part, x, (np.arange(len(x)), self.words[part] - first)
+
+
+def _class_logits(w: Weights, full: np.ndarray) -> np.ndarray:
+    x = full @ w["class"]
+    if _may_overflow(w["class"].T):
+        x -= x.max(axis=1, keepdims=True)
+    return x
 
 
 def log_probabilities(w: Weights, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Natural logarithms; of a rare word that of its class."""
-    found = _log_share(states, w["class"], w["class_bias"], targets // PER_CLASS)
-    known = _ByClass(w, states, targets)
-    own = known.own().astype(np.float64)
-    np.exp(known.logits, out=known.logits)
-    found[known.rows] += own - np.log(known.logits.sum(axis=1))
+    full = _with_one(states)
+    known = _ByClass(w, full, targets)
+    x = _class_logits(w, full)
+    found = x[np.arange(len(x)), known.classes].astype(np.float64)
+    found -= np.log(_exp(x))
+    own = np.empty(len(known.rows))
+    for _, part, x, mine in known:
+        own[part] = x[mine]
+        own[part] -= np.log(_exp(x))
+    found[known.rows] += own
     return found
 
 
@@ -200,25 +233,23 @@ def gradients(w: Weights, inputs: np.ndarray, starts: np.ndarray, targets: np.nd
     """Of the mean loss over one window, back to its first step: of all weights but the words' inputs,
     of those the words that occur and theirs; and the state after the window."""
     states, kept = _recur(w, inputs, starts, h, keep=True)
-    flat, goal = states[real], targets[real]
+    full, goal = _with_one(states[real]), targets[real]
     share = np.float32(1 / max(1, len(goal)))
-    g = {name: np.zeros_like(w[name]) for name in ("word", "word_bias")}
-    classes = goal // PER_CLASS
-    wrong = _shares(flat, w["class"], w["class_bias"])
-    wrong[np.arange(len(goal)), classes] -= 1
-    wrong *= share
-    g["class"], g["class_bias"] = flat.T @ wrong, wrong.sum(axis=0)
-    back = wrong @ w["class"].T
-    known = _ByClass(w, flat, goal)
-    wrong = np.exp(known.logits, out=known.logits)
-    wrong /= wrong.sum(axis=1, keepdims=True)
-    wrong[np.arange(len(known.words)), known.words] -= 1
-    wrong *= share
-    own_back = np.empty_like(known.states)
-    for c, part in known.parts:
-        np.matmul(known.states[part].T, wrong[part], out=g["word"][c])
-        g["word_bias"][c] = wrong[part].sum(axis=0)
-        np.matmul(wrong[part], w["word"][c].T, out=own_back[part])
+    g = {"word": np.zeros_like(w["word"])}
+    known = _ByClass(w, full, goal)
+    wrong = _class_logits(w, full)
+    sums = _exp(wrong)
+    wrong *= (share / sums)[:, None]
+    wrong[np.arange(len(goal)), known.classes] -= share
+    g["class"] = full.T @ wrong
+    back = wrong @ w["class"][:HIDDEN].T
+    own_back = np.empty((len(known.rows), HIDDEN), np.float32)
+    for words, part, wrong, mine in known:
+        sums = _exp(wrong)
+        wrong *= (share / sums)[:, None]
+        wrong[mine] -= share
+        np.matmul(wrong.T, known.full[part], out=g["word"][words])
+        np.matmul(wrong, w["word"][words, :HIDDEN], out=own_back[part])
     back[known.rows] += own_back
     errors = np.zeros_like(states)
     errors[real] = back
@@ -244,8 +275,9 @@ def gradients(w: Weights, inputs: np.ndarray, starts: np.ndarray, targets: np.nd
     rows = given.reshape(-1, 3 * HIDDEN)
     g["state"] = before.reshape(-1, HIDDEN).T @ through.reshape(-1, 3 * HIDDEN)
     g["gates"] = rows.sum(axis=0)
-    order = np.argsort(inputs.ravel(), kind="stable")
-    words = inputs.ravel()[order]
+    flat = inputs.astype(np.uint16).ravel()
+    order = np.argsort(flat, kind="stable")
+    words = flat[order].astype(np.int64)
     firsts = np.flatnonzero(np.diff(words, prepend=-1))
     return g, (words[firsts], np.add.reduceat(rows[order], firsts, axis=0)), states[-1]
 

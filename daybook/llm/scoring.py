@@ -1,7 +1,8 @@
 """Log-likelihood of whole documents under a gated recurrent model trained on the corpus.
 
 Counting covers every training document. The most frequent words, ``HEAD`` at most, go to all tasks; the
-counts of the others are joined to the documents they occur in, word by word. The model knows the first ``gated.WORDS`` of the head.
+counts of the others are joined to the documents they occur in, word by word. The model knows the first words of the head, as many as the
+corpus has and ``gated.WEIGHT_BYTES`` hold.
 A word it doesn't know has the probability of the rare class times its share of the corpus's counts in that class.
 
 Words are numbered once, into a staged table that training and scoring read. Training reads every training document once, in ``ROUNDS``
@@ -19,6 +20,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -94,9 +96,13 @@ class Corpus:
     def total(self) -> float:
         return self.tokens + SMOOTH * (self.words + 1)
 
+    def shares(self) -> np.ndarray:
+        """Of the words that the model knows."""
+        return (self.counts[:gated.WORDS] + SMOOTH) / self.total()
+
     def rare(self) -> float:
         """The share of all that the model doesn't know."""
-        return max(1e-12, 1 - float(((self.counts[:gated.WORDS] + SMOOTH) / self.total()).sum()))
+        return max(1e-12, 1 - float(self.shares().sum()))
 
     def index(self) -> dict[bytes, int]:
         return {word: i for i, word in enumerate(self.head)}
@@ -126,26 +132,27 @@ def survey(counts: DataFrame, head: int = HEAD) -> tuple[Corpus, Column]:
 
 
 def _numbered(index: dict[bytes, int], words: list[bytes]) -> np.ndarray:
-    return np.fromiter((index.get(word, -1) for word in words), dtype=np.int32, count=len(words))
+    return np.fromiter(map(index.get, words, repeat(-1)), dtype=np.int32, count=len(words))
 
 
-def _known(numbers: np.ndarray) -> np.ndarray:
-    """Numbers in the head as the model's."""
-    return np.where((numbers < 0) | (numbers >= gated.WORDS), np.int32(gated.RARE), numbers)
+def _known(numbers: np.ndarray, words: int) -> np.ndarray:
+    """Numbers in the head as the model's, which knows ``words`` of them."""
+    return np.where((numbers < 0) | (numbers >= words), np.int32(words), numbers)
 
 
 def numbered(docs: DataFrame, corpus: Corpus, rounds: int = ROUNDS) -> DataFrame:
     """``docs`` (doc_id, held_out, text) with the words replaced by the model's numbers, their counts and logs, and the words outside the head; staged."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, logs, rare = corpus.index(), corpus.logs(), float(np.log10(corpus.rare()))
+        size = len(corpus.shares())
         seen, rows = corpus.counts > 0, []
         for text, row in _texts(batches, "row", "doc_id", "held_out", "draw"):
             words = tokens(text)
             own = _numbered(index, words)
-            known, head = _known(own), own[own >= 0]
+            known, head = _known(own, size), own[own >= 0]
             strange = Counter(words[i] for i in np.flatnonzero(own < 0))
             # A word of the rare class has its share of the class.
-            in_class = logs[head[head >= gated.WORDS]].sum() - rare * int((known == gated.RARE).sum())
+            in_class = logs[head[head >= size]].sum() - rare * int((known == size).sum())
             rows.append((*row, known.astype("<u2").tobytes(), len(own), int(seen[head].sum()), float(logs[head].sum()), float(in_class),
                          list(strange), list(strange.values())))
             if len(rows) >= 256:
@@ -171,7 +178,7 @@ def _records(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 def train(rows: DataFrame, corpus: Corpus, rounds: int = ROUNDS) -> gated.Weights:
     """Weights after ``rounds`` averaged passes, which share out all of ``rows`` (draw, known) between them."""
-    weights = gated.begin((corpus.counts[:gated.WORDS] + SMOOTH) / corpus.total(), corpus.rare())
+    weights = gated.begin(corpus.shares(), corpus.rare())
     round_ = F.col("draw") % rounds
     for n in range(rounds):
         part = rows.filter(round_ == n).select("known")
@@ -183,6 +190,8 @@ def train(rows: DataFrame, corpus: Corpus, rounds: int = ROUNDS) -> gated.Weight
             change = np.concatenate([blocks[b][1] / blocks[b][0] for b in range(_BLOCKS)])
             new = gated.restore(gated.flatten(weights) + change, weights)
             checks = rows.filter((round_ == (n + 1) % rounds) & (F.col("draw") < rounds)).select("known")
+            # Few documents a partition would make narrow windows.
+            checks = checks.coalesce(max(1, checks.rdd.getNumPartitions() // 4))
             gain = checks.mapInArrow(_gains(weights, new), "gain double").agg(F.sum("gain")).first()[0]
             if gain is None or gain > 0:
                 weights = new

@@ -222,9 +222,9 @@ def test_learning_sees_only_labelled_rows(docs, nothing):
 def test_gradients_agree_with_differences():
     draw = np.random.default_rng(1)
     weights = {k: (v + draw.normal(0, 0.2, v.shape)).astype(np.float32) for k, v in gated.begin(np.full(200, 0.004), 0.2).items()}
-    weights["class_bias"] = np.maximum(weights["class_bias"], -3)
-    weights["word_bias"] = np.maximum(weights["word_bias"], -3)
-    documents = [draw.integers(0, 200, n) for n in (9, 5, 3, 12)] + [np.array([gated.RARE, 3, 0])]
+    for name in ("class", "word"):
+        weights[name] = np.maximum(weights[name], -3)
+    documents = [draw.integers(0, 200, n) for n in (9, 5, 3, 12)] + [np.array([200, 3, 0])]
     lanes = gated.Lanes(documents, 3, 0)
     places = next(lanes.windows(32))
     args = lanes.inputs[places], lanes.starts[places], lanes.targets[places], places >= 0, np.zeros((places.shape[1], gated.HIDDEN), np.float32)
@@ -253,11 +253,27 @@ def test_scores_do_not_depend_on_company_or_windows():
     assert together == pytest.approx(alone, rel=1e-4)
     assert len(gated.score(weights, [], 0)) == 0
     # All continuations of one word add up to one.
-    every = [np.array([7, w]) for w in range(gated.WORDS + 1)]
+    every = [np.array([7, w]) for w in range(501)]
     first = gated.score(weights, [np.array([7])], 0)[0]
     assert np.exp(gated.score(weights, every, 0) - first).sum() == pytest.approx(1, rel=1e-3)
 
 
+@pytest.mark.parametrize("words", [1, 2, 9, 200, 4096, gated.WORDS])
+def test_classes_share_out_all_words(words):
+    edges, of = gated.layout(words)
+    assert edges[0] == 0 and edges[-1] == words and (np.diff(edges) > 0).all()
+    assert [int(edges[c]) <= n < int(edges[c + 1]) for n, c in enumerate(of[:-1])] == [True] * words and of[-1] == len(edges) - 1
+    assert sum(x.nbytes for x in gated.begin(np.full(words, 0.5 / words), 0.5).values()) <= 1.1 * gated.WEIGHT_BYTES
+
+
+def test_logits_beyond_what_exponentials_can_hold():
+    weights = gated.begin(np.full(300, 0.002), 0.4)
+    documents = [np.array([5, 7, 299, 300, 0])]
+    weights["word"] += 200
+    weights["class"] += 200
+    assert gated.score(weights, documents, 0) == pytest.approx(gated.score(gated.begin(np.full(300, 0.002), 0.4), documents, 0), rel=1e-3)
+
+
 @pytest.mark.parametrize("head", [scoring.HEAD, 40])
 def test_likelihoods(docs, rows, head):
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 == 0, F.lit(False))
