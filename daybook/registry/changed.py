@@ -39,7 +39,7 @@ def fact_appended(spark: SparkSession, folder: str) -> DataFrame:
     return read_sales(spark, path).select("order_no", "order_date", "user_id", "amount", MONTH)
 
 
-def csv_load_orders_line_breaks(spark: SparkSession, folder: str) -> DataFrame:
+def csv_load_orders_line_breaks(spark: SparkSession, folder: str, **options) -> DataFrame:
     """Orders through a CSV file in which some date texts end in a line break."""
     mark = F.when(F.col("o_orderkey") % 5 == 0, "\n").otherwise("")
     rows = sample.table(spark, folder, "orders").select(
@@ -47,10 +47,15 @@ def csv_load_orders_line_breaks(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), mark).alias("order_date_time"))
     path = scratch(spark, "orders")
     with written_csv(rows) as csv:
-        loads.load_table(spark, csv, ORDERS, path)
+        loads.load_table(spark, csv, ORDERS, path, **options)
     return read_table(spark, path).select("order_no", "order_date_time")
 
 
+def csv_load_orders_by_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """The same by a reader that splits files among tasks."""
+    return csv_load_orders_line_breaks(spark, folder, by_blocks=True)
+
+
 def csv_quarantine_twice(spark: SparkSession, folder: str) -> DataFrame:
     """The bad rows of a file that was loaded twice."""
     rows = sample.table(spark, folder, "part").select(
@@ -106,5 +111,5 @@ def sql_text_parameters(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict:
     return {f.__name__: f for f in (
-        rollup_refreshed, fact_appended, csv_load_orders_line_breaks, csv_quarantine_twice, leaderboard_gaps,
+        rollup_refreshed, fact_appended, csv_load_orders_line_breaks, csv_load_orders_by_blocks, csv_quarantine_twice, leaderboard_gaps,
         destinations_gaps, destinations_array, leaderboard_array, sql_text_parameters)}

@@ -275,6 +275,12 @@ LEFT JOIN nation ON 'Brand#' || n_nationkey = code AND n_regionkey <> 0
 GROUP BY 1"""
 
 
+LINE_BREAKS = """
+            SELECT o_orderkey AS order_no,
+                   strftime(o_orderdate, '%Y-%m-%d') || CASE WHEN o_orderkey % 5 = 0 THEN chr(10) ELSE '' END AS order_date_time
+            FROM orders"""
+
+
 def oracle_sql() -> dict[str, str]:
     end, mid, after = day(MONTH_END), day(MID_MONTH), day(AFTER_ALL)
     march = f"(SELECT max(d) FROM book WHERE strftime(d, '%Y-%m') = '1998-03')"
@@ -430,10 +436,8 @@ def oracle_sql() -> dict[str, str]:
         "widened_by_version": """
             SELECT CAST(p_partkey AS BIGINT) AS prod_id, p_brand AS brand, CASE WHEN p_partkey % 2 = 1 THEN CAST(p_size AS INTEGER) END AS size
             FROM part""",
-        "csv_load_orders_line_breaks": """
-            SELECT o_orderkey AS order_no,
-                   strftime(o_orderdate, '%Y-%m-%d') || CASE WHEN o_orderkey % 5 = 0 THEN chr(10) ELSE '' END AS order_date_time
-            FROM orders""",
+        "csv_load_orders_line_breaks": LINE_BREAKS,
+        "csv_load_orders_by_blocks": LINE_BREAKS,
         "csv_quarantine_twice": """
             SELECT 'data_limit is no int: unlimited' AS reason, count(*) AS rows
             FROM part WHERE p_size > 40 HAVING count(*) > 0""",
