@@ -1,6 +1,6 @@
 """Records of large CSV files whose quoted fields may hold line breaks, read by many tasks.
 
-Spark cuts the files into blocks of lines. What a line does to the quotes is one of four functions of whether it begins inside
+Spark cuts the files into splits, and these into blocks of lines. What a line does to the quotes is one of four functions of whether it begins inside
 a quoted field; they are composed over the lines of a block, then over the blocks of a file, which tells for every
 line whether a record begins there. Most records are one line. Only the lines of the others are brought together.
 """
@@ -16,7 +16,9 @@ RECORD_TEXT = "_text"
 #: Whether a record is the first of its file.
 FIRST = "_is_first"
 
-_BLOCK = PLACE[:2]
+# A block: a run of lines of one split of a file, short enough to be dealt out evenly and sorted in memory.
+_BLOCK = [*PLACE[:2], "_part"]
+_LINES = 1 << 16
 # States within a line: at its start, in an unquoted field, inside quotes, after a quote that may close them.
 _START, _PLAIN, _QUOTED, _CLOSING = 0, 1, 2, 3
 
@@ -31,7 +33,8 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.option("lineSep", "\n").text(path).select(
         F.col("_metadata.file_path").alias(PLACE[0]), F.col("_metadata.file_block_start").alias(PLACE[1]),
         F.monotonically_increasing_id().alias(PLACE[2]), text.alias(RECORD_TEXT))
-    quotes = F.col(RECORD_TEXT).contains('"')
+    lines = lines.withColumn(_BLOCK[2], F.shiftright(PLACE[2], _LINES.bit_length() - 1))
+    quotes, full = F.col(RECORD_TEXT).contains('"'), F.col(RECORD_TEXT) != ""
     lines = lines.select("*", *(F.when(quotes, _after(state)).alias(name) for state, name in ((_START, "_from_plain"), (_QUOTED, "_from_quoted"))))
 
     # Parity of the swaps so far, and the last line that ends the same way whichever way it begins.
@@ -52,17 +55,17 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         begins = inside(entered)
         return F.when(begins, F.coalesce("_from_quoted", F.lit(True))).otherwise(F.coalesce("_from_plain", F.lit(False)))
 
-    # The first block of a file begins outside quotes.
-    earlier = F.coalesce(F.count(F.when(~inside(F.lit(False)) & (F.col(RECORD_TEXT) != ""), 1)).over(before), F.lit(0))
-    lines = lines.withColumn(FIRST, (F.col(PLACE[1]) == 0) & (earlier == 0) & (F.col(RECORD_TEXT) != ""))
+    # Whether no line before it in its block holds anything.
+    lines = lines.withColumn("_leads", full & (F.count(F.when(full, 1)).over(before) == 0))
 
     blocks = lines.groupBy(*_BLOCK).agg(
         *(F.max_by(ends_inside(F.lit(e)), PLACE[2]).alias(f"_ends_{e}") for e in (False, True)),
-        *(F.max(F.when(~inside(F.lit(e)), F.col(PLACE[2]))).alias(f"_last_{e}") for e in (False, True)))
-    lines = lines.join(_entered(blocks), _BLOCK)
+        *(F.max(F.when(full & ~inside(F.lit(e)), F.col(PLACE[2]))).alias(f"_last_{e}") for e in (False, True)))
+    # Where no record has begun in a block before, the file's first begins.
+    lines = lines.join(_entered(blocks), _BLOCK).withColumn(FIRST, F.col("_leads") & F.col("_open").isNull())
 
     begins, ends = ~inside(F.col("_inside")), ~ends_inside(F.col("_inside"))
-    whole = lines.filter(begins & ends & (F.col(RECORD_TEXT) != "")).select(*PLACE, RECORD_TEXT, FIRST)
+    whole = lines.filter(begins & ends & full).select(*PLACE, RECORD_TEXT, FIRST)
     # The line that a part of a record begins with: in its block, or the last to begin one in a block before.
     first = F.last(F.when(begins, F.struct(PLACE[1], PLACE[2])), ignorenulls=True).over(running)
     parts = lines.withColumn("_first", F.coalesce(first, F.col("_open"))).filter(~(begins & ends))
@@ -86,7 +89,7 @@ def _after(state: int) -> Column:
 
 def _entered(blocks: DataFrame) -> DataFrame:
     """Of each block: whether it begins inside quotes, and the line that then began the record. One row a block, so a file's fit one task."""
-    order = Window.partitionBy(PLACE[0]).orderBy(PLACE[1])
+    order = Window.partitionBy(PLACE[0]).orderBy(*_BLOCK[1:])
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     fixed = F.col("_ends_False") == F.col("_ends_True")
