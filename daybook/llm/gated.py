@@ -26,6 +26,8 @@ STEPS = 16
 SCORED_LANES = 1024
 # Steps times lanes of a window in scoring: where few lanes run, a window is longer.
 SCORED_CELLS = 32 * SCORED_LANES
+# Rows whose classes are scored at a time, so that their logits stay in a core's cache.
+SCORED_ROWS = 4096
 TRAINED_LANES = 256
 RATE = 5e-3
 CLIP = 1.0
@@ -123,31 +125,49 @@ class Stretches:
             yield np.where(places < len(self.targets), places, -1)
 
 
+def _by_gate(matrix: np.ndarray) -> np.ndarray:
+    """The three gates' columns of a matrix, one after the other: (3, rows, HIDDEN)."""
+    return np.ascontiguousarray(matrix.reshape(len(matrix), 3, HIDDEN).transpose(1, 0, 2))
+
+
+def _rows_by_gate(inputs: np.ndarray) -> np.ndarray:
+    """Where the three gates' parts of the words' inputs are, in rows of HIDDEN."""
+    return 3 * inputs.astype(np.int64) + np.arange(3).reshape(3, *[1] * inputs.ndim)
+
+
 def _recur(w: Weights, inputs: np.ndarray, starts: np.ndarray, h: np.ndarray, keep: bool = False) -> tuple[np.ndarray, tuple]:
     """States after each step (steps, lanes, HIDDEN), and if wanted what a backward pass needs:
-    the states before, the gates, the state's part of the new values, and these values."""
-    hid, states = HIDDEN, np.empty((*inputs.shape, HIDDEN), np.float32)
-    before, gates, own_part, news = (np.empty((*inputs.shape, n * hid), np.float32) for n in (1, 2, 1, 1)) if keep else (None,) * 4
-    given = np.take(w["input"], inputs, axis=0)
-    given += w["gates"]
-    fresh = starts.any(axis=1)
-    one = np.float32(1)
-    for t in range(len(inputs)):
+    the states before, the gates (2, steps, lanes, HIDDEN), the state's part of the new values, and these values.
+
+    Gates lie side by side, so that each is one run of memory."""
+    (steps, lanes), table = inputs.shape, (w["input"] + w["gates"]).astype(np.float32, copy=False).reshape(-1, HIDDEN)
+    states, later = np.empty((steps, lanes, HIDDEN), np.float32), np.empty((lanes, HIDDEN), np.float32)
+    before, own_part, news = (np.empty((steps if keep else 1, lanes, HIDDEN), np.float32) for _ in range(3))
+    to_gates, part = _by_gate(w["state"]).astype(np.float32, copy=False), np.empty((3, lanes, HIDDEN), np.float32)
+    at_gates, fresh, going = _rows_by_gate(inputs), starts.any(axis=1), ~starts[:, :, None]
+    gates = np.take(table, at_gates, axis=0) if keep else None
+    one, h = np.float32(1), h.astype(np.float32)
+    for t in range(steps):
         if fresh[t]:
-            h = np.where(starts[t][:, None], np.float32(0), h)
-        own = h @ w["state"]
-        gate = np.add(given[t, :, :2 * hid], own[:, :2 * hid], out=gates[t] if keep else None)
-        np.negative(gate, out=gate)
-        np.exp(gate, out=gate)
-        gate += one
-        np.divide(one, gate, out=gate)
-        new = np.multiply(gate[:, hid:], own[:, 2 * hid:], out=news[t] if keep else None)
-        new += given[t, :, 2 * hid:]
+            h = h * going[t]
+        given, new = gates[:, t] if keep else np.take(table, at_gates[:, t], axis=0), states[t]
+        both = given[:2]
+        np.matmul(h, to_gates, out=part)
+        both += part[:2]
+        np.negative(both, out=both)
+        np.exp(both, out=both)
+        both += one
+        np.divide(one, both, out=both)
+        np.multiply(both[1], part[2], out=new)
+        new += given[2]
         np.tanh(new, out=new)
         if keep:
-            before[t], own_part[t] = h, own[:, 2 * hid:]
-        h = np.add(new, gate[:, :hid] * (h - new), out=states[t])
-    return states, (before, gates, own_part, news)
+            before[t], own_part[t], news[t] = h, part[2], new
+        np.subtract(h, new, out=later)
+        later *= both[0]
+        new += later
+        h = new
+    return states, (before, gates[:2] if keep else None, own_part, news)
 
 
 def _with_one(states: np.ndarray) -> np.ndarray:
@@ -170,25 +190,37 @@ def _exp(x: np.ndarray) -> np.ndarray:
 
 
 class _ByClass:
-    """Rows of known words sorted by their class, and the logits of the words in it, class by class."""
+    """Rows sorted by the class of their word, the rare ones last, and of the others the logits of the words in it: those of all
+    rows one after the other."""
 
-    def __init__(self, w: Weights, full: np.ndarray, targets: np.ndarray):
+    def __init__(self, w: Weights, states: np.ndarray, targets: np.ndarray):
         edges, of = layout(size(w))
-        self.classes = of[targets]
-        order = np.argsort(self.classes, kind="stable")
-        ends = np.searchsorted(self.classes[order], np.arange(len(edges)))
-        self.rows = order[:ends[-1]]
-        self.parts = [(edges[c], edges[c + 1], slice(i, j)) for c, (i, j) in enumerate(zip(ends, ends[1:])) if i < j]
-        self.w, self.full, self.words = w["word"], full[self.rows], targets[self.rows]
-        self.careful = _may_overflow(self.w)
-
-    def __iter__(self) -> Iterator[tuple[slice, slice, np.ndarray, tuple[np.ndarray, np.ndarray]]]:
-        """Words, rows, logits and the place of each row's own word in these."""
-        for first, end, part in self.parts:
-            x = self.full[part] @ self.w[first:end].T
-            if self.careful:
+        classes = of[targets]
+        self.order = np.argsort(classes, kind="stable")
+        self.full, self.classes, own = _with_one(np.take(states, self.order, axis=0)), classes[self.order], targets[self.order]
+        ends = np.searchsorted(self.classes, np.arange(len(edges))).tolist()
+        self.known = ends[-1]
+        # How many logits a row has, where they begin, and where that of its own word is.
+        self.widths = np.diff(edges)[self.classes[:self.known]]
+        self.at = np.cumsum(self.widths) - self.widths
+        self.mine = self.at + own[:self.known] - edges[self.classes[:self.known]]
+        self.logits = np.empty(int(self.widths.sum()), np.float32)
+        self.parts, begin, edges = [], 0, edges.tolist()
+        for first, last, i, j in zip(edges, edges[1:], ends, ends[1:]):
+            if i < j:
+                end = begin + (j - i) * (last - first)
+                x = self.logits[begin:end].reshape(j - i, last - first)
+                np.matmul(self.full[i:j], w["word"][first:last].T, out=x)
+                self.parts.append((slice(first, last), slice(i, j), x))
+                begin = end
+        if _may_overflow(w["word"]):
+            for _, _, x in self.parts:
                 x -= x.max(axis=1, keepdims=True)
-            yield slice(first, end), part, x, (np.arange(len(x)), self.words[part] - first)
+
+    def exp(self) -> np.ndarray:
+        """In place; returns the sums of the rows."""
+        np.exp(self.logits, out=self.logits)
+        return np.add.reduceat(self.logits, self.at) if self.known else np.zeros(0, np.float32)
 
 
 def _class_logits(w: Weights, full: np.ndarray) -> np.ndarray:
@@ -200,16 +232,17 @@ def _class_logits(w: Weights, full: np.ndarray) -> np.ndarray:
 
 def log_probabilities(w: Weights, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Natural logarithms; of a rare word that of its class."""
-    full = _with_one(states)
-    known = _ByClass(w, full, targets)
-    x = _class_logits(w, full)
-    found = x[np.arange(len(x)), known.classes].astype(np.float64)
-    found -= np.log(_exp(x))
-    own = np.empty(len(known.rows))
-    for _, part, x, mine in known:
-        own[part] = x[mine]
-        own[part] -= np.log(_exp(x))
-    found[known.rows] += own
+    own = _ByClass(w, states, targets)
+    sums = np.empty(len(targets))
+    for at in range(0, len(sums), SCORED_ROWS):
+        rows = slice(at, at + SCORED_ROWS)
+        x = _class_logits(w, own.full[rows])
+        sums[rows] = x[np.arange(len(x)), own.classes[rows]]
+        sums[rows] -= np.log(_exp(x))
+    sums[:own.known] += own.logits[own.mine]
+    sums[:own.known] -= np.log(own.exp())
+    found = np.empty_like(sums)
+    found[own.order] = sums
     return found
 
 
@@ -232,54 +265,64 @@ def gradients(w: Weights, inputs: np.ndarray, starts: np.ndarray, targets: np.nd
               h: np.ndarray) -> tuple[Weights, tuple[np.ndarray, np.ndarray], np.ndarray]:
     """Of the mean loss over one window, back to its first step: of all weights but the words' inputs,
     of those the words that occur and theirs; and the state after the window."""
-    states, kept = _recur(w, inputs, starts, h, keep=True)
-    full, goal = _with_one(states[real]), targets[real]
-    share = np.float32(1 / max(1, len(goal)))
-    g = {"word": np.zeros_like(w["word"])}
-    known = _ByClass(w, full, goal)
-    wrong = _class_logits(w, full)
+    states, (before, gates, own, new) = _recur(w, inputs, starts, h, keep=True)
+    steps, lanes = inputs.shape
+    whole = bool(real.all())
+    known = _ByClass(w, states.reshape(-1, HIDDEN) if whole else states[real], targets.ravel() if whole else targets[real])
+    n, share = known.known, np.float32(1 / max(1, len(known.full)))
+    wrong = _class_logits(w, known.full)
     sums = _exp(wrong)
     wrong *= (share / sums)[:, None]
-    wrong[np.arange(len(goal)), known.classes] -= share
-    g["class"] = full.T @ wrong
+    wrong[np.arange(len(wrong)), known.classes] -= share
+    g = {"word": np.zeros_like(w["word"]), "class": known.full.T @ wrong}
     back = wrong @ w["class"][:HIDDEN].T
-    own_back = np.empty((len(known.rows), HIDDEN), np.float32)
-    for words, part, wrong, mine in known:
-        sums = _exp(wrong)
-        wrong *= (share / sums)[:, None]
-        wrong[mine] -= share
+    own_back = np.empty((n, HIDDEN), np.float32)
+    sums = known.exp()
+    known.logits *= np.repeat(share / sums, known.widths)
+    known.logits[known.mine] -= share
+    for words, part, wrong in known.parts:
         np.matmul(wrong.T, known.full[part], out=g["word"][words])
         np.matmul(wrong, w["word"][words, :HIDDEN], out=own_back[part])
-    back[known.rows] += own_back
-    errors = np.zeros_like(states)
-    errors[real] = back
-    before, gates, own, new = kept
-    z, r = gates[:, :, :HIDDEN], gates[:, :, HIDDEN:]
+    back[:n] += own_back
+    errors = np.zeros((steps * lanes, HIDDEN), np.float32)
+    errors[known.order if whole else np.flatnonzero(real)[known.order]] = back
+    errors = errors.reshape(steps, lanes, HIDDEN)
+    z, r = gates
     # How much of a state's error reaches the new value, the two gates and the state before.
-    to_new, to_z, to_r = (1 - z) * (1 - new * new), (before - new) * z * (1 - z), own * r * (1 - r)
-    passed = z * ~starts[:, :, None]
-    given, through = (np.empty((*inputs.shape, 3 * HIDDEN), np.float32) for _ in range(2))
-    dh, to_state = np.zeros_like(states[0]), np.ascontiguousarray(w["state"].T)
-    for t in reversed(range(len(inputs))):
-        dh = dh + errors[t]
-        own_given, own_through = given[t], through[t]
-        dnew = np.multiply(dh, to_new[t], out=own_given[:, 2 * HIDDEN:])
-        np.multiply(dh, to_z[t], out=own_given[:, :HIDDEN])
-        np.multiply(dnew, to_r[t], out=own_given[:, HIDDEN:2 * HIDDEN])
-        own_through[:, :2 * HIDDEN] = own_given[:, :2 * HIDDEN]
-        np.multiply(dnew, r[t], out=own_through[:, 2 * HIDDEN:])
-        back = own_through @ to_state
-        if starts[t].any():
-            back[starts[t]] = 0
-        dh = dh * passed[t] + back
-    rows = given.reshape(-1, 3 * HIDDEN)
-    g["state"] = before.reshape(-1, HIDDEN).T @ through.reshape(-1, 3 * HIDDEN)
-    g["gates"] = rows.sum(axis=0)
-    flat = inputs.astype(np.uint16).ravel()
-    order = np.argsort(flat, kind="stable")
-    words = flat[order].astype(np.int64)
-    firsts = np.flatnonzero(np.diff(words, prepend=-1))
-    return g, (words[firsts], np.add.reduceat(rows[order], firsts, axis=0)), states[-1]
+    kept = 1 - z
+    to_new, to_z, to_r = kept * (1 - new * new), (before - new) * z * kept, own * r * (1 - r)
+    given, through = np.empty((3, steps, lanes, HIDDEN), np.float32), np.empty((steps, lanes, HIDDEN), np.float32)
+    dh, to_state, fresh, going = np.zeros((lanes, HIDDEN), np.float32), _by_gate(w["state"]).transpose(0, 2, 1), starts.any(axis=1), ~starts[:, :, None]
+    step_back = np.empty((3, lanes, HIDDEN), np.float32)
+    for t in reversed(range(steps)):
+        dh += errors[t]
+        dnew = np.multiply(dh, to_new[t], out=given[2, t])
+        np.multiply(dh, to_z[t], out=given[0, t])
+        np.multiply(dnew, to_r[t], out=given[1, t])
+        np.multiply(dnew, r[t], out=through[t])
+        np.matmul(given[:2, t], to_state[:2], out=step_back[:2])
+        np.matmul(through[t], to_state[2], out=step_back[2])
+        dh *= z[t]
+        for part in step_back:
+            dh += part
+        if fresh[t]:
+            dh *= going[t]
+    rows = given.reshape(3, -1, HIDDEN)
+    from_state = before.reshape(-1, HIDDEN).T
+    g["state"] = np.concatenate([from_state @ rows[0], from_state @ rows[1], from_state @ through.reshape(-1, HIDDEN)], axis=1)
+    g["gates"] = (np.ones(rows.shape[1], np.float32) @ rows).ravel()
+    return g, _by_word(inputs.ravel(), rows), states[-1]
+
+
+def _by_word(inputs: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words that occur, and the sums of their rows, which come by gate."""
+    words, numbers = np.flatnonzero(np.bincount(inputs)), np.empty(int(inputs.max()) + 1, np.int64)
+    numbers[words] = np.arange(len(words))
+    sums = np.zeros(len(words) * 3 * HIDDEN, np.float32)
+    # Single numbers are added up much faster than rows.
+    places = np.take(np.arange(len(sums)).reshape(-1, HIDDEN), _rows_by_gate(numbers[inputs]), axis=0)
+    np.add.at(sums, places.ravel(), rows.ravel())
+    return words, sums.reshape(len(words), 3 * HIDDEN)
 
 
 class Trainer:
@@ -307,21 +350,20 @@ class Trainer:
         scale = np.float32(min(1.0, CLIP / (norm + 1e-12)))
         rate = np.float32(self.rate * share * np.sqrt(1 - 0.999 ** self.n) / (1 - 0.9 ** self.n))
         for name, x in g.items():
-            x *= scale
-            self.w[name] -= self._change(x, self.m[name], self.v[name], rate)
-        inputs *= scale
-        m, v = self.m["input"][words], self.v["input"][words]
-        self.w["input"][words] -= self._change(inputs, m, v, rate)
-        self.m["input"][words], self.v["input"][words] = m, v
+            self.w[name] -= self._change(x, self.m[name], self.v[name], scale, rate)
+        own = [np.take(x["input"], words, axis=0) for x in (self.w, self.m, self.v)]
+        own[0] -= self._change(inputs, *own[1:], scale, rate)
+        for x, rows in zip((self.w, self.m, self.v), own):
+            x["input"][words] = rows
 
     @staticmethod
-    def _change(x: np.ndarray, m: np.ndarray, v: np.ndarray, rate: np.float32) -> np.ndarray:
-        """Moves the averages towards ``x`` in place."""
+    def _change(x: np.ndarray, m: np.ndarray, v: np.ndarray, scale: np.float32, rate: np.float32) -> np.ndarray:
+        """Moves the averages towards ``scale`` times ``x`` in place."""
         m *= np.float32(0.9)
-        m += np.float32(0.1) * x
+        m += np.float32(0.1) * scale * x
         v *= np.float32(0.999)
         np.multiply(x, x, out=x)
-        x *= np.float32(0.001)
+        x *= np.float32(0.001) * scale * scale
         v += x
         np.sqrt(v, out=x)
         x += np.float32(1e-8)

@@ -20,10 +20,10 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,11 +40,14 @@ ROUNDS = 2
 CHECKED = 16
 # No word holds a line break, so it stands for the end of a document.
 END = b"\n"
-# Tokens that a task holds at a time; documents from a length up are held apart from shorter ones,
-# so that lanes are about as long as each other. Words that it counts at a time, and blocks of weights.
+# Tokens that a task holds at a time, in training and in scoring, where a step takes one token of every document held; documents
+# from a length up are held apart from shorter ones, so that lanes are about as long as each other. Bytes of words that it counts at a time, bytes of text that it splits at a
+# time unless one text has more, and blocks of weights.
 _TOKENS = 1_000_000
+_SCORED = 4_000_000
 _LONG = 4_000
-_WORDS = 400_000
+_COUNTED = 48 << 20
+_BYTES = 8 << 20
 _BLOCKS = 32
 
 
@@ -52,33 +55,48 @@ def tokens(text: bytes | None) -> list[bytes]:
     return [*(text or b"").lower().split(), END]
 
 
-def _texts(batches: Iterable[pa.RecordBatch], *beside: str) -> Iterator[tuple]:
-    """(text, columns beside it) of each row, some rows at a time."""
+def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, about ``_BYTES`` of text at a time."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            texts = part.column("text").cast(pa.binary()).to_pylist()
-            yield from zip(texts, zip(*(part.column(c).to_pylist() for c in beside))) if beside else ((text, ()) for text in texts)
+        sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+        edges = np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // _BYTES, prepend=0)) if len(sizes) else []
+        for at, end in zip([0, *edges], [*edges, len(sizes)]):
+            if at < end:
+                yield batch.slice(int(at), int(end - at))
+
+
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts as in ``tokens`` but for the ends, one text's after the other's, and how many each has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words, lengths = lists.flatten(), np.diff(lists.offsets.to_numpy())
+    filled = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0
+    if not filled.all():
+        words, lengths = words.filter(pa.array(filled)), np.bincount(np.repeat(np.arange(len(lengths)), lengths)[filled], minlength=len(lengths))
+    return words.cast(pa.binary()), lengths.astype(np.int64)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n) of every token of ``docs``."""
     ready(docs.sparkSession)
+    return docs.select("text").mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: Counter[bytes] = Counter()
-        for text, _ in _texts(batches):
-            own.update(tokens(text))
-            if len(own) >= _WORDS:
-                yield _counted(own)
-                own.clear()
-        yield _counted(own)
 
-    return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, size, ends = [], 0, 0
+    for batch in _slices(batches):
+        held.append(_words(batch.column("text"))[0])
+        size, ends = size + held[-1].nbytes, ends + batch.num_rows
+        if size >= _COUNTED:
+            yield _counted(held, ends)
+            held, size, ends = [], 0, 0
+    if ends:
+        yield _counted(held, ends)
 
 
-def _counted(own: Counter[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()), pa.array(list(own.values()), pa.int64())], ["word", "n"])
+def _counted(words: list[pa.Array], ends: int) -> pa.RecordBatch:
+    own = pc.value_counts(pa.chunked_array(words, pa.binary()))
+    return pa.RecordBatch.from_arrays([
+        pa.concat_arrays([own.field(0), pa.array([END], pa.binary())]), pa.concat_arrays([own.field(1), pa.array([ends], pa.int64())])], ["word", "n"])
 
 
 @dataclass(frozen=True)
@@ -104,9 +122,6 @@ class Corpus:
         """The share of all that the model doesn't know."""
         return max(1e-12, 1 - float(self.shares().sum()))
 
-    def index(self) -> dict[bytes, int]:
-        return {word: i for i, word in enumerate(self.head)}
-
 
 def survey(counts: DataFrame, head: int = HEAD) -> tuple[Corpus, Column]:
     """The corpus's totals and head, and a condition for the words outside the head.
@@ -131,38 +146,11 @@ def survey(counts: DataFrame, head: int = HEAD) -> tuple[Corpus, Column]:
     return corpus, ~is_end & (level < least)
 
 
-def _numbered(index: dict[bytes, int], words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(index.get, words, repeat(-1)), dtype=np.int32, count=len(words))
-
-
-def _known(numbers: np.ndarray, words: int) -> np.ndarray:
-    """Numbers in the head as the model's, which knows ``words`` of them."""
-    return np.where((numbers < 0) | (numbers >= words), np.int32(words), numbers)
-
-
 def numbered(docs: DataFrame, corpus: Corpus, rounds: int = ROUNDS) -> DataFrame:
     """``docs`` (doc_id, held_out, text) with the words replaced by the model's numbers, their counts and logs, and the words outside the head; staged."""
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, logs, rare = corpus.index(), corpus.logs(), float(np.log10(corpus.rare()))
-        size = len(corpus.shares())
-        seen, rows = corpus.counts > 0, []
-        for text, row in _texts(batches, "row", "doc_id", "held_out", "draw"):
-            words = tokens(text)
-            own = _numbered(index, words)
-            known, head = _known(own, size), own[own >= 0]
-            strange = Counter(words[i] for i in np.flatnonzero(own < 0))
-            # A word of the rare class has its share of the class.
-            in_class = logs[head[head >= size]].sum() - rare * int((known == size).sum())
-            rows.append((*row, known.astype("<u2").tobytes(), len(own), int(seen[head].sum()), float(logs[head].sum()), float(in_class),
-                         list(strange), list(strange.values())))
-            if len(rows) >= 256:
-                yield _records(rows, NUMBERED)
-                rows = []
-        yield _records(rows, NUMBERED)
-
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, rounds) * CHECKED)).cast("int").alias("draw")
     named = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "held_out", draw, "text")
-    return stage(named.mapInArrow(run, "row long, doc_id long, held_out boolean, draw int, known binary, n_tokens long, n_known long, "
+    return stage(named.mapInArrow(_numberer(corpus), "row long, doc_id long, held_out boolean, draw int, known binary, n_tokens long, n_known long, "
                                   "base_score double, in_class double, words array<binary>, times array<int>"), "numbered")
 
 
@@ -171,9 +159,37 @@ NUMBERED = pa.schema([
     ("n_known", pa.int64()), ("base_score", pa.float64()), ("in_class", pa.float64()), ("words", pa.list_(pa.binary())), ("times", pa.list_(pa.int32()))])
 
 
-def _records(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    columns = list(zip(*rows)) or [()] * len(schema)
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+def _numberer(corpus: Corpus):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, logs, rare = pa.array(corpus.head, pa.binary()), corpus.logs(), float(np.log10(corpus.rare()))
+        size, seen = len(corpus.shares()), corpus.counts > 0
+        for batch in _slices(batches):
+            words, lengths = _words(batch.column("text"))
+            coded = words.dictionary_encode()
+            of_code = pc.fill_null(pc.index_in(coded.dictionary, value_set=head), -1).to_numpy(zero_copy_only=False)
+            codes, lengths = coded.indices.to_numpy(), lengths + 1
+            edges = np.append(0, np.cumsum(lengths))
+            firsts, inside = edges[:-1], np.ones(edges[-1], bool)
+            inside[edges[1:] - 1] = False
+            # The end token, after each text's words, is the first of the head.
+            numbers = np.zeros(edges[-1], np.int32)
+            numbers[inside] = of_code[codes]
+            in_head = numbers >= 0
+            known = np.where(in_head & (numbers < size), numbers, np.int32(size)).astype("<u2")
+            log = np.where(in_head, logs[numbers], 0.0)
+            # A word of the rare class has its share of the class.
+            in_class = np.add.reduceat(np.where(numbers >= size, log, 0.0), firsts) - rare * np.add.reduceat(known == size, firsts, dtype=np.int64)
+            texts = np.repeat(np.arange(len(lengths)), lengths)
+            strange, times = np.unique(texts[~in_head] * len(coded.dictionary) + codes[of_code[codes] < 0], return_counts=True)
+            begins = np.searchsorted(strange, np.arange(len(lengths) + 1) * len(coded.dictionary)).astype(np.int32)
+            lists = lambda values: pa.ListArray.from_arrays(pa.array(begins), values)
+            yield pa.RecordBatch.from_arrays([
+                *(batch.column(name) for name in ("row", "doc_id", "held_out", "draw")),
+                pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer((2 * edges).astype(np.int32)), pa.py_buffer(known)]),
+                pa.array(lengths), pa.array(np.add.reduceat(in_head & seen[numbers], firsts, dtype=np.int64)), pa.array(np.add.reduceat(log, firsts)),
+                pa.array(in_class), lists(coded.dictionary.take(pa.array(strange % max(1, len(coded.dictionary))))), lists(pa.array(times.astype(np.int32)))],
+                schema=NUMBERED)
+    return run
 
 
 def train(rows: DataFrame, corpus: Corpus, rounds: int = ROUNDS) -> gated.Weights:
@@ -199,7 +215,7 @@ def train(rows: DataFrame, corpus: Corpus, rounds: int = ROUNDS) -> gated.Weight
 
 
 def _pools(batches: Iterable[pa.RecordBatch]) -> Iterator[list[tuple[int | None, np.ndarray]]]:
-    """(row, numbers) of documents, about ``_TOKENS`` at a time; long ones apart from short ones."""
+    """(row, numbers) of documents, about ``_SCORED`` tokens at a time; long ones apart from short ones."""
     pools: dict[bool, list] = {False: [], True: []}
     sizes = {False: 0, True: 0}
     for batch in batches:
@@ -210,7 +226,7 @@ def _pools(batches: Iterable[pa.RecordBatch]) -> Iterator[list[tuple[int | None,
             long = len(own) >= _LONG
             pools[long].append((row, own))
             sizes[long] += len(own)
-            if sizes[long] >= _TOKENS:
+            if sizes[long] >= _SCORED:
                 yield pools[long]
                 pools[long], sizes[long] = [], 0
     yield from (pool for pool in pools.values() if pool)
